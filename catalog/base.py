@@ -42,3 +42,8 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+def plain(view: str) -> str:
+    """A shared SQL view with its table names as they are."""
+    return view.replace("{", "").replace("}", "")

@@ -1,0 +1,86 @@
+"""Per-key rules that depend on the events before: token bucket and lockout.
+
+A rule is a small class with a state of fixed size and one method that takes the next event. The batch twin and the
+stream both feed it events of a key in time order.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+MICROS = 1_000_000
+
+# Requests per minute for anonymous and signed-in clients.
+ANONYMOUS_PER_MINUTE = 20
+SIGNED_IN_PER_MINUTE = 60
+
+# Lockout limits.
+IP_FAILURES, IP_MEMORY_S, IP_BLOCK_S = 10, 300, 600
+ACCOUNT_FAILURES, ACCOUNT_LOCK_S = 4, 900
+
+
+@dataclass(frozen=True)
+class TokenBucket:
+    """Capacity refills steadily over ``period_s``; each event takes one token or is rejected.
+
+    The level is kept in whole token-microseconds, so no rounding builds up.
+    """
+
+    capacity: int
+    period_s: int = 60
+    schema = "level bigint, last bigint"
+    columns = "allowed boolean, tokens_left int"
+
+    def start(self) -> tuple:
+        return (self.capacity * self.period_s * MICROS, None)
+
+    def next(self, state: tuple, ts: int, _event) -> tuple[tuple, tuple]:
+        level, last = state
+        unit = self.period_s * MICROS
+        if last is not None:
+            level = min(self.capacity * unit, level + self.capacity * max(0, ts - last))
+        allowed = level >= unit
+        level -= unit if allowed else 0
+        return (level, ts), (allowed, level // unit)
+
+    @property
+    def forget_s(self) -> int:
+        """After this long without events the bucket is full, whatever came before."""
+        return self.period_s
+
+
+@dataclass(frozen=True)
+class Lockout:
+    """Failures in a row lock a key for a while; a success clears them.
+
+    With ``memory_s`` failures are forgotten after that long without another one. Attempts during a lock are refused
+    and not counted.
+    """
+
+    failures: int
+    lock_s: int
+    memory_s: int | None = None
+    schema = "count int, last bigint, until bigint"
+    columns = "refused boolean, failures int, locked boolean"
+
+    def start(self) -> tuple:
+        return (0, None, None)
+
+    def next(self, state: tuple, ts: int, failed) -> tuple[tuple, tuple]:
+        count, last, until = state
+        if until is not None:
+            if ts < until:
+                return state, (True, count, True)
+            count, until = 0, None
+        if self.memory_s is not None and last is not None and ts - last >= self.memory_s * MICROS:
+            count = 0
+        if not failed:
+            return (0, None, None), (False, 0, False)
+        count += 1
+        if count >= self.failures:
+            return (0, ts, ts + self.lock_s * MICROS), (False, count, True)
+        return (count, ts, None), (False, count, False)
+
+
+IP_LOCKOUT = Lockout(IP_FAILURES, IP_BLOCK_S, IP_MEMORY_S)
+ACCOUNT_LOCKOUT = Lockout(ACCOUNT_FAILURES, ACCOUNT_LOCK_S)
