@@ -315,8 +315,9 @@ def product_ids(spark, d):
 @query(
     "set_param",
     URLS
-    + r"""SELECT url_id, CASE WHEN regexp_matches(url, '[?&]page=') THEN regexp_replace(url, '([?&])page=[^&#]*', '\1page=7')
-    WHEN contains(url, '?') THEN url || '&page=7' ELSE url || '?page=7' END AS url FROM u""",
+    + r"""SELECT url_id, CASE WHEN regexp_matches(b, '[?&]page=') THEN regexp_replace(b, '([?&])page=[^&]*', '\1page=7')
+    WHEN contains(b, '?') THEN b || '&page=7' ELSE b || '?page=7' END || f AS url
+    FROM (SELECT url_id, regexp_extract(url, '^([^#]*)', 1) AS b, regexp_extract(url, '(#.*)$', 1) AS f FROM u)""",
 )
 def set_param(spark, d):
     return derive.product_urls(spark, d).select("url_id", urls.set_param(F.col("url"), "page", "7").alias("url"))
@@ -333,16 +334,26 @@ _AMZ_LIST = ", ".join(
 )
 
 
+_STARS = ", ".join(f"('{s}', '{o}', {1 + i * 5 + j})" for i, o in enumerate(("MOST_RECENT", "MOST_HELPFUL")) for j, s in enumerate(urls.FLIPKART_STARS))
+
+
 @query(
     "url_batches",
     SITED
-    + f""", a AS (SELECT url_id, {ASIN} AS asin, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o FROM t WHERE site = 'amazon'),
-    l AS (SELECT url_id, [{_AMZ_LIST}] AS us FROM a WHERE asin IS NOT NULL)
-    SELECT url_id, CAST(i - 1 AS INTEGER) AS batch_no, us[i] AS batch_url FROM l, unnest(range(1, 14)) AS r(i)""",
+    + rf""", a AS (SELECT url_id, {ASIN} AS asin, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o FROM t WHERE site = 'amazon'),
+    l AS (SELECT url_id, [{_AMZ_LIST}] AS us FROM a WHERE asin IS NOT NULL),
+    k AS (SELECT url_id, regexp_replace(regexp_replace(url, '^([^?#]*?)/p/(itm\w+)', '\1/product-reviews/\2'), '&page=[^&]*$', '') || '&page=1' AS o
+      FROM t WHERE site = 'flipkart')
+    SELECT url_id, CAST(i - 1 AS INTEGER) AS batch_no, us[i] AS batch_url FROM l, unnest(range(1, 14)) AS r(i)
+    UNION ALL SELECT url_id, 0, o FROM k
+    UNION ALL SELECT url_id, n, o || '&rating=' || st || '&sortOrder=' || so FROM k, (VALUES {_STARS}) AS v(st, so, n)
+    UNION ALL SELECT url_id, 0, CASE WHEN site = 'myntra' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/reviews/' ||
+      regexp_extract(url, '/(\d{{6,15}})(?:/buy|/reviews|$|[?#])', 1) ELSE url END FROM t
+      WHERE site IN ('myntra', 'ajio', 'nykaa')""",
 )
 def url_batches(spark, d):
     found = derive.product_urls(spark, d).withColumn("site", urls.site_of(F.col("url")))
-    wide = urls.expand_url_batches(found.filter(F.col("site") == "amazon"))
+    wide = urls.expand_url_batches(found.filter(F.col("site").isNotNull()))
     return wide.select("url_id", "batch_no", "batch_url")
 
 

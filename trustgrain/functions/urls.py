@@ -137,28 +137,50 @@ def set_param(url: Column, name: str, value: Column | str) -> Column:
     return F.concat(base, F.lit("?"), F.array_join(full, "&"), fragment)
 
 
-def url_batches(url: Column, site: Column) -> Column:
-    """All listing URLs of a product in crawl order: product page, orders and one per star and order."""
-    listing = review_url(url, site)
-    asin = _found(url, PRODUCT_ID_PATTERNS["amazon"][0])
-    sorted_base = F.concat(origin(url), F.lit("/product-reviews/"), asin, F.lit(AMAZON_SORTED))
-    amazon = [F.concat(origin(url), F.lit("/dp/"), asin), listing, F.concat(sorted_base, F.lit("&sortBy=recent"))]
-    for order in ("recent", "helpful"):
-        amazon += [F.concat(sorted_base, F.lit(f"&filterByStar={s}&sortBy={order}")) for s in AMAZON_STARS]
-    first = set_param(listing, "page", "1")
-    flipkart = [first]
-    for order in ("MOST_RECENT", "MOST_HELPFUL"):
-        flipkart += [set_param(set_param(first, "rating", s), "sortOrder", order) for s in FLIPKART_STARS]
-    return (
-        F.when((site == "amazon") & asin.isNotNull(), F.array(*amazon))
-        .when(site == "flipkart", F.array(*flipkart))
-        .otherwise(F.array(listing))
-    )
-
-
 def expand_url_batches(df: DataFrame, url: str = "url", site: str = "site") -> DataFrame:
-    """One row per listing URL, numbered from 0."""
-    return df.select("*", F.posexplode(url_batches(F.col(url), F.col(site))).alias("batch_no", "batch_url"))
+    """One row per listing URL of a product, in crawl order from 0: ``batch_no, batch_url``.
+
+    Amazon: product page, all reviews in two orders, then each star in both orders. Flipkart: all reviews, then each
+    star in both orders. Other marketplaces have their one listing.
+    """
+    plan = lambda rows: F.array(
+        *[
+            F.struct(F.lit(i).alias("batch_no"), F.lit(kind).alias("_kind"), F.lit(star).alias("_star"), F.lit(by).alias("_by"))
+            for i, (kind, star, by) in enumerate(rows)
+        ]
+    )
+    amazon = [("page", "", ""), ("all", "", ""), ("sorted", "", "recent")]
+    amazon += [("star", s, by) for by in ("recent", "helpful") for s in AMAZON_STARS]
+    flipkart = [("all", "", "")] + [("star", s, by) for by in ("MOST_RECENT", "MOST_HELPFUL") for s in FLIPKART_STARS]
+    u, s = F.col(url), F.col(site)
+    asin = _found(u, PRODUCT_ID_PATTERNS["amazon"][0])
+    rows = df.select(
+        "*",
+        F.inline(
+            F.when((s == "amazon") & asin.isNotNull(), plan(amazon))
+            .when(s == "flipkart", plan(flipkart))
+            .otherwise(plan([("all", "", "")]))
+        ),
+    )
+    kind, star, by = F.col("_kind"), F.col("_star"), F.col("_by")
+    own_sort = F.concat(origin(u), F.lit("/product-reviews/"), asin, F.lit(AMAZON_SORTED))
+    built = (
+        F.when(kind == "page", F.concat(origin(u), F.lit("/dp/"), asin))
+        .when((s == "amazon") & (kind == "sorted"), F.concat(own_sort, F.lit("&sortBy="), by))
+        .when((s == "amazon") & (kind == "star"), F.concat(own_sort, F.lit("&filterByStar="), star, F.lit("&sortBy="), by))
+        .otherwise(review_url(u, s))
+    )
+    rows = rows.withColumn("batch_url", built)
+    # One parameter per step: each step reads the finished column of the step before.
+    for name, value, wanted in (
+        ("page", F.lit("1"), s == "flipkart"),
+        ("rating", star, (s == "flipkart") & (kind == "star")),
+        ("sortOrder", by, (s == "flipkart") & (kind == "star")),
+    ):
+        rows = rows.withColumn(
+            "batch_url", F.when(wanted, set_param(F.col("batch_url"), name, value)).otherwise(F.col("batch_url"))
+        )
+    return rows.drop("_kind", "_star", "_by")
 
 
 def _first_match(value: Column, patterns: tuple) -> Column:
