@@ -200,12 +200,17 @@ _FUSE_IN = """SELECT review_idx, CASE WHEN MOD(review_idx, 5) = 0 THEN NULL ELSE
   CASE MOD(review_idx, 3) WHEN 0 THEN NULL ELSE CAST(MOD(review_idx, 128) AS DOUBLE) / 128 END AS ai_conf FROM {s}"""
 
 
+_UNIT = "4611686018427387904"
+_EXACT = f"CAST({{0}} // {_UNIT} + CASE WHEN {{0}} % {_UNIT} * 2 > {_UNIT} OR ({{0}} % {_UNIT} * 2 = {_UNIT} AND ({{0}} // {_UNIT}) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10000"
+
+
 @query(
     "fuse_predictions",
     SHORT
-    + f""", f AS ({plain(_FUSE_IN)}) SELECT review_idx, lower(coalesce(sentiment_label, 'neutral')) AS sentiment, coalesce(CAST(rating_label AS INTEGER), 3) AS predicted_rating,
-    round_even(CASE WHEN ai_label IS NULL THEN 0.0 WHEN ai_label = 'AI Generated' THEN ai_conf ELSE 1 - ai_conf END, 4)::DOUBLE AS ai_probability,
-    round_even((coalesce(sentiment_conf, 0.5::DOUBLE) + coalesce(rating_conf, 0.5::DOUBLE) + coalesce(ai_conf, 0.5::DOUBLE)) / 3, 4) AS confidence FROM f""",
+    + f""", f AS ({plain(_FUSE_IN)}), g AS (SELECT review_idx, lower(coalesce(sentiment_label, 'neutral')) AS sentiment, coalesce(CAST(rating_label AS INTEGER), 3) AS predicted_rating,
+      CAST(CAST((CASE WHEN ai_label IS NULL THEN 0.0::DOUBLE WHEN ai_label = 'AI Generated' THEN ai_conf ELSE 1 - ai_conf END) * 4611686018427387904 AS HUGEINT) * CAST(10000 AS HUGEINT) AS HUGEINT) AS a,
+      CAST(CAST((coalesce(sentiment_conf, 0.5::DOUBLE) + coalesce(rating_conf, 0.5::DOUBLE) + coalesce(ai_conf, 0.5::DOUBLE)) / 3 * 4611686018427387904 AS HUGEINT) * CAST(10000 AS HUGEINT) AS HUGEINT) AS c FROM f)
+    SELECT review_idx, sentiment, predicted_rating, {_EXACT.format("a")} AS ai_probability, {_EXACT.format("c")} AS confidence FROM g""",
 )
 def fuse_predictions(spark, d):
     rows = spark.sql(_FUSE_IN, s=derive.short_reviews(spark, d))
@@ -309,15 +314,15 @@ _TOPIC_ROWS = ", ".join(f"({i}, '{t}', '{w}')" for i, (t, ws) in enumerate(keywo
 @query(
     "topics",
     SHORT
-    + ", src AS (SELECT * FROM s), "
-    + KEYWORD_CTE
-    + f""", tt AS (SELECT DISTINCT product_id, topic_no, topic, keyword, keyword_rank FROM kf, (VALUES {_TOPIC_ROWS}) AS v(topic_no, topic, word) WHERE contains(keyword, word)),
-    tc AS (SELECT product_id, topic_no, topic, COUNT(*) AS count, list(keyword ORDER BY keyword_rank)[1:3] AS ks FROM tt GROUP BY ALL)
-    SELECT product_id, topic, count, array_to_string(ks, '|') AS keywords, CAST(topic_rank AS INTEGER) AS topic_rank FROM
-      (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY count DESC, topic_no) AS topic_rank FROM tc) WHERE topic_rank <= 5""",
+    + ", src AS (SELECT *, review_idx AS item FROM s), "
+    + KEYWORD_CTE.replace("product_id", "item")
+    + f""", tt AS (SELECT DISTINCT item, topic_no, topic, keyword, keyword_rank FROM kf, (VALUES {_TOPIC_ROWS}) AS v(topic_no, topic, word) WHERE contains(keyword, word)),
+    tc AS (SELECT item, topic_no, topic, COUNT(*) AS count, list(keyword ORDER BY keyword_rank)[1:3] AS ks FROM tt GROUP BY ALL)
+    SELECT item, topic, count, array_to_string(ks, '|') AS keywords, CAST(topic_rank AS INTEGER) AS topic_rank FROM
+      (SELECT *, ROW_NUMBER() OVER (PARTITION BY item ORDER BY count DESC, topic_no) AS topic_rank FROM tc) WHERE topic_rank <= 5""",
 )
 def topics(spark, d):
-    found = keywords.topics(keywords.keywords(derive.short_reviews(spark, d)))
+    found = keywords.topics(keywords.keywords(derive.short_reviews(spark, d).withColumn("item", F.col("review_idx")), "item"), "item")
     return found.withColumn("keywords", F.array_join("keywords", "|"))
 
 

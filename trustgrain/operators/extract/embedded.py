@@ -6,8 +6,9 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ...functions.text import clean_text, parse_rating
 
@@ -36,10 +37,10 @@ MAX_DEPTH = 12
 MAX_PER_NODE = 500
 
 SCRIPT = r"(?is)<script([^>]*)>(.*?)</script>"
-FOUND = "array<struct<text:string,rating:string>>"
+FOUND = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("rating", T.StringType())]))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _states(scripts: pd.Series) -> pd.Series:
     """JSON values assigned to the known names. The decoder itself finds where a value ends."""
     decode = json.JSONDecoder().raw_decode
@@ -143,7 +144,3 @@ def embedded_reviews(pages: DataFrame, key: str = "page_id", html: str = "html")
     return deep_reviews(documents, [key, "doc_no"]).select(
         key, F.struct("doc_no.script_no", "doc_no.part_no", "pos").alias("pos"), "text", "rating"
     )
-
-
-def rating_column(text: Column) -> Column:
-    return parse_rating(text)

@@ -48,8 +48,9 @@ def review_grams(df: DataFrame, by: str, text: str = "text", longest: int = 3) -
     for n in range(1, longest + 1):
         if n > 1:
             grams = F.zip_with(grams, F.slice("w", n, F.greatest(size, F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
+        size_of = F.lit(n).alias("n_words")
         struct = F.transform(
-            F.filter(grams, lambda g: g.isNotNull()), lambda g, n=n: F.struct(F.lit(n).alias("n_words"), g.alias("phrase"))
+            F.filter(grams, lambda g: g.isNotNull()), lambda g: F.struct(size_of, g.alias("phrase"))  # noqa: B023
         )
         out = struct if out is None else F.concat(out, struct)
     return (

@@ -82,7 +82,10 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_name").alias("full_name"),
         F.when(F.col("c_mktsegment") == "BUILDING", "ADMIN").otherwise("USER").alias("role"),
         (F.col("c_acctbal") >= 0).alias("enabled"),
-        F.timestamp_seconds(1700000000 + F.col("c_custkey") * 37 % 1000003).alias("created_at"),
+        (
+            F.lit("2023-11-14 22:13:20").cast("timestamp_ntz")
+            + F.make_dt_interval(secs=(F.col("c_custkey") * 37 % 1000003).cast("decimal(18,6)"))
+        ).alias("created_at"),
     )
 
 
@@ -184,7 +187,7 @@ FROM {part}
 
 REFRESH_TOKENS = """
 SELECT o_orderkey AS token_id, concat('token-', CAST(o_orderkey AS STRING)) AS token, o_custkey AS user_id,
-  CAST(o_orderdate AS TIMESTAMP) AS expires_at, MOD(o_orderkey, 5) = 0 AS revoked
+  o_orderdate AS expires_at, MOD(o_orderkey, 5) = 0 AS revoked
 FROM {orders}
 """
 
@@ -217,7 +220,7 @@ def refresh_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contact_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return view(spark, folder, CONTACT_MESSAGES)
+    return view(spark, folder, CONTACT_MESSAGES).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 def review_pages(spark: SparkSession, folder: str, per_page: int = 5) -> DataFrame:

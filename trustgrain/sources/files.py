@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def plain_rating(rating: Column) -> Column:
@@ -39,16 +45,16 @@ def analysis_csv_rows(df: DataFrame) -> DataFrame:
 
 
 def write_reviews_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    raw_csv_rows(df).write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    raw_csv_rows(df).write.mode(mode).options(**CSV, emptyValue="").csv(path)
 
 
 def write_analysis_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    analysis_csv_rows(df).write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    analysis_csv_rows(df).write.mode(mode).options(**CSV, emptyValue="").csv(path)
 
 
 def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw exports as ``text, rating, date_raw``. Quoted line breaks stay part of the text."""
-    rows = spark.read.schema(schemas.RAW_REVIEW_CSV).options(**CSV).csv(path)
+    rows = spark.read.schema(schemas.RAW_REVIEW_CSV).options(**CSV, multiLine=True).csv(path)
     return rows.select(
         F.col("review_text").alias("text"),
         F.col("rating").try_cast("double").alias("rating"),

@@ -84,12 +84,12 @@ def rate_limit_audit(df: DataFrame, key: str, bucket: TokenBucket, ts: str = "cr
     A bucket that was idle for its whole period is full, so what follows does not depend on what came before. Keys are
     cut there and the pieces replayed independently, which spreads a busy key over many tasks.
     """
-    timed = df.withColumn("_us", F.unix_micros(ts))
+    timed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     cut = with_segments(timed, key, "_us", tie, bucket.forget_s)
     return replay(cut, bucket, [key, "segment"], "_us", tie, tie).drop("_us", "segment")
 
 
 def lockout_audit(df: DataFrame, key: str, rule, failed: str, ts: str = "created_at", tie: str = "id") -> DataFrame:
     """Which attempts would have been refused, and when a key would have been locked."""
-    timed = df.withColumn("_us", F.unix_micros(ts))
+    timed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     return replay(timed, rule, [key], "_us", tie, failed).drop("_us")

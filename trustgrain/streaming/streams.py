@@ -13,9 +13,15 @@ from ..operators.reviews import identity_key
 from ..session import work_path
 
 
-def read_events(spark: SparkSession, pattern: str, schema, files_per_trigger: int = 1000) -> DataFrame:
-    """Stored event files as a stream; ``pattern`` may name single files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
+def read_events(spark: SparkSession, folder: str, schema, files: str = "*", files_per_trigger: int = 1000) -> DataFrame:
+    """Event files of a folder as a stream; ``files`` is a pattern for their names.
+
+    Zone-less time columns are read as instants, which is what event time and watermarks need.
+    """
+    options = {"maxFilesPerTrigger": files_per_trigger, "pathGlobFilter": files}
+    stream = spark.readStream.schema(schema).options(**options).parquet(folder)
+    plain = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c in plain})
 
 
 def apply_rule(stream: DataFrame, rule, key: str, ts: str, tie: str, event: str, forget: str = "7 days") -> DataFrame:
