@@ -5,6 +5,7 @@ from __future__ import annotations
 from trustgrain.functions.text import PHRASE_STOP_WORDS, TERM_STOP_WORDS
 from trustgrain.operators import bursts, duplicates, phrases, ratings, similarity
 from trustgrain.plans import derive, report
+from trustgrain.session import written
 
 from .base import REVIEWS_SQL, query
 
@@ -298,8 +299,8 @@ def tfidf_weights(spark, d):
 def similar_pairs(spark, d):
     from pyspark.sql import functions as F
 
-    vectors = similarity.document_vectors(similarity.token_bags(derive.reviews(spark, d)))
-    return similarity.similar_pairs(vectors).withColumn("sim", F.round("sim", 6))
+    weights = written(similarity.term_weights(similarity.token_bags(derive.reviews(spark, d))), "weights")
+    return similarity.similar_pairs(weights).withColumn("sim", F.round("sim", 6))
 
 
 @query(
