@@ -29,6 +29,59 @@ def product_meta(spark, d):
     return jsonld.product_meta(derive.review_pages(spark, d))
 
 
+@query(
+    "service_meta",
+    """SELECT p_partkey AS body_id, p_name AS name, CASE WHEN MOD(p_partkey, 2) = 0 THEN p_brand ELSE '' END AS brand, 'INR ' || p_size AS price, '' AS image_url,
+    CASE WHEN MOD(p_partkey, 8) < 5 THEN CAST(MOD(p_partkey, 8) AS DOUBLE) + 0.5::DOUBLE END AS overall_rating FROM part""",
+)
+def service_meta(spark, d):
+    """One answer per part; the product is named at the top or inside a wrapper, ratings beyond 5 do not count."""
+    p = load(spark, d, "part")
+    facts = F.struct(
+        F.col("p_name").alias("productName"),
+        F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("brandName"),
+        F.col("p_size").alias("mrp"),
+        ((F.col("p_partkey") % 8).cast("double") + 0.5).alias("averageRating"),
+    )
+    body = F.when(F.col("p_partkey") % 3 == 0, F.to_json(facts)).otherwise(F.to_json(F.struct(facts.alias("data"))))
+    return api.service_meta(p.select(F.col("p_partkey").alias("body_id"), body.alias("body")))
+
+
+@query(
+    "shown_meta",
+    "SELECT p_partkey AS page_id, p_name AS name, p_brand AS brand, 'INR ' || p_size AS price, p_type || '.png' AS image_url, CAST(MOD(p_size, 5) AS DOUBLE) + 0.5::DOUBLE AS overall_rating FROM part",
+)
+def shown_meta(spark, d):
+    html = F.concat(
+        F.lit('<html><body><span id="productTitle"> '), "p_name", F.lit(' </span><a id="bylineInfo">Visit the '), "p_brand",
+        F.lit(' Store</a><span class="a-price"><b class="a-offscreen">INR '), "p_size", F.lit('</b></span><img id="landingImage" src="'), "p_type",
+        F.lit('.png"><div id="acrPopover"><i class="x a-icon-alt">'), F.col("p_size") % 5, F.lit(".5 out of 5</i></div></body></html>"),
+    )
+    return cards.shown_meta(load_spread(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+
+
+@query(
+    "page_state_meta",
+    """SELECT p_partkey AS page_id, p_name AS name, p_brand AS brand, 'INR ' || p_size AS price, p_type || '.jpg' AS image_url, 4.5::DOUBLE AS overall_rating FROM part""",
+)
+def page_state_meta(spark, d):
+    state = F.to_json(
+        F.struct(
+            F.struct(
+                F.col("p_name").alias("name"),
+                F.struct(F.col("p_brand").alias("name")).alias("brand"),
+                F.col("p_size").alias("mrp"),
+                F.struct(F.array(F.struct(F.concat("p_type", F.lit(".jpg")).alias("image"))).alias("albums")).alias("media"),
+                F.struct(F.lit(4.5).alias("averageRating")).alias("ratings"),
+            ).alias("pdpData")
+        )
+    )
+    html = F.concat(F.lit("<script>window.__myx = "), state, F.lit("</script>"))
+    pages = load_spread(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    documents = embedded.state_documents(pages)
+    return api.page_state_meta(documents, ["page_id"])
+
+
 @query(
     "page_titles",
     r"""SELECT page_id, CASE WHEN length(t) > 5 THEN t END AS name FROM (SELECT page_id, trim(regexp_replace(regexp_replace(

@@ -164,3 +164,66 @@ def page_frontier(totals: DataFrame, fetched: DataFrame, page_size: int, by: lis
     last = F.ceil(F.col("total") / page_size).cast("int")
     wanted = totals.filter(F.col("total") > 0).select(*keys, F.explode(F.sequence(F.lit(1), last)).alias("page_no"))
     return wanted.join(fetched.select(*keys, "page_no"), [*keys, "page_no"], "left_anti")
+
+
+def _present(v: Column, *keys: tuple[str, ...]) -> Column:
+    """First value under one of the paths that is neither missing, empty nor zero."""
+    return F.coalesce(*[F.nullif(F.nullif(V.scalar_text(v, *k), F.lit("")), F.lit("0")) for k in keys])
+
+
+def service_meta(bodies: DataFrame, key: str = "body_id", body: str = "body") -> DataFrame:
+    """Product facts next to the reviews of a service's answer, at its top or one level down.
+
+    The first level that names a product is used; answers that name none have no row.
+    """
+    levels = [(), ("response",), ("data",), ("result",), ("payload",)]
+
+    def facts(v: Column, at: tuple[str, ...]) -> Column:
+        price = _present(v, (*at, "price"), (*at, "mrp"))
+        rating = _present(v, (*at, "averageRating"), (*at, "overallRating")).try_cast("double")
+        return F.struct(
+            _present(v, (*at, "productName"), (*at, "name"), (*at, "title")).alias("name"),
+            F.coalesce(_present(v, (*at, "brandName"), (*at, "brand")), F.lit("")).alias("brand"),
+            F.coalesce(F.concat(F.lit("INR "), price), F.lit("")).alias("price"),
+            F.coalesce(_present(v, (*at, "imageUrl"), (*at, "image")), F.lit("")).alias("image_url"),
+            F.when(rating.between(0.0, 5.0), rating).alias("overall_rating"),
+        )
+
+    found = bodies.select(key, V.parse(F.col(body)).alias("v")).filter(F.col("v").isNotNull())
+    ordered = F.array(*[facts(F.col("v"), at) for at in levels])
+    return (
+        found.select(key, F.get(F.filter(ordered, lambda m: m.getField("name").isNotNull()), 0).alias("m"))
+        .filter(F.col("m").isNotNull())
+        .select(key, "m.*")
+    )
+
+
+def page_state_meta(documents: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
+    """Product facts in a page's state under ``pdpData``; input are documents of ``embedded.state_documents``."""
+    v = F.col("v")
+    p = lambda *k: ("pdpData", *k)
+    amount = _present(v, p("mrp", "mrp"), p("mrp", "value"), p("mrp"), p("price", "mrp"), p("price", "value"))
+    other = _present(v, p("discountedPrice"), p("price"))
+    currency = F.coalesce(_present(v, p("mrp", "currency"), p("price", "currency")), F.lit("INR"))
+    image = _present(
+        v,
+        p("searchImage"),
+        p("image"),
+        p("defaultImage"),
+        p("thumbnailImage"),
+        p("landingPageImage"),
+        p("productImage"),
+    )
+    album = F.try_variant_get(v, '$.pdpData.media.albums[0].image', "string")
+    return (
+        documents.select(*keys, V.parse(F.col(doc)).alias("v"))
+        .select(
+            *keys,
+            _present(v, p("name"), p("productName")).alias("name"),
+            F.coalesce(_present(v, p("brand", "name"), p("brand", "brandName"), p("brand"), p("brandName")), F.lit("")).alias("brand"),
+            F.coalesce(F.concat(currency, F.lit(" "), F.coalesce(amount, other)), F.lit("")).alias("price"),
+            F.coalesce(image, F.nullif(album, F.lit("")), F.lit("")).alias("image_url"),
+            parse_rating(_present(v, p("ratings", "averageRating"))).alias("overall_rating"),
+        )
+        .filter(F.col("name").isNotNull())
+    )

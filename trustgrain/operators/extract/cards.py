@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ...functions.pages import is_boilerplate
 from ...functions.text import clean_text, find_date_text, parse_rating
@@ -190,6 +191,48 @@ def card_reviews(pages: DataFrame, key: str = "page_id", html: str = "html", sit
     )
 
 
+# Where shop pages without structured data show their product facts, in the order tried.
+META_SELECTORS = {
+    "name": ["#productTitle", 'a[data-hook="product-link"]'],
+    "brand": ["#bylineInfo"],
+    "price": [
+        "span.a-price .a-offscreen", "#priceblock_ourprice", "#priceblock_dealprice",
+        'span[data-a-color="price"] .a-offscreen', ".a-price .a-offscreen",
+    ],
+    "rating": ['#acrPopover [class*="a-icon-alt"]', '[data-hook="rating-out-of-text"]'],
+}
+META_IMAGES = ("#landingImage", "#imgBlkFront", "#main-image")
+META_TYPE = T.StructType([T.StructField(n, T.StringType()) for n in (*META_SELECTORS, "image")])
+
+
+@F.pandas_udf(META_TYPE)
+def _shown_meta(pages: pd.Series) -> pd.DataFrame:
+    def read(html: str) -> dict:
+        root = markup.tree(html or "")
+        shown = {name: markup.first_text(root, selectors) for name, selectors in META_SELECTORS.items()}
+        images = [n.attrs for s in META_IMAGES for n in markup.select(root, s)]
+        return {**shown, "image": images[0].get("data-old-hires") or images[0].get("src", "") if images else ""}
+
+    return pd.DataFrame([read(p) for p in pages], columns=META_TYPE.names)
+
+
+def shown_meta(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Product facts that a shop page shows in its known places; pages without a product name have no row."""
+    brand = F.regexp_replace(F.regexp_replace("m.brand", r"(?i)^(Visit the|Brand:\s*)", ""), r"\s*Store$", "")
+    return (
+        pages.select(key, _shown_meta(F.col(html)).alias("m"))
+        .filter(F.col("m.name") != "")
+        .select(
+            key,
+            F.col("m.name").alias("name"),
+            F.trim(brand).alias("brand"),
+            F.col("m.price").alias("price"),
+            F.col("m.image").alias("image_url"),
+            parse_rating(F.col("m.rating")).alias("overall_rating"),
+        )
+    )
+
+
 def extract_reviews(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """Reviews of stored marketplace pages by the best reading of each page, without repeats within a page.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import ALLOWED_DOMAINS, SITE_DOMAINS, authority, host
+from .skew import join_facts
 
 
 def host_suffixes(h):
@@ -50,15 +51,14 @@ def robots_filter(urls: DataFrame, rules: DataFrame, status: DataFrame, key: str
         "_path", F.when(path == "", "/").otherwise(path)
     )
     matched = (
-        located.select(key, "host", "_path")
-        .join(rules, "host")
+        join_facts(located.select(key, "host", "_path"), rules, ["host"], key)
         .filter(F.startswith("_path", F.col("prefix")))
         .groupBy(key)
         .agg(F.min_by("allow", "rule_no").alias("_allow"))
     )
     code = F.col("fetch_status")
     return (
-        located.join(status, "host", "left")
+        join_facts(located, status, ["host"], key, "left")
         .join(matched, key, "left")
         .withColumn(
             "allowed",

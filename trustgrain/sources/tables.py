@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Below this a table may well be a single row group, which only one task can read.
-SMALL_BYTES = 256 * 1024 * 1024
-
-
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -16,9 +12,8 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def load_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read a table for per-row text work, which costs far more than reading it.
 
-    A table below ``SMALL_BYTES`` is dealt out over all cores. A larger one has enough splits and is left alone, so
-    nothing is shuffled that is large.
+    A table in a single file, possibly a single row group, would be read by one task; it is dealt out over all cores.
+    A table of many files has enough splits and is left alone, so nothing large is shuffled.
     """
     df = load(spark, folder, name)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df

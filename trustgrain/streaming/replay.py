@@ -90,6 +90,13 @@ def rate_limit_audit(df: DataFrame, key: str, bucket: TokenBucket, ts: str = "cr
 
 
 def lockout_audit(df: DataFrame, key: str, rule, failed: str, ts: str = "created_at", tie: str = "id") -> DataFrame:
-    """Which attempts would have been refused, and when a key would have been locked."""
+    """Which attempts would have been refused, and when a key would have been locked.
+
+    Where failures are forgotten after a while, a key is cut at pauses of that length, as in :func:`rate_limit_audit`.
+    Otherwise its attempts depend on each other from first to last and stream through one task in order.
+    """
     timed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    return replay(timed, rule, [key], "_us", tie, failed).drop("_us")
+    if rule.forget_s is None:
+        return replay(timed, rule, [key], "_us", tie, failed).drop("_us")
+    cut = with_segments(timed, key, "_us", tie, rule.forget_s)
+    return replay(cut, rule, [key, "segment"], "_us", tie, failed).drop("_us", "segment")

@@ -81,6 +81,11 @@ class Lockout:
             return (0, ts, ts + self.lock_s * MICROS), (False, count, True)
         return (count, ts, None), (False, count, False)
 
+    @property
+    def forget_s(self) -> int | None:
+        """After this long without events a key starts anew; never, if failures are not forgotten."""
+        return None if self.memory_s is None else max(self.memory_s, self.lock_s)
+
 
 IP_LOCKOUT = Lockout(IP_FAILURES, IP_BLOCK_S, IP_MEMORY_S)
 ACCOUNT_LOCKOUT = Lockout(ACCOUNT_FAILURES, ACCOUNT_LOCK_S)
