@@ -90,34 +90,35 @@ RULES = {
 
 def review_list(body: Column, rule: ApiRule) -> Column:
     """The body itself if it is a list, else the first list under a known key, else the first one level deeper."""
-    direct = [V.items(body, k) for k in rule.lists]
-    deeper = [V.items(body, w, k) for w in rule.wrappers for k in rule.lists]
-    bare = [V.items(body, w) for w in rule.wrappers]
-    whole = F.try_variant_get(body, "$", V.LIST)
-    return F.coalesce(F.when(F.size(whole) > 0, whole), *direct, *deeper, *bare)
+    paths = [(), *[(k,) for k in rule.lists], *[(w, k) for w in rule.wrappers for k in rule.lists]]
+    paths += [(w,) for w in rule.wrappers]
+    lists = F.array(*[V.get(body, *at, type=V.LIST) for at in paths])
+    return F.get(F.filter(lists, lambda found: F.size(found) > 0), 0)
 
 
 def _first_text(item: Column, rule: ApiRule) -> Column:
-    long_enough = lambda t: F.when(F.length(strip(t)) >= rule.min_text, t)
-    tries = [clean_text(long_enough(V.string(item, k))) for k in rule.text]
+    texts = [V.string(item, k) for k in rule.text]
     if rule.title:
-        title = F.coalesce(V.string(item, "title"), F.lit(""))
-        body = F.coalesce(*[F.nullif(V.string(item, k), F.lit("")) for k in rule.text[:3]], F.lit(""))
-        tries.append(clean_text(long_enough(strip(F.concat(strip(title), F.lit(" "), strip(body))))))
-    return F.coalesce(*tries)
+        title = strip(F.coalesce(V.string(item, "title"), F.lit("")))
+        filled = F.filter(F.array(*[V.string(item, k) for k in rule.text[:3]]), lambda t: t != "")
+        body = strip(F.coalesce(F.get(filled, 0), F.lit("")))
+        texts.append(strip(F.concat(title, F.lit(" "), body)))
+    long_enough = F.filter(F.array(*texts), lambda t: F.length(strip(t)) >= rule.min_text)
+    return clean_text(F.get(long_enough, 0))
 
 
 def _first_rating(item: Column, rule: ApiRule) -> Column:
-    tries = [parse_rating(V.scalar_text(item, k)) for k in rule.rating]
+    rated = F.transform(F.array(*[V.scalar_text(item, k) for k in rule.rating]), parse_rating)
+    flat = F.get(F.filter(rated, lambda r: r.isNotNull()), 0)
     if not rule.nested_rating:
-        return F.coalesce(*tries)
+        return flat
     nested = V.scalar_text(item, "reviewRating", "ratingValue")
-    return F.when(nested.isNotNull(), parse_rating(nested)).otherwise(F.coalesce(*tries))
+    return F.when(nested.isNotNull(), parse_rating(nested)).otherwise(flat)
 
 
 def _first_present(item: Column, keys: tuple[str, ...]) -> Column:
-    present = lambda k: F.nullif(F.nullif(V.scalar_text(item, k), F.lit("")), F.lit("0"))
-    return F.coalesce(*[present(k) for k in keys], F.lit(""))
+    texts = F.array(*[V.scalar_text(item, k) for k in keys])
+    return F.coalesce(F.get(F.filter(texts, lambda t: ~t.isin("", "0")), 0), F.lit(""))
 
 
 def api_reviews(bodies: DataFrame, service: str, key: str = "body_id", body: str = "body") -> DataFrame:
@@ -168,7 +169,8 @@ def page_frontier(totals: DataFrame, fetched: DataFrame, page_size: int, by: lis
 
 def _present(v: Column, *keys: tuple[str, ...]) -> Column:
     """First value under one of the paths that is neither missing, empty nor zero."""
-    return F.coalesce(*[F.nullif(F.nullif(V.scalar_text(v, *k), F.lit("")), F.lit("0")) for k in keys])
+    texts = F.array(*[V.scalar_text(v, *k) for k in keys])
+    return F.get(F.filter(texts, lambda t: ~t.isin("", "0")), 0)
 
 
 def service_meta(bodies: DataFrame, key: str = "body_id", body: str = "body") -> DataFrame:
@@ -176,25 +178,24 @@ def service_meta(bodies: DataFrame, key: str = "body_id", body: str = "body") ->
 
     The first level that names a product is used; answers that name none have no row.
     """
-    levels = [(), ("response",), ("data",), ("result",), ("payload",)]
-
-    def facts(v: Column, at: tuple[str, ...]) -> Column:
-        price = _present(v, (*at, "price"), (*at, "mrp"))
-        rating = _present(v, (*at, "averageRating"), (*at, "overallRating")).try_cast("double")
-        return F.struct(
-            _present(v, (*at, "productName"), (*at, "name"), (*at, "title")).alias("name"),
-            F.coalesce(_present(v, (*at, "brandName"), (*at, "brand")), F.lit("")).alias("brand"),
-            F.coalesce(F.concat(F.lit("INR "), price), F.lit("")).alias("price"),
-            F.coalesce(_present(v, (*at, "imageUrl"), (*at, "image")), F.lit("")).alias("image_url"),
-            F.when(rating.between(0.0, 5.0), rating).alias("overall_rating"),
-        )
-
-    found = bodies.select(key, V.parse(F.col(body)).alias("v")).filter(F.col("v").isNotNull())
-    ordered = F.array(*[facts(F.col("v"), at) for at in levels])
+    names = (("productName",), ("name",), ("title",))
+    levels = F.array(F.col("v"), *[V.get(F.col("v"), w, type="variant") for w in ("response", "data", "result", "payload")])
+    naming = F.get(F.filter(levels, lambda level: _present(level, *names).isNotNull()), 0)
+    o = F.col("o")
+    rating = _present(o, ("averageRating",), ("overallRating",)).try_cast("double")
     return (
-        found.select(key, F.get(F.filter(ordered, lambda m: m.getField("name").isNotNull()), 0).alias("m"))
-        .filter(F.col("m").isNotNull())
-        .select(key, "m.*")
+        bodies.select(key, V.parse(F.col(body)).alias("v"))
+        .select(key, naming.alias("o"))
+        .select(
+            key,
+            _present(o, *names).alias("name"),
+            F.coalesce(_present(o, ("brandName",), ("brand",)), F.lit("")).alias("brand"),
+            F.coalesce(F.concat(F.lit("INR "), _present(o, ("price",), ("mrp",))), F.lit("")).alias("price"),
+            F.coalesce(_present(o, ("imageUrl",), ("image",)), F.lit("")).alias("image_url"),
+            rating.alias("rated"),
+        )
+        .select(key, "name", "brand", "price", "image_url", F.when(F.col("rated").between(0.0, 5.0), F.col("rated")).alias("overall_rating"))
+        .filter(F.col("name").isNotNull())
     )
 
 

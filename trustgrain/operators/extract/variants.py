@@ -37,12 +37,6 @@ def scalar_text(v: Column, *keys: str) -> Column:
     return F.when(~kind(found).isin("OBJECT", "ARRAY", "VOID"), F.try_variant_get(found, "$", "string"))
 
 
-def items(v: Column, *keys: str) -> Column:
-    """The list at a path where there is one with content, else null."""
-    found = get(v, *keys, type=LIST)
-    return F.when(F.size(found) > 0, found)
-
-
 def one_or_many(v: Column) -> Column:
     """A list as it is, a single value as a list of one, nothing as null."""
     return F.coalesce(F.try_variant_get(v, "$", LIST), F.when(v.isNotNull(), F.array(v)))
