@@ -9,10 +9,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import work_path
+
 
 def fit_classifier(labelled: DataFrame, label: str, text: str = "text", features: int = 1 << 16) -> PipelineModel:
-    """Logistic regression over weighted term counts, trained on a table with a numeric ``label`` column."""
-    return Pipeline(
+    """Logistic regression over weighted term counts, trained on a table with a numeric ``label`` column.
+
+    The model is stored in the shared folder and read back: a stored model carries no training summary, which would
+    tie it to the session that trained it.
+    """
+    fitted = Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
             HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
@@ -20,6 +26,9 @@ def fit_classifier(labelled: DataFrame, label: str, text: str = "text", features
             LogisticRegression(featuresCol="_features", labelCol=label, maxIter=20, regParam=0.01),
         ]
     ).fit(labelled)
+    path = work_path(labelled.sparkSession, f"model-{label}")
+    fitted.write().save(path)
+    return PipelineModel.load(path)
 
 
 def classify(model: PipelineModel, df: DataFrame, names: list[str], slot: str) -> DataFrame:
