@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import is_blank
+from .text import count_chars, is_blank
 
 # Script ranges in the order they are tested.
 SCRIPTS = (
-    ("hi", r"[\x{0900}-\x{097F}]"),
-    ("ru", r"[\x{0400}-\x{04FF}]"),
-    ("zh", r"[\x{4E00}-\x{9FFF}]"),
-    ("ja", r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}]"),
-    ("ko", r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}]"),
-    ("ar", r"[\x{0600}-\x{06FF}]"),
+    ("hi", r"\x{0900}-\x{097F}"),
+    ("ru", r"\x{0400}-\x{04FF}"),
+    ("zh", r"\x{4E00}-\x{9FFF}"),
+    ("ja", r"\x{3040}-\x{309F}\x{30A0}-\x{30FF}"),
+    ("ko", r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}"),
+    ("ar", r"\x{0600}-\x{06FF}"),
 )
 
 # Display names by language code.
@@ -29,10 +29,10 @@ LANGUAGE_NAMES = {
 
 def detect_language(text: Column) -> Column:
     """First script that covers more than half of the letters, else English."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    letters = count_chars(text, r"\p{L}")
     expr = F.when(is_blank(text) | (letters == 0), "en")
     for code, script in SCRIPTS:
-        expr = expr.when(F.regexp_count(text, F.lit(script)) * 2 > letters, code)
+        expr = expr.when(count_chars(text, script) * 2 > letters, code)
     return expr.otherwise("en")
 
 

@@ -64,6 +64,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{NOT_SPACE}+"))
 
 
+def count_chars(text: Column, members: str) -> Column:
+    """Characters of the text inside a regular-expression class; what lies between them is cut out in runs."""
+    return F.length(F.regexp_replace(text, f"[^{members}]+", ""))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{NOT_SPACE}+"), F.lit(0))
 

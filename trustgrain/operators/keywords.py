@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, TERM_STOP_WORDS, is_blank, word_count
+from ..session import written
 from .skew import top_k
 
 # Topics by words that a keyword may contain.
@@ -70,7 +71,8 @@ def keywords(
     best of them; a phrase found by both keeps its higher score. The scorer is replaceable because the meaning-based
     scorer of a language model is not part of this library.
     """
-    grams = review_grams(df.filter(~is_blank(F.col(text))), by, text)
+    # Written once, because four parts of the plan read it.
+    grams = written(review_grams(df.filter(~is_blank(F.col(text))), by, text), "grams")
     spread = grams.groupBy("n_words", "phrase").agg(F.count(F.lit(1)).alias("products_with"))
     products = grams.select(by).distinct().agg(F.count(F.lit(1)).alias("products"))
     most = grams.groupBy(by).agg(F.max("uses").alias("most"))

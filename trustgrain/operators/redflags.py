@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent
-from ..functions.text import SPACE, WORD, strip, word_count, words
+from ..functions.pages import any_part
+from ..functions.text import SPACE, WORD, count_chars, strip, words
 from .detections import ratio
 
 _B, _E = rf"(?<!{WORD})", rf"(?!{WORD})"
@@ -14,10 +15,14 @@ _B, _E = rf"(?<!{WORD})", rf"(?!{WORD})"
 # Wording that the rules look for, on lower-case text.
 GENERIC = rf"{_B}(good|bad|great|awesome|terrible|worst|best|amazing){SPACE}+(product|item|quality|service){_E}"
 SUSPICIOUS = (
-    (rf"{_B}(only|just){SPACE}+\d+{SPACE}+(left|remaining){_E}", "Fake urgency - 'Only X left!'"),
-    (rf"{_B}(order|sell|buy){SPACE}+(fast|quick|now){_E}", "Fake urgency"),
-    (rf"{_B}(first{SPACE}+time{SPACE}+(buyer|user|customer)){_E}", "Fake first-timer claims"),
-    (rf"{_B}(5{SPACE}*star|five{SPACE}*star|one{SPACE}*star|1{SPACE}*star){SPACE}+(rating|review){_E}", "Explicit star claims"),
+    (rf"{_B}(only|just){SPACE}+\d+{SPACE}+(left|remaining){_E}", "Fake urgency - 'Only X left!'", ("left", "remaining")),
+    (rf"{_B}(order|sell|buy){SPACE}+(fast|quick|now){_E}", "Fake urgency", ("order", "sell", "buy")),
+    (rf"{_B}(first{SPACE}+time{SPACE}+(buyer|user|customer)){_E}", "Fake first-timer claims", ("first",)),
+    (
+        rf"{_B}(5{SPACE}*star|five{SPACE}*star|one{SPACE}*star|1{SPACE}*star){SPACE}+(rating|review){_E}",
+        "Explicit star claims",
+        ("star",),
+    ),
 )
 DETAILS = (
     rf"\d+{SPACE}*(gb|mb|kg|cm|mm|inch|hour|minute|day|week|month|year)",
@@ -38,15 +43,18 @@ def _flag(kind: str, severity: str, description: Column | str, evidence: Column
     )
 
 
-def flags(text: Column) -> Column:
-    """All flags of a text in rule order."""
-    low = F.lower(text)
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    upper = ratio(F.regexp_count(text, F.lit(r"\p{Lu}")), letters)
-    bangs = F.regexp_count(text, F.lit("!"))
-    questions = F.regexp_count(text, F.lit(r"\?"))
-    n_words = word_count(text)
-    low_words = words(low)
+def _occurrences(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def flags(text: Column, low: Column, low_words: Column) -> Column:
+    """All flags of a text in rule order; its lower-case form and the words of that are columns of their own, so that
+    they are computed once."""
+    letters = count_chars(text, r"\p{L}")
+    upper = ratio(count_chars(text, r"\p{Lu}"), letters)
+    bangs = _occurrences(text, "!")
+    questions = _occurrences(text, "?")
+    n_words = F.size(low_words)
     pairs = F.filter(
         F.zip_with(
             low_words,
@@ -55,7 +63,8 @@ def flags(text: Column) -> Column:
         ),
         lambda p: p.isNotNull(),
     )
-    suspicious = F.coalesce(*[F.when(low.rlike(p), d) for p, d in SUSPICIOUS])
+    # The plain words that a pattern cannot do without are looked for first; few texts need the pattern itself.
+    suspicious = F.coalesce(*[F.when(any_part(low, needed) & low.rlike(p), d) for p, d, needed in SUSPICIOUS])
     detailed = low.rlike("|".join(f"(?:{p})" for p in DETAILS))
     return F.array_compact(
         F.array(
@@ -100,7 +109,7 @@ def flags(text: Column) -> Column:
                 _flag("SUSPICIOUS_PHRASE", "medium", suspicious, "Contains suspicious marketing language"),
             ),
             F.when(
-                (n_words >= 4) & (F.size(F.array_distinct(pairs)) * 2 < F.size(pairs)),
+                (n_words >= 4) & (F.size(F.array_distinct(pairs)) * 2 < n_words - 1),
                 _flag(
                     "REPETITIVE_TEXT", "high", "Repetitive or templated text", "High repetition of phrases detected"
                 ),
@@ -132,7 +141,11 @@ def suspicion_level(score: Column) -> Column:
 def red_flags(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``red_flags``, ``total_flags``, ``suspicion_score`` and ``suspicion_level``."""
     return (
-        df.withColumn("red_flags", flags(strip(F.col(text))))
+        df.withColumn("_text", strip(F.col(text)))
+        .withColumn("_low", F.lower("_text"))
+        .withColumn("_words", words(F.col("_low")))
+        .withColumn("red_flags", flags(F.col("_text"), F.col("_low"), F.col("_words")))
+        .drop("_text", "_low", "_words")
         .withColumn("total_flags", F.size("red_flags"))
         .withColumn("suspicion_score", suspicion_score(F.col("red_flags")))
         .withColumn("suspicion_level", suspicion_level(F.col("suspicion_score")))
