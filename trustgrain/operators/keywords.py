@@ -82,17 +82,16 @@ def keywords(
         .withColumn("products", products.scalar())
         .select(by, "n_words", "phrase", F.round(scorer(), 4).alias("score"))
     )
-    picked = None
-    for low, high, candidates, kept in PASSES:
-        best = top_k(
-            rated.filter(F.col("n_words").between(low, high)),
-            [by],
-            [F.desc("score"), F.asc("phrase")],
-            min(candidates, kept),
-            ["phrase"],
-        ).select(by, "phrase", "score")
-        picked = best if picked is None else picked.union(best)
-    merged = picked.groupBy(by, F.col("phrase").alias("keyword")).agg(F.max("score").alias("score"))
+    # Both passes are ranked together: a phrase takes part in each pass that admits its length.
+    admitted = [
+        F.when(F.col("n_words").between(low, high), F.struct(F.lit(i).alias("pass"), F.lit(kept).alias("kept")))
+        for i, (low, high, _, kept) in enumerate(PASSES)
+    ]
+    entered = rated.select(by, "phrase", "score", F.inline(F.array_compact(F.array(*admitted))))
+    best = top_k(
+        entered, [by, "pass"], [F.desc("score"), F.asc("phrase")], max(kept for *_, kept in PASSES), ["phrase"]
+    ).filter(F.col("rank") <= F.col("kept"))
+    merged = best.groupBy(by, F.col("phrase").alias("keyword")).agg(F.max("score").alias("score"))
     return top_k(merged, [by], [F.desc("score"), F.asc("keyword")], KEPT, ["keyword"], rank="keyword_rank")
 
 
