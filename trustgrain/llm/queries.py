@@ -100,7 +100,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
-#: The longest prefix sums with which no source is above its limit give the rate per weight; then the two histograms.
+#: The fewest sources at their limit with which no other source is above its own give the rate; then the histograms.
 ORACLES["op5_mixing"] = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -113,17 +113,16 @@ weighed AS (
     WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM sums),
 ratios AS (
   SELECT *, 2.0 * source_size / w AS r,
-    sum(2 * source_size) OVER o AS size_upto, sum(w) OVER o AS w_upto,
-    1.5 * sum(source_size) OVER () AS budget, sum(w) OVER () AS w_all
+    sum(2 * source_size) OVER o AS size_upto, sum(w) OVER o AS w_upto, row_number() OVER o AS k,
+    CAST(1.5 * sum(source_size) OVER () AS DOUBLE) AS budget, sum(w) OVER () AS w_all
   FROM weighed WINDOW o AS (ORDER BY 2.0 * source_size / w, source ROWS UNBOUNDED PRECEDING)),
 steps AS (
-  SELECT 0 AS size_upto, 0 AS w_upto, max(budget) AS budget, max(w_all) AS w_all, min(r) AS next FROM ratios
+  SELECT 0 AS size_upto, 0 AS w_upto, 0 AS k, max(budget) AS budget, max(w_all) AS w_all, min(r) AS next FROM ratios
   UNION ALL
-  SELECT size_upto, w_upto, budget, w_all, lead(r) OVER (ORDER BY r, source) FROM ratios),
+  SELECT size_upto, w_upto, k, budget, w_all, lead(r) OVER (ORDER BY k) FROM ratios),
 rate AS (
-  SELECT min(CAST(budget - size_upto AS DOUBLE) / (w_all - w_upto)) FILTER (WHERE
-    (budget - size_upto) / (w_all - w_upto) <= next) AS rate
-  FROM steps WHERE w_upto < w_all),
+  SELECT arg_min((budget - size_upto) / (w_all - w_upto), k) AS rate
+  FROM steps WHERE w_upto < w_all AND (budget - size_upto) / (w_all - w_upto) <= next),
 targets AS (
   SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), rate * w) AS target FROM weighed, rate),
 budgets AS (
