@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import fresh, same
 
 #: Share of a site's pages above which a line is boilerplate, and the number of pages it must be on at least.
@@ -58,17 +59,16 @@ def drop_boilerplate(
     0 lines. Columns of these two names that ``pages`` may have are replaced. An empty table gives an empty table.
 
     A site has fewer boilerplate lines than its lines per page divided by ``ratio``, so they fit into one array per
-    site. These arrays, one row per site, are joined with the pages; the planner broadcasts them when they are small,
-    and beyond that adaptive execution splits a site that holds many pages.
+    site. These arrays, one row per site, are written before they are joined with the pages, so the planner knows their
+    size: it broadcasts them when they are small, and the texts are not shuffled; beyond that adaptive execution splits
+    a site that holds many pages.
     """
     own = fresh(pages, "boiler_site")
     drop = fresh(pages, "boiler_keys")
-    per_site = (
-        boilerplate(pages, site, text, ratio, min_pages)
-        .groupBy("site")
-        .agg(F.collect_set("line_key").alias(drop))
-        .withColumnRenamed("site", own)
-    )
+    per_site = written(
+        boilerplate(pages, site, text, ratio, min_pages).groupBy("site").agg(F.collect_set("line_key").alias("keys")),
+        "boilerplate",
+    ).toDF(own, drop)
     joined = pages.join(per_site, same(F.col(site), F.col(own)), "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.when(
