@@ -20,7 +20,7 @@ FIELDS = {
 }
 #: Payloads of at least so many bytes are revisits where an earlier record has the same.
 LEAST_PAYLOAD = 0
-#: Records of one WARC file; a file is read by one task.
+#: Records of one archive, ARC or WARC; a file is read by one task.
 RECORDS_PER_FILE = 500
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_HEADER = "X-Page-Id"
@@ -52,14 +52,15 @@ def arc_archive(name: str, records: list[tuple[str, str, str, str, bytes]], vers
 
 
 def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
-    """``(archive, content)``: pages as ARC archives, one per Arrow batch, each page an HTTP response with its id.
+    """``(archive, content)``: pages as ARC archives of a few hundred records, each an HTTP response with its page's id.
 
     White space in a URL is percent-encoded, a null or empty URL is ``-``, a null html an empty payload.
     """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        for k, batch in enumerate(batches):
+        slices = (b.iloc[at : at + RECORDS_PER_FILE] for b in batches for at in range(0, len(b), RECORDS_PER_FILE))
+        for k, batch in enumerate(slices):
             records = []
             for i, u, h in zip(batch["id"], batch["url"], batch["html"], strict=True):
                 payload = (h or "").encode("utf-8", "surrogatepass")
