@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Bounds of the training sample: labelled texts per class, and characters of the one window taken from each.
 EXAMPLES = 3000
 WINDOW = 1500
@@ -95,15 +97,16 @@ def fit_classifier(
     """
     mixed = F.xxhash64(F.col(text), F.lit(17))
     room = F.greatest(F.length(text) - window, F.lit(0)) + 1
+    place = F.pmod(mixed, room).cast("int") + 1
+    windows = written(
+        labelled.filter(F.col(label).isin(0, 1) & (F.length(text) > 0)).select(
+            F.substring(text, place, F.lit(window)).alias("t"), mixed.alias("h"), F.col(label).alias("label")
+        ),
+        "windows",
+    )
     picked = []
     for value in (1, 0):
-        rows = (
-            labelled.filter((F.col(label) == value) & (F.length(text) > 0))
-            .select(F.substring(text, F.pmod(mixed, room).cast("int") + 1, F.lit(window)).alias("t"), mixed.alias("h"))
-            .orderBy("h", "t")
-            .limit(examples)
-            .collect()
-        )
+        rows = windows.filter(F.col("label") == value).orderBy("h", "t").limit(examples).collect()
         picked.append(list(dict.fromkeys(r["t"].encode() for r in rows)))
     cut = [max(1, int(len(p) * (1 - CALIBRATION_SHARE))) for p in picked]
 
@@ -144,10 +147,17 @@ def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts and labels of the rows that are not held out; a document with several labels counts as each of them."""
-    marks = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "quality")
+def labelled_texts(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """Texts and labels of rows that are not held out, for at most ``examples`` ids of each label: those with the
+    smallest hash of the id. A document with several labels counts as each of them.
+
+    The ids are chosen before any text is read, so this list of at most two times ``examples`` numbers is all that is
+    sent to the tasks that read the texts.
+    """
+    marks = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
+    first = [marks.filter(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for v in (1, 0)]
+    chosen = written(first[0].union(first[1]), "label-sample")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
