@@ -51,12 +51,20 @@ def arc_archive(name: str, records: list[tuple[str, str, str, str, bytes]], vers
     return b"".join(out)
 
 
-def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
+def archive_pages(pages: DataFrame, **columns) -> DataFrame:
     """``(archive, content)``: pages as ARC archives of a few hundred records, each an HTTP response with its page's id.
 
-    White space in a URL is percent-encoded, a null or empty URL is ``-``, a null html an empty payload.
+    White space in a URL is percent-encoded, a null or empty URL is ``-``, a null html an empty payload. ``columns``
+    may name ``page_id``, ``url`` and ``html``, and the format ``version``.
     """
+    return _page_rows(pages, **columns).mapInPandas(_builder(**columns), "archive string, content binary")
 
+
+def _page_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
+    return pages.select(F.col(page_id).cast("string").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
+
+
+def _builder(version: int = 1, **columns):
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         slices = (b.iloc[at : at + RECORDS_PER_FILE] for b in batches for at in range(0, len(b), RECORDS_PER_FILE))
@@ -71,8 +79,7 @@ def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             name = f"pages-{part:06}-{k:06}.arc"
             yield pd.DataFrame({"archive": [name], "content": [arc_archive(name, records, version)]})
 
-    rows = pages.select(F.col(page_id).cast("string").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return rows.mapInPandas(build, "archive string, content binary")
+    return build
 
 
 def _http(block: bytes) -> tuple[int, dict[str, str]]:
@@ -141,9 +148,18 @@ def arc_records(archive: str, content: bytes) -> Iterator[tuple]:
         )
 
 
+def page_records(pages: DataFrame, **columns) -> DataFrame:
+    """The records of ``archive_pages(pages)``, built and read in one pass of one Python worker per task."""
+    build, parse = _builder(**columns), _reader()
+    return _page_rows(pages, **columns).mapInPandas(lambda batches: parse(build(batches)), ARC_RECORD)
+
+
 def read_arc(archives: DataFrame) -> DataFrame:
     """Records of ``archives(archive, content)``, such as ``binaryFile`` reads them; one file is one task's work."""
+    return archives.select("archive", "content").mapInPandas(_reader(), ARC_RECORD)
+
 
+def _reader():
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ARC_RECORD.split(", ")]
         for batch in batches:
@@ -151,7 +167,7 @@ def read_arc(archives: DataFrame) -> DataFrame:
                 frame = pd.DataFrame(list(arc_records(name, content or b"")), columns=names, dtype=object)
                 yield frame.astype({"version": "Int32", "status": "Int32", "id": "Int64"})
 
-    return archives.select("archive", "content").mapInPandas(parse, ARC_RECORD)
+    return parse
 
 
 def warc_date(date: str | None) -> str:

@@ -76,7 +76,7 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_archives(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "warc")
-    records = arc.read_arc(arc.archive_pages(table(spark, folder, "pages")))
+    records = arc.page_records(table(spark, folder, "pages"))
     arc.write_warc(arc.to_warc(records), path)
     back = arc.read_warc(spark, path).filter("record_type in ('response', 'revisit')")
     return arc.resolve_revisits(back).select(
