@@ -29,6 +29,13 @@ _MASK = (1 << 64) - 1
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(33)
+#: Bits of the filter that picks the documents whose full sets are needed, as a power of two; bits of one slice of it.
+FILTER_BITS = 27
+_SLICE = 32768
+#: Members of two blocks that one task compares; the share of sketch coordinates below which a pair is not compared in
+#: full: five standard deviations of a 128-coordinate sketch below the similarity (a miss once in two million pairs).
+BLOCK = 512
+LEAST_AGREEMENT = 0.56
 #: Words whose hashes a task remembers.
 _REMEMBERED = 500_000
 
@@ -110,30 +117,68 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words_per_shingle: int, bands: int, rows: int) -> DataFrame:
-    """``docs(id, text)`` as ``(id, n, digest, bands)``; ``digest`` (128 bits) stands for the whole shingle set."""
+    """``docs(id, text)`` as ``(id, n, digest, bands, marks)``: ``digest`` (128 bits) stands for the whole shingle set,
+    ``marks`` has one byte of every sketch coordinate."""
 
     def one_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
-            n, digests, keys = [], [], []
+            n, digests, keys, marks = [], [], [], []
             for t in batch["text"]:
                 s = shingle_set(t, hashes, words_per_shingle)
+                c = sketch(s, bands * rows) if len(s) else None
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(band_keys(sketch(s, bands * rows), bands, rows).view(np.int64) if len(s) else None)
-            yield pd.DataFrame({"id": batch["id"], "n": n, "digest": digests, "bands": keys})
+                keys.append(band_keys(c, bands, rows).view(np.int64) if len(s) else None)
+                marks.append(c.astype(np.uint8).tobytes() if len(s) else None)
+            yield pd.DataFrame({"id": batch["id"], "n": n, "digest": digests, "bands": keys, "marks": marks})
 
-    return docs.mapInPandas(one_batch, "id long, n long, digest binary, bands array<long>")
+    return docs.mapInPandas(one_batch, "id long, n long, digest binary, bands array<long>, marks binary")
 
 
-def _sets(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A fixed number of bits, ``2 ** FILTER_BITS``, in which that of every id's hash is set (lowest bit of a byte first)."""
+    number = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1  # slices and bits are counted from 1
+    # Each row of the answer holds a fixed slice of the bits, so at most 16 MB come to the driver.
+    slices = (
+        ids.groupBy(F.bitmap_bucket_number(number).alias("slice"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+        .collect()
+    )
+    out = np.zeros(((1 << FILTER_BITS) // _SLICE, _SLICE // 8), dtype=np.uint8)
+    for r in slices:
+        out[r["slice"] - 1] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words_per_shingle: int) -> DataFrame:
+    """``(id, shingles)`` of the documents with these ``ids``, written.
+
+    A filter of fixed size goes to the tasks that read the texts, so the texts are not shuffled; the few other
+    documents that pass it are left out by the join that follows. With very many ids the filter passes more of them.
+    """
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(_id_filter(ids))
+
     def one_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
+            at = batch["place"].to_numpy()
+            batch = batch[(bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             own = [shingle_set(t, hashes, words_per_shingle).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "shingles": own})
 
-    return docs.mapInPandas(one_batch, "id long, shingles binary")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("place")
+    found = docs.filter(F.col("id").isNotNull()).select("id", "text", place)
+    return written(found.mapInPandas(one_batch, "id long, shingles binary").join(ids, "id", "left_semi"), "shingle-sets")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= similarity * (len(x) + len(y) - both)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -143,12 +188,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) ->
         for batch in batches:
             keep = np.zeros(len(batch), dtype=bool)
             for i, (x, y) in enumerate(zip(batch["sa"], batch["sb"], strict=True)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep[i] = 100 * both >= similarity * (len(x) + len(y) - both)
+                keep[i] = _similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), similarity)
             yield batch.loc[keep, ["a", "b"]]
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -173,14 +213,17 @@ def near_duplicates(
     text) are linked with nothing. Rows that repeat an id are documents of their own with that id. Other columns are
     ignored. An empty table gives an empty table.
 
-    1. Every text is reduced, where it is read, to its set size, a digest of its set and its band keys.
+    1. Every text is reduced, where it is read, to its set size, a digest of its set, its band keys and sketch.
     2. Documents with equal sets are folded to the smallest id; from here on a group of copies is one row.
     3. Documents that share a band key are candidates. The members of a bucket are first compared with two leaders, so
-       a bucket of n near copies gives about 2 n pairs; sizes that cannot reach the similarity are left out.
-    4. Full shingle sets, computed only for candidates, decide. Links give components.
-    5. Buckets whose members still belong to different components are searched again: each member against the other
-       members of other components. Buckets of up to three members are complete after step 3, and groups of near
-       copies are one component by then, so little is left; what is left is compared in full, without a cap.
+       a bucket of n near copies gives about 2 n pairs; sizes that cannot reach the similarity are left out. Full
+       shingle sets, computed only for candidates, decide, and links give components. Buckets of up to three members
+       are complete by then.
+    4. In buckets whose members still belong to different components, each member is compared in full with the member
+       of another component that its sketch agrees with most. After that groups of near copies are one component.
+    5. What is left is searched without exception: buckets name the pairs of components between which some sketches
+       agree enough, and for these all members of the one are compared with all members of the other, block by block
+       inside tasks, where sketches and then full sets decide. Only links leave a task, never pairs.
     6. Components are joined back to all documents by set digest.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -188,7 +231,7 @@ def near_duplicates(
     nodes = written(
         marked.filter(F.col("id").isNotNull() & (F.col("n") > 0))
         .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")),
         "sketch-nodes",
     )
     linked = _linked(nodes, base, words_per_shingle, similarity).select(F.col("node").alias("id"), "component")
@@ -214,8 +257,7 @@ def _linked(nodes: DataFrame, base: DataFrame, words_per_shingle: int, similarit
 
     def links(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = written(_sets(base.join(ids, "id", "left_semi"), words_per_shingle), "shingle-sets")
-        return written(verified(pairs, sets, similarity), "links")
+        return written(verified(pairs, _sets(base, ids, words_per_shingle), similarity), "links")
 
     ends = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     to_leaders = (
@@ -223,23 +265,158 @@ def _linked(nodes: DataFrame, base: DataFrame, words_per_shingle: int, similarit
         .select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
         .filter("a <> b")
     )
-    first = written(possible(to_leaders), "pairs")
-    found = links(first)
+    found = links(written(possible(to_leaders), "pairs"))
     linked = written(components(found, []), "classes")
 
-    own = rows.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
-    )
+    best = _in_buckets(nodes, linked, similarity, pairs_of_classes=False)
+    more = links(written(best.select("a", "b").distinct(), "pairs"))
+    found = found.union(more)
+    linked = written(components(found, []), "classes")
+
+    across = written(_in_buckets(nodes, linked, similarity, pairs_of_classes=True).distinct(), "class-pairs")
+    if across.isEmpty():
+        return linked
+    rest = written(_between_classes(across, nodes, linked, base, words_per_shingle, similarity), "links")
+    return components(found.union(rest), [])
+
+
+def _with_class(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    own = linked.select(F.col("node").alias("id"), "component")
+    return nodes.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows with equal keys, from batches sorted by them."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        k = batch[keys].to_numpy()
+        cuts = [0, *(np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.iloc[a:b]
+        held = batch.iloc[cuts[-1] :].reset_index(drop=True)
+    if held is not None:
+        yield held
+
+
+def _agreeing(group: pd.DataFrame, similarity: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member, which members of other classes it may be similar to by size and sketch, and the agreements."""
+    marks = np.frombuffer(b"".join(group["marks"]), dtype=np.uint8).reshape(len(group), -1)
+    n, classes = group["n"].to_numpy(), group["component"].to_numpy()
+    least = LEAST_AGREEMENT * marks.shape[1]
+    for i in range(len(group)):
+        fits = (classes != classes[i]) & (100 * np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]))
+        same = np.zeros(len(group), dtype=np.int64)
+        same[fits] = (marks[fits] == marks[i]).sum(1)
+        yield i, fits & (same >= least), same
+
+
+def _in_buckets(nodes: DataFrame, linked: DataFrame, similarity: int, pairs_of_classes: bool) -> DataFrame:
+    """``(a, b)`` from buckets with members of several classes: for each member and the member of another class whose
+    sketch agrees with its own most, their ids; or, with ``pairs_of_classes``, the classes of any two that agree.
+
+    Large buckets are cut into blocks; a task compares two blocks and holds no more.
+    """
+    rows = _with_class(nodes, linked).select("id", "n", "marks", "component", F.explode("bands").alias("key"))
+    narrow = rows.select("key", "component")
     mixed = (
-        own.groupBy("key")
+        narrow.groupBy("key")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
         .filter("lo < hi and members > 3")
-        .select("key")
+        .select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     )
-    rest = written(own.join(mixed, "key", "left_semi"), "open-buckets")
-    other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    across = rest.join(other, "key").filter("component < other").select(F.col("id").alias("a"), "b")
-    second = written(possible(across).join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.isEmpty():
-        return linked
-    return components(found.union(links(second)), [])
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    sent = (
+        rows.join(mixed, "key")
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "n", "marks", "component")
+    )
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for group in _groups(batches, ["key", "p", "q"]):
+            ids, classes = group["id"].to_numpy(), group["component"].to_numpy()
+            for i, fits, same in _agreeing(group, similarity):
+                if fits.any():
+                    others = classes[fits] if pairs_of_classes else [ids[np.where(fits, same, -1).argmax()]]
+                    own = classes[i] if pairs_of_classes else ids[i]
+                    out += {(min(own, x), max(own, x)) for x in others}
+            if len(out) > 10_000:
+                yield pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+                out = []
+        yield pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+
+    keys = ["key", "p", "q"]
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(search, "a long, b long")
+
+
+def _between_classes(
+    across: DataFrame, nodes: DataFrame, linked: DataFrame, base: DataFrame, words_per_shingle: int, similarity: int
+) -> DataFrame:
+    """The links ``(a, b)`` between members of each pair of classes ``across(a, b)``.
+
+    The members of the larger class of a pair are cut into blocks, and so are the members of all smaller classes that
+    it is paired with; each task compares one block with one block.
+    """
+    members = _with_class(nodes, linked).select("id", "n", "marks", "component")
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    a, b = sizes.toDF("a", "size_a"), sizes.toDF("b", "size_b")
+    larger = F.col("size_a") >= F.col("size_b")
+    pairs = written(
+        across.join(a, "a")
+        .join(b, "b")
+        .select(
+            F.when(larger, F.col("a")).otherwise(F.col("b")).alias("key"),
+            F.when(larger, F.col("b")).otherwise(F.col("a")).alias("component"),
+            F.greatest("size_a", "size_b").alias("size"),
+            F.least("size_a", "size_b").alias("size_other"),
+        ),
+        "class-pairs",
+    )
+
+    def blocks(size: str):
+        return F.ceil(F.col(size) / BLOCK).cast("int")
+
+    grid = pairs.groupBy("key").agg(F.max("size").alias("size"), F.sum("size_other").alias("size_other")).select(
+        "key", blocks("size").alias("ps"), blocks("size_other").alias("qs")
+    )
+    involved = pairs.select(F.explode(F.array("key", "component")).alias("component")).distinct()
+    chosen = members.join(involved, "component", "left_semi")
+    full = chosen.join(_sets(base, chosen.select("id"), words_per_shingle), "id")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def own(n: str):
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    columns = ["key", "p", "q", "id", "n", "marks", "component", "shingles"]
+    left = full.join(grid, F.col("component") == F.col("key")).withColumn("p", own("ps")).withColumn("q", every("qs"))
+    right = (
+        full.join(pairs.select("key", "component"), "component")
+        .join(grid, "key")
+        .withColumn("p", every("ps"))
+        .withColumn("q", own("qs"))
+    )
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["key", "p", "q"]):
+            out = []
+            key = group["key"].iloc[0]
+            ids, classes = group["id"].to_numpy(), group["component"].to_numpy()
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
+            for i, fits, _ in _agreeing(group, similarity):
+                if classes[i] != key:
+                    out += [
+                        (ids[i], ids[j])
+                        for j in np.nonzero(fits & (classes == key))[0]
+                        if _similar(sets[i], sets[j], similarity)
+                    ]
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    keys = ["key", "p", "q"]
+    sent = left.select(*columns).union(right.select(*columns))
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(search, "a long, b long")
