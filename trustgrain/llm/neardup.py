@@ -32,9 +32,10 @@ _SHIFT = np.uint64(33)
 #: Bits of the filter that picks the documents whose full sets are needed, as a power of two; bits of one slice of it.
 FILTER_BITS = 27
 _SLICE = 32768
-#: Members of two blocks that one task compares; the share of sketch coordinates below which a pair is not compared in
+#: Members of a block of full sets, and of a block of sketches, two of which one task compares; the share of sketch coordinates below which a pair is not compared in
 #: full: five standard deviations of a 128-coordinate sketch below the similarity (a miss once in two million pairs).
 BLOCK = 512
+SKETCH_BLOCK = 2048
 LEAST_AGREEMENT = 0.56
 #: Words whose hashes a task remembers.
 _REMEMBERED = 500_000
@@ -319,17 +320,19 @@ def _in_buckets(nodes: DataFrame, linked: DataFrame, similarity: int, pairs_of_c
 
     Large buckets are cut into blocks; a task compares two blocks and holds no more.
     """
-    rows = _with_class(nodes, linked).select("id", "n", "marks", "component", F.explode("bands").alias("key"))
-    narrow = rows.select("key", "component")
+    classed = _with_class(nodes, linked)
+    narrow = classed.select("id", "component", F.explode("bands").alias("key"))
     mixed = (
         narrow.groupBy("key")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
         .filter("lo < hi and members > 3")
-        .select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        .select("key", F.ceil(F.col("members") / SKETCH_BLOCK).cast("int").alias("blocks"))
     )
+    # Sketches join after the buckets are chosen, so only those of members of open buckets are sent.
+    chosen = written(narrow.select("id", "key").join(mixed, "key"), "open-buckets")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     sent = (
-        rows.join(mixed, "key")
+        chosen.join(classed.select("id", "n", "marks", "component"), "id")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "n", "marks", "component")
