@@ -35,12 +35,16 @@ def build_session(app: str = "trustgrain", master: str | None = None, **conf: st
 def work_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests) a temporary folder is used.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a session in one process (local tests) uses a
+    temporary folder; on a cluster every executor would write to its own disk, so that is an error.
     """
     global _fallback_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _fallback_root is None:
         _fallback_root = tempfile.mkdtemp(prefix="trustgrain-")
     return _fallback_root
