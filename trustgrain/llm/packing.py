@@ -18,6 +18,8 @@ from .common import fresh
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY = 2048
 END = 0
+#: Documents whose tokens a task holds at a time.
+ROWS = 256
 #: Pieces that are numbered together.
 PART_ROWS = 100_000
 
@@ -74,7 +76,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = BytePairs(tokenizer, pattern)
-        for batch in batches:
+        for batch in (b.iloc[at : at + ROWS] for b in batches for at in range(0, len(b), ROWS)):
             rows = []
             for i, t in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.append(pairs.ids(t or ""), np.uint32(end)).astype("<u4")
