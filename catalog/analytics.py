@@ -97,7 +97,7 @@ def search(spark, d):
     "dedupe_reviews",
     SHORT
     + """SELECT product_id, review_idx, review_id, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id,
-      CASE WHEN review_id <> '' THEN review_id END, CASE WHEN review_id = '' THEN substring(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 150) END,
+      CASE WHEN review_id <> '' THEN review_id END, CASE WHEN review_id = '' THEN regexp_replace(lower(text), '[^a-z0-9]', '', 'g') END,
       CASE WHEN review_id = '' THEN rating END ORDER BY page_no, review_idx) AS rn FROM s) WHERE rn = 1""",
 )
 def dedupe_reviews(spark, d):
@@ -109,7 +109,7 @@ def dedupe_reviews(spark, d):
 @query(
     "dedupe_documents",
     WITH
-    + """SELECT MIN(review_idx) AS review_idx, lang FROM reviews GROUP BY lang, substring(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 150), rating""",
+    + """SELECT MIN(review_idx) AS review_idx, lang FROM reviews GROUP BY lang, regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), rating""",
 )
 def dedupe_documents(spark, d):
     docs = derive.reviews(spark, d).withColumn("review_id", F.lit(""))
@@ -120,7 +120,7 @@ def dedupe_documents(spark, d):
     "page_yield",
     SHORT
     + """, k AS (SELECT product_id, page_no, ROW_NUMBER() OVER (PARTITION BY product_id, CASE WHEN review_id <> '' THEN review_id END,
-      CASE WHEN review_id = '' THEN substring(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 150) END,
+      CASE WHEN review_id = '' THEN regexp_replace(lower(text), '[^a-z0-9]', '', 'g') END,
       CASE WHEN review_id = '' THEN rating END ORDER BY page_no, review_idx) AS rn FROM s)
     SELECT product_id, page_no, COUNT(*) AS found, COUNT(*) FILTER (rn = 1) AS fresh, COUNT(*) FILTER (rn > 1) AS repeated FROM k GROUP BY ALL""",
 )

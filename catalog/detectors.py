@@ -136,9 +136,8 @@ tv AS (SELECT product_id, review_idx, text FROM reviews WHERE {WORDS} >= 5),
 tt AS (SELECT product_id, review_idx, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM tv),
 tf AS (SELECT product_id, review_idx, term, COUNT(*) AS tf FROM tt WHERE term NOT IN ({_quoted(TERM_STOP_WORDS)}) GROUP BY ALL),
 td AS (SELECT product_id, term, COUNT(*) AS df, SUM(tf) AS uses FROM tf GROUP BY ALL),
-tk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY uses DESC, term) AS rk FROM td),
 tn AS (SELECT product_id, COUNT(*) AS n FROM tv GROUP BY product_id),
-ti AS (SELECT product_id, term, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM tk JOIN tn USING (product_id) WHERE rk <= 5000),
+ti AS (SELECT product_id, term, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM td JOIN tn USING (product_id)),
 tw AS (SELECT product_id, review_idx, term, tf * idf AS w0 FROM tf JOIN ti USING (product_id, term)),
 tl AS (SELECT product_id, review_idx, sqrt(SUM(w0 * w0)) AS norm FROM tw GROUP BY ALL),
 vec AS (SELECT product_id, review_idx, term, w0 / norm AS w FROM tw JOIN tl USING (product_id, review_idx))

@@ -116,7 +116,7 @@ def state_pages(spark, d):
 
 @query(
     "embedded_reviews",
-    WITH + f"SELECT review_idx AS page_id, {CLEAN} AS text, rating FROM reviews WHERE MOD(review_idx, 3) <> 2 AND length({CLEAN}) >= 10",
+    WITH + f"SELECT review_idx AS page_id, {CLEAN} AS text, rating FROM reviews WHERE MOD(review_idx, 3) <> 2 AND {CLEAN} <> ''",
 )
 def embedded_reviews(spark, d):
     return embedded.embedded_reviews(state_pages(spark, d)).select("page_id", "text", "rating")
@@ -124,7 +124,7 @@ def embedded_reviews(spark, d):
 
 @query(
     "deep_reviews",
-    WITH + f"SELECT review_idx AS doc_id, {CLEAN} AS text, rating FROM reviews WHERE length(text) >= 10",
+    WITH + f"SELECT review_idx AS doc_id, {CLEAN} AS text, rating FROM reviews WHERE {CLEAN} <> ''",
 )
 def deep_reviews(spark, d):
     r = derive.reviews(spark, d)
@@ -209,15 +209,14 @@ def card_pages(spark, d):
     WITH
     + f"""SELECT review_idx AS page_id, ['amazon', 'flipkart', 'myntra', 'ajio', 'nykaa'][MOD(review_idx, 5) + 1] AS site, {CLEAN} AS text, rating,
     CASE WHEN MOD(review_idx, 5) = 0 THEN 'R' || lpad(CAST(review_idx AS VARCHAR), 12, '0') ELSE '' END AS review_id,
-    CASE WHEN MOD(review_idx, 5) = 0 THEN '3 May 2024' ELSE '' END AS date FROM reviews
-    WHERE MOD(review_idx, 5) <> 1 OR NOT regexp_matches(text, '(?i)Contact Us|About Us|Careers|Corporate Information|Payments|Shipping|Cancellation|Returns')""",
+    CASE WHEN MOD(review_idx, 5) = 0 THEN '3 May 2024' ELSE '' END AS date FROM reviews""",
 )
 def extract_reviews(spark, d):
     found = cards.extract_reviews(card_pages(spark, d))
     return found.select("page_id", "site", "text", "rating", "review_id", "date")
 
 
-@query("extract_from_jsonld_pages", WITH + f"SELECT {PAGE} AS page_id, 'ajio' AS site, 'jsonld' AS reading, COUNT(DISTINCT substring(regexp_replace(lower({CLEAN}), '[^a-z0-9]', '', 'g'), 1, 150) || '|' || rating) AS n FROM reviews GROUP BY 1")
+@query("extract_from_jsonld_pages", WITH + f"SELECT {PAGE} AS page_id, 'ajio' AS site, 'jsonld' AS reading, COUNT(DISTINCT regexp_replace(lower({CLEAN}), '[^a-z0-9]', '', 'g') || '|' || rating) AS n FROM reviews GROUP BY 1")
 def extract_from_jsonld_pages(spark, d):
     found = cards.extract_reviews(derive.review_pages(spark, d))
     return found.groupBy("page_id", "site", "reading").agg(F.count(F.lit(1)).alias("n"))

@@ -50,7 +50,7 @@ def parse_rating(spark, d):
 
 @query(
     "text_fingerprint",
-    "SELECT doc_id, substring(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 150) AS fp FROM documents",
+    "SELECT doc_id, sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS fp FROM documents",
 )
 def text_fingerprint(spark, d):
     return load_spread(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fp"))

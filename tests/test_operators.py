@@ -33,7 +33,10 @@ def test_dates(spark):
         "January 5, 2024": d(2024, 1, 5), "05/01/2024": d(2024, 1, 5), "01/25/2024": d(2024, 1, 25),
         "5-1-2024": d(2024, 1, 5), " 2024-01-05 ": d(2024, 1, 5), "Jan 5, 2024": d(2024, 1, 5),
         "5 Jan 2024": d(2024, 1, 5), "2024-01-05T10:00:00Z": d(2024, 1, 5), "31/02/2024": None, "4 months ago": None,
-        "": None, "soon": None,
+        "": None, "soon": None, "2024/03/05": d(2024, 3, 5), "05.03.2024": d(2024, 5, 3), "25.03.2024": d(2024, 3, 25),
+        "Mar 5 2024": d(2024, 3, 5), "March 5 2024": d(2024, 3, 5), "5 Mar, 2024": d(2024, 3, 5),
+        "Sept 5, 2024": d(2024, 9, 5), "5th March 2024": d(2024, 3, 5), "Tue, 5 Mar 2024": d(2024, 3, 5),
+        "20240305": d(2024, 3, 5), "March 2024": None,
     }
     assert apply(spark, list(cases), text.parse_review_date) == list(cases.values())
 
@@ -198,12 +201,16 @@ def test_embedded_and_deep(spark):
     state = json.dumps({"a": [{"text": "long enough text", "rating": {"x": 1}, "stars": "4.5"}, {"body": "short", "rating": 5}]})
     script = f"<script>var pad='{'x' * 100}';window.__INITIAL_STATE__ = {state};var y={{}}</script>"
     df = column(spark, [script, "<script>window.__data = {broken</script>" + "x" * 200]).select(F.col("i").alias("page_id"), F.col("v").alias("html"))
-    assert [(r["text"], r["rating"]) for r in embedded.embedded_reviews(df).collect()] == [("long enough text", 4.5)]
+    assert [(r["text"], r["rating"]) for r in embedded.embedded_reviews(df).collect()] == [("long enough text", 4.5), ("short", 5.0)]
     deep = {"comment": "at the very bottom", "score": 3}
-    for _ in range(12):
+    for _ in range(20):
         deep = {"k": deep}
-    docs = column(spark, [json.dumps(deep), json.dumps({"k": deep})]).withColumnRenamed("v", "doc")
-    assert [(r["i"], r["text"]) for r in embedded.deep_reviews(docs, ["i"]).collect()] == [(0, "at the very bottom")]
+    many = {"list": [{"comment": f"review {i}", "score": 3} for i in range(1200)]}
+    bodies = [json.dumps(deep), json.dumps(many), "[" * 100_000, "{broken", None]
+    docs = column(spark, bodies).withColumnRenamed("v", "doc")
+    found = [(r["i"], r["text"]) for r in embedded.deep_reviews(docs, ["i"]).orderBy("i", "pos").collect()]
+    assert found == [(0, "at the very bottom"), *((1, f"review {i}") for i in range(1200))]
+    assert {r["i"] for r in embedded.unreadable_documents(docs, ["i"]).collect()} == {2, 3, 4}
 
 
 def test_api_bodies(spark):
@@ -226,6 +233,31 @@ def test_selectors_and_cards(spark):
     assert got == [(1, "Nice thing", 4.0, "R1234567890AB", "3 May 2024")]
 
 
+def test_pages_of_any_depth(spark):
+    nested = "<div>" * 1200 + "deep" + "</div>" * 1200
+    assert markup.tree(nested).text() == "deep" and len(list(markup.tree(nested).walk())) == 1200
+    items = markup.tree("<ul>" + "<li>a<p>b" * 1200 + "</ul><p>c")
+    assert len(items.children) == 2 and len(items.children[0].children) == 1200
+    assert [n.text() for n in markup.select(items, "li")][:2] == ["a b", "a b"]
+    grid = markup.tree("<table><tr><td>1<td>2<tr><td>3<table><tr><td>4</table></table>")
+    assert [n.text() for n in markup.select(grid, "tr")] == ["1 2", "3 4", "4"]
+    card = '<div class="_2wzgFH"><div class="_3LWZlK">4</div><div class="t-ZTKy">Great phone and the Shipping was fast</div></div>'
+    look = "padding-top: 8px; padding-bottom: 16px"
+    unrated = f'<div style="padding-left: 16px; padding-top: 16px; padding-bottom: 16px"><div style="{look}"><span>no stars</span></div></div>'
+    rated = '<div class="cPHDOP"><div class="_3LWZlK">3</div><div class="t-ZTKy">three stars</div></div>'
+    pages_ = [card.replace('"_2wzgFH', '"col _2wzgFH'), nested, unrated + '<div class="x">' + rated + "</div>"]
+    df = column(spark, pages_).select(F.col("i").alias("page_id"), F.lit("https://www.flipkart.com/p/1").alias("url"), F.col("v").alias("html"))
+    got = [(r["page_id"], r["text"], r["rating"]) for r in cards.extract_reviews(df).orderBy("page_id").collect()]
+    assert got == [(0, "Great phone and the Shipping was fast", 4.0), (2, "three stars", 3.0)]
+
+
+def test_long_texts_differ_behind_the_start(spark):
+    same = "word " * 60
+    df = spark.createDataFrame([(1, "", same + "good", 5.0), (2, "", same + "bad", 5.0), (3, "", same + "good!", 5.0)], "n int, review_id string, text string, rating double")
+    assert sorted(r["n"] for r in reviews.dedupe_reviews(df, ["n"]).collect()) == [1, 2]
+    assert apply(spark, [same + "a", same + "b"], lambda c: text.fingerprint(c, 150) == text.fingerprint(F.lit(same), 150)) == [True, True]
+
+
 def test_rules():
     bucket = rules.TokenBucket(2, 60)
     state, seen = bucket.start(), []

@@ -41,6 +41,17 @@ DATE_SHAPES = (
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
 )
+#: Shapes tried after those, without commas, weekday and ordinal endings; month before day where both fit.
+LENIENT_SHAPES = (
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^[A-Za-z]+ \d{1,2} \d{4}$", "MMMM d yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]+ \d{4}$", "d MMMM yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
+)
 ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 
 # How dates are written inside review cards.
@@ -84,9 +95,13 @@ def parse_rating(text: Column) -> Column:
     return F.when(number.between(0.0, 5.0), number)
 
 
-def fingerprint(text: Column) -> Column:
-    """Lower-case ASCII letters and digits only, at most 150 of them: the key by which reviews count as the same."""
-    return F.substring(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), 1, 150)
+def fingerprint(text: Column, prefix: int | None = None) -> Column:
+    """Digest of the text's lower-case ASCII letters and digits: the key by which reviews count as the same.
+
+    The whole text counts; with ``prefix``, only that many of these characters do.
+    """
+    kept = F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    return F.sha2(kept if prefix is None else F.substring(kept, 1, prefix), 256)
 
 
 def parse_review_date(text: Column) -> Column:
@@ -94,6 +109,10 @@ def parse_review_date(text: Column) -> Column:
     d = strip(text)
     tries = [F.when(d.rlike(shape), F.try_to_timestamp(d, F.lit(fmt)).cast("date")) for shape, fmt in DATE_SHAPES]
     tries.append(F.when(d.rlike(ISO_INSTANT), F.substring(d, 1, 10).try_cast("date")))
+    bare = F.regexp_replace(d, r"(?i)^(?:mon|tues?|wed|wednes|thu|thurs?|fri|sat|satur|sun)(?:day)?,?\s+", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"), r"(?i)\bsept\b", "Sep")
+    bare = F.regexp_replace(F.regexp_replace(bare, ",", " "), r"\s+", " ")
+    tries += [F.when(bare.rlike(shape), F.try_to_timestamp(bare, F.lit(fmt)).cast("date")) for shape, fmt in LENIENT_SHAPES]
     return F.coalesce(*tries)
 
 

@@ -33,7 +33,7 @@ def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     return moved.union(least.select(*keys, "u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, keys: list[str], src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, keys: list[str], src: str = "a", dst: str = "b") -> DataFrame:
     """Smallest node of the component for every node that has an edge: ``(*keys, node, component)``.
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected Components in MapReduce and Beyond"
@@ -42,7 +42,7 @@ def components(edges: DataFrame, keys: list[str], src: str = "a", dst: str = "b"
     """
     current = edges.select(*keys, F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u") != F.col("v"))
     previous = None
-    for _ in range(max_rounds):
+    while True:
         seen = Observation()
         digest = F.xxhash64(*keys, "u", "v").cast("decimal(38,0)")
         step = _small_star(_large_star(current, keys), keys).observe(
@@ -53,8 +53,6 @@ def components(edges: DataFrame, keys: list[str], src: str = "a", dst: str = "b"
         if state == previous or state[0] == 0:
             break
         previous = state
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     leaves = current.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.union(roots)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from ..reviews import dedupe_reviews, drop_contained
 from . import embedded, jsonld, markup
 
 # Selectors per marketplace. The first rule of a site with cards on the page is used. ``cards`` lists
-# alternatives in the order tried; a blank-separated selector is a path of ancestors.
+# alternatives in the order tried; a blank-separated selector is a path of ancestors. ``loose`` cards are found by their
+# look alone, so page furniture and cards inside cards are taken out of them.
 RULES = {
     "amazon": [
         {
@@ -47,6 +50,7 @@ RULES = {
             "text": ['div[style*="padding-top: 8px"][style*="padding-bottom: 16px"] span'],
             "rating": ["div div", "div span"],
             "date": ['[class*="date"]', "p", "span"],
+            "loose": True,
         },
         {
             "cards": [
@@ -138,10 +142,15 @@ def register_extractor(site: str, rules: list[dict], readings: tuple[str, ...] =
     RULES[site], READINGS[site] = rules, readings
 
 
+def _is_rating(text: str) -> bool:
+    number = re.search(r"[0-9]+(?:\.[0-9]+)?", text)
+    return number is not None and float(number.group()) <= 5.0
+
+
 def _cards(html: Column, site: Column) -> Column:
     rules = dict(RULES)
 
-    @F.pandas_udf("array<struct<text:string,rating:string,id:string,date:string>>")
+    @F.pandas_udf("array<struct<text:string,rating:string,id:string,date:string,loose:boolean>>")
     def read(pages: pd.Series, sites: pd.Series) -> pd.Series:
         def page(text: str, name: str) -> list[dict]:
             root = markup.tree(text)
@@ -156,11 +165,12 @@ def _cards(html: Column, site: Column) -> Column:
                             "rating": markup.first_text(card, rule["rating"]),
                             "id": card.attrs.get("id", ""),
                             "date": markup.first_text(card, rule["date"]),
+                            "loose": rule.get("loose", False),
                         }
                         for card in found.values()
                     ]
                     rows = [r for r in rows if r["text"]]
-                    if rows:
+                    if any(_is_rating(r["rating"]) for r in rows):
                         return rows
                     break
             return []
@@ -173,12 +183,13 @@ def _cards(html: Column, site: Column) -> Column:
 def card_reviews(pages: DataFrame, key: str = "page_id", html: str = "html", site: str = "site") -> DataFrame:
     """Reviews in the cards of a page: ``(key, pos, text, rating, review_id, date)``.
 
-    Nested cards of one marketplace repeat a review inside a longer one; the shorter text is dropped within the page.
+    The first rule whose cards hold a rated review is used. Cards found by their look alone may be page furniture or
+    repeat a review inside a longer one; both are dropped within the page. Cards found by their names are all kept.
     """
     found = pages.select(key, site, _cards(F.col(html), F.col(site)).alias("found"))
     nested = drop_contained(F.filter("found", lambda r: ~is_boilerplate(r.getField("text"))))
     return (
-        found.select(key, F.posexplode(F.when(F.col(site) == "flipkart", nested).otherwise(F.col("found"))).alias("pos", "r"))
+        found.select(key, F.posexplode(F.when(F.get("found", F.lit(0)).getField("loose"), nested).otherwise(F.col("found"))).alias("pos", "r"))
         .select(
             key,
             "pos",

@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +31,9 @@ TEXT_KEYS = (
 RATING_KEYS = (
     "rating", "ratingValue", "stars", "star_rating", "starRating", "overall_rating", "overallRating", "score", "overall",
 )
-MIN_SCRIPT = 100
-MAX_STATE = 5_000_000
-MAX_DEPTH = 12
-MAX_PER_NODE = 500
 
 SCRIPT = r"(?is)<script([^>]*)>(.*?)</script>"
-FOUND = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("rating", T.StringType())]))
+FOUND = "found array<struct<text:string,rating:string>>, error string"
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -56,24 +52,23 @@ def _states(scripts: pd.Series) -> pd.Series:
                 end = decode(script, at.end())[1]
             except ValueError:
                 continue
-            if end - at.end() <= MAX_STATE:
-                out.append(script[at.end() : end])
+            except RecursionError:  # kept, so that it is reported as a document that cannot be read
+                end = len(script)
+            out.append(script[at.end() : end])
         return out
 
     return scripts.map(values)
 
 
 def state_documents(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """JSON documents embedded in a page's scripts: ``(key, doc_no, doc)``. Scripts below 100 characters are skipped."""
-    tags = (
-        pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(0))).alias("script_no", "tag"))
-        .select(
-            key,
-            "script_no",
-            F.regexp_extract("tag", SCRIPT, 2).alias("script"),
-            F.lower(F.regexp_extract("tag", r"""(?is)^<script[^>]*\sid\s*=\s*["']?([^"'\s>]+)""", 1)).alias("script_id"),
-        )
-        .filter(F.length("script") >= MIN_SCRIPT)
+    """JSON documents embedded in a page's scripts: ``(key, doc_no, doc)``."""
+    tags = pages.select(
+        key, F.posexplode(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(0))).alias("script_no", "tag")
+    ).select(
+        key,
+        "script_no",
+        F.regexp_extract("tag", SCRIPT, 2).alias("script"),
+        F.lower(F.regexp_extract("tag", r"""(?is)^<script[^>]*\sid\s*=\s*["']?([^"'\s>]+)""", 1)).alias("script_id"),
     )
     named = F.col("script_id").isin(*STATE_SCRIPT_IDS)
     marked = F.lit(False)
@@ -86,9 +81,9 @@ def state_documents(pages: DataFrame, key: str = "page_id", html: str = "html")
     return whole.union(parts).select(key, F.struct("script_no", "part_no").alias("doc_no"), "doc")
 
 
-def _own_review(node: dict) -> tuple[str, str] | None:
+def _own_review(node: dict, min_text: int) -> tuple[str, str] | None:
     """Text and rating of one object, if it has both; rating text is judged later by the shared column function."""
-    text = next((node[k] for k in TEXT_KEYS if isinstance(node.get(k), str) and len(node[k].strip()) >= 10), None)
+    text = next((node[k] for k in TEXT_KEYS if isinstance(node.get(k), str) and len(node[k].strip()) >= min_text), None)
     if text is None:
         return None
     nested = node.get("reviewRating")
@@ -101,43 +96,55 @@ def _own_review(node: dict) -> tuple[str, str] | None:
     return None
 
 
-def _walk(node, depth: int, out: list) -> None:
-    """Depth-first; below one node the search stops opening members once 500 reviews were found there."""
-    if depth > MAX_DEPTH:
-        return
-    start = len(out)
-    if isinstance(node, dict):
-        own = _own_review(node)
-        if own:
-            out.append(own)
-    for child in node.values() if isinstance(node, dict) else node:
-        if isinstance(child, (dict, list)) and len(out) - start < MAX_PER_NODE:
-            _walk(child, depth + 1, out)
-
-
-@F.pandas_udf(FOUND)
-def _deep(docs: pd.Series) -> pd.Series:
-    def found(doc: str) -> list[dict]:
-        out: list = []
-        try:
-            data = json.loads(doc)
-        except (TypeError, ValueError):
-            return []
-        if isinstance(data, (dict, list)):
-            _walk(data, 0, out)
-        return [{"text": t, "rating": r} for t, r in out]
-
-    return docs.map(found)
-
-
-def deep_reviews(documents: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
-    """Review-like objects anywhere in JSON documents: ``(*keys, pos, text, rating)``."""
-    found = documents.select(*keys, F.posexplode(_deep(F.col(doc))).alias("pos", "r"))
+def _reviews_in(data, min_text: int) -> list[dict]:
+    """Reviews of one parsed document at any depth, each object before its members."""
+    out, waiting = [], [data]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict) and (own := _own_review(node, min_text)):
+            out.append({"text": own[0], "rating": own[1]})
+        members = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+        waiting += [m for m in members if isinstance(m, (dict, list))][::-1]
+    return out
+
+
+def _searched(doc: Column, min_text: int) -> Column:
+    """``(found, error)`` of JSON documents; one that cannot be read has an error instead of reviews."""
+
+    @F.pandas_udf(FOUND)
+    def search(docs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in docs:
+            try:
+                rows.append((_reviews_in(json.loads(text or ""), min_text), None))
+            except ValueError as e:
+                rows.append(([], f"not JSON: {e}"))
+            except RecursionError:
+                rows.append(([], "nested too deeply"))
+        return pd.DataFrame(rows, columns=["found", "error"])
+
+    return search(doc)
+
+
+def deep_reviews(documents: DataFrame, keys: list[str], doc: str = "doc", min_text: int = 1) -> DataFrame:
+    """Review-like objects anywhere in JSON documents: ``(*keys, pos, text, rating)``.
+
+    Objects whose text has fewer than ``min_text`` characters are not reviews.
+    """
+    found = documents.select(*keys, _searched(F.col(doc), min_text).alias("s")).select(
+        *keys, F.posexplode("s.found").alias("pos", "r")
+    )
     return found.select(
         *keys, "pos", clean_text(F.col("r.text")).alias("text"), parse_rating(F.col("r.rating")).alias("rating")
     ).filter((F.col("text") != "") & F.col("rating").isNotNull())
 
 
+def unreadable_documents(documents: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
+    """Documents that ``deep_reviews`` cannot read, with the reason: ``(*keys, error)``."""
+    searched = documents.select(*keys, _searched(F.col(doc), 1).alias("s"))
+    return searched.select(*keys, F.col("s.error").alias("error")).filter(F.col("error").isNotNull())
+
+
 def embedded_reviews(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Reviews in the state a page carries in its scripts, in page order."""
     documents = state_documents(pages, key, html)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -10,45 +11,89 @@ _STEP = re.compile(r"(\*|[a-z][\w-]*)?((?:\.[\w-]+|#[\w-]+|\[[\w-]+(?:[*^]?=\"[^
 _TEST = re.compile(r"\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([*^]?)=\"([^\"]*)\")?\]")
 
 
+#: Start tags that end an open element, as HTML lets authors leave out end tags: the names that end, and the names that
+#: shield an outer list, table or the like.
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol"}),
+    "option": ({"option"}, {"select"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+}
+_PARAGRAPH = ({"p"}, {"button", "td", "th", "table", "li"})
+_BLOCKS = frozenset(
+    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section "
+    "table ul".split()
+)
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
+    def parts(self):
+        """Everything below in page order, without recursion: nothing limits how deep a page nests."""
+        waiting = self.children[::-1]
+        while waiting:
+            part = waiting.pop()
+            yield part
+            if isinstance(part, Node):
+                waiting += part.children[::-1]
+
     def walk(self):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+        return (part for part in self.parts() if isinstance(part, Node))
 
     def text(self) -> str:
-        parts = []
-        for child in self.children:
-            parts.append(child.text() if isinstance(child, Node) else child.strip())
-        return " ".join(p for p in parts if p)
+        strings = (part.strip() for part in self.parts() if isinstance(part, str))
+        return " ".join(s for s in strings if s)
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.open = Node("", {}, None)
+        self.opened = Counter()
+
+    def _close(self, node):
+        """Close everything up to and with this open node."""
+        while self.open is not node.parent:
+            self.opened[self.open.tag] -= 1
+            self.open = self.open.parent
+
+    def _end(self, names, shields):
+        if not any(self.opened[n] for n in names):
+            return
+        node = self.open
+        while node.parent is not None and node.tag not in shields:
+            if node.tag in names:
+                return self._close(node)
+            node = node.parent
 
     def handle_starttag(self, tag, attrs):
+        if tag in _BLOCKS:
+            self._end(*_PARAGRAPH)
+        if tag in _ENDS:
+            self._end(*_ENDS[tag])
         node = Node(tag, {k: v or "" for k, v in attrs}, self.open)
         self.open.children.append(node)
         if tag not in VOID:
             self.open = node
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.open))
 
     def handle_endtag(self, tag):
+        if not self.opened[tag]:
+            return
         node = self.open
-        while node.parent is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.parent
-        if node.parent is not None:
-            self.open = node.parent
+        self._close(node)
 
     def handle_data(self, data):
         if self.open.tag not in ("script", "style"):

@@ -94,12 +94,6 @@ def append_events(df: DataFrame, path: str, partition_by: str | None = "day") ->
     writer.parquet(path)
 
 
-def visit_rows(requests: DataFrame) -> DataFrame:
-    """Requests as rows of the visit table, with texts cut to their column widths."""
-    return requests.withColumns(
-        {
-            "endpoint": F.substring("endpoint", 1, 255),
-            "ip_address": F.substring("ip_address", 1, 45),
-            "user_agent": F.substring("user_agent", 1, 512),
-        }
-    )
+def visit_rows(requests: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
+    """Requests as rows of the visit table. Texts stay whole; ``widths`` cuts columns for a table that needs it."""
+    return requests.withColumns({name: F.substring(name, 1, n) for name, n in (widths or {}).items()})
