@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trustgrain.operators import governance, keywords, models, reviews, scoring, skew, summary, usage
+from trustgrain.operators import governance, keywords, models, reviews, scoring, summary, usage
 from trustgrain.functions.text import TERM_STOP_WORDS
 from trustgrain.plans import derive
 from trustgrain.session import work_path
@@ -543,10 +543,10 @@ def save_summary(spark, d):
 _PLAIN = "CASE WHEN rating = round(rating) THEN CAST(CAST(rating AS INTEGER) AS VARCHAR) ELSE CAST(rating AS VARCHAR) END"
 
 
-@query("reviews_csv_round_trip", SHORT + f"SELECT text, rating, date_raw FROM s WHERE regexp_matches(text, '{NW}')")
+@query("reviews_csv_round_trip", SHORT + "SELECT text, rating, date_raw FROM s")
 def reviews_csv_round_trip(spark, d):
     path = work_path(spark, "reviews-csv")
-    files.write_reviews_csv(reviews.drop_blank(derive.short_reviews(spark, d)), path)
+    files.write_reviews_csv(derive.short_reviews(spark, d), path)
     return files.read_reviews_csv(spark, path)
 
 
@@ -597,5 +597,3 @@ def append_events(spark, d):
     files.append_events(events.filter(F.col("user_id") % 2 == 1), path)
     return spark.read.parquet(path).groupBy("domain", "detected_language").agg(F.count(F.lit(1)).alias("n"))
 
-
-__all__ = ["skew"]

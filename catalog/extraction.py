@@ -221,5 +221,3 @@ def extract_from_jsonld_pages(spark, d):
     found = cards.extract_reviews(derive.review_pages(spark, d))
     return found.groupBy("page_id", "site", "reading").agg(F.count(F.lit(1)).alias("n"))
 
-
-__all__ = ["load"]

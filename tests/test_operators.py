@@ -9,7 +9,7 @@ import random
 from pyspark.sql import functions as F
 
 from trustgrain.functions import crypto, lang, numbers, pages, text, urls
-from trustgrain.operators import governance, redflags, reviews, skew, usage
+from trustgrain.operators import governance, redflags, reviews, sites, skew, usage
 from trustgrain.operators.components import components
 from trustgrain.operators.extract import api, cards, embedded, jsonld, markup
 from trustgrain.sources import files
@@ -165,7 +165,7 @@ def test_governance(spark):
 
 
 def test_csv_round_trip_keeps_quotes_and_lines(spark):
-    rows = [('say "hi", twice', 5.0, "2024-01-01"), ("two\nlines", 4.5, ""), (" padded ", 3.0, None), ("back\\slash", 1.0, "x")]
+    rows = [('say "hi", twice', 5.0, "2024-01-01"), ("two\nlines", 4.5, ""), (" padded ", 3.0, None), ("back\\slash", 1.0, "x"), ("", 2.0, "y"), (None, 2.5, "z"), ("  ", None, "")]
     df = spark.createDataFrame(rows, "text string, rating double, date_raw string")
     path = work_path(spark, "csv-test")
     files.write_reviews_csv(df, path)
@@ -286,3 +286,13 @@ def test_rate_limit_pieces_equal_one_pass(spark):
         us = int((ts - dt.datetime(2024, 1, 1)) / dt.timedelta(microseconds=1))
         states[k], out = bucket.next(states.get(k, bucket.start()), us, None)
         assert got[i] == out, i
+
+
+def test_robots_groups_and_status(spark):
+    urls_ = spark.createDataFrame([(i, f"https://h{i}.example/a") for i in range(4)], "url_id int, url string")
+    listed = [("h0.example", 1, "/a", False, "*"), ("h0.example", 2, "/a", True, "TrustBot"), ("h1.example", 1, "/a", False, "*")]
+    listed += [("h1.example", 2, "/a", True, "other"), ("h2.example", 1, "/a", True, None)]
+    table = spark.createDataFrame(listed, "host string, rule_no int, prefix string, allow boolean, agent string")
+    status = spark.createDataFrame([("h0.example", 200), ("h1.example", 200), ("h2.example", 204), ("h3.example", 404)], "host string, fetch_status int")
+    got = {r["url_id"]: r["allowed"] for r in sites.robots_filter(urls_, table, status, agent="trustbot/1.0").collect()}
+    assert got == {0: True, 1: False, 2: False, 3: True}

@@ -39,13 +39,32 @@ def allowed_domains(
     return df.filter(owned if keep else ~owned)
 
 
-def robots_filter(urls: DataFrame, rules: DataFrame, status: DataFrame, key: str = "url_id", url: str = "url") -> DataFrame:
+def rules_for(rules: DataFrame, agent: str) -> DataFrame:
+    """The rules of each host that hold for ``agent``: those of the groups that name it, else those for ``*``.
+
+    A group names an agent when its name, whatever the case, is part of the agent's name before the version. Rules
+    without an ``agent`` hold for all.
+    """
+    name = F.lit(agent.split("/")[0].lower())
+    listed = F.coalesce(F.col("agent"), F.lit("*"))
+    rank = F.when(listed == "*", 0).when(F.contains(name, F.lower(listed)), 1)
+    ranked = rules.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
+    best = ranked.groupBy("host").agg(F.max("_rank").alias("_best"))
+    return ranked.join(best, "host").filter(F.col("_rank") == F.col("_best")).drop("_rank", "_best", "agent")
+
+
+def robots_filter(
+    urls: DataFrame, rules: DataFrame, status: DataFrame, key: str = "url_id", url: str = "url", agent: str = "*"
+) -> DataFrame:
     """Add ``allowed`` by each host's crawl rules.
 
     ``rules(host, rule_no, prefix, allow)`` apply first match first; an empty prefix that disallows nothing must be
-    given as ``allow``. ``status(host, fetch_status)`` says how reading them went: 2xx applies the rules, 4xx allows
-    all, anything else or no answer denies all.
+    given as ``allow``. With a column ``agent``, those of ``agent`` are used (:func:`rules_for`).
+    ``status(host, fetch_status)`` says how reading them went: 200 applies the rules, 4xx allows all, anything else or
+    no answer denies all.
     """
+    if "agent" in rules.columns:
+        rules = rules_for(rules, agent)
     path = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1)
     located = urls.withColumn("host", authority(F.col(url))).withColumn(
         "_path", F.when(path == "", "/").otherwise(path)
@@ -62,7 +81,7 @@ def robots_filter(urls: DataFrame, rules: DataFrame, status: DataFrame, key: str
         .join(matched, key, "left")
         .withColumn(
             "allowed",
-            F.when(code.between(200, 299), F.coalesce("_allow", F.lit(True)))
+            F.when(code == 200, F.coalesce("_allow", F.lit(True)))
             .when(code.between(400, 499), True)
             .otherwise(False),
         )

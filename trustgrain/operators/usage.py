@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +160,3 @@ def history(reviews: DataFrame, links: DataFrame, kind: str | None = None) -> Da
     if kind not in wanted:
         return both.limit(0)
     return both if wanted[kind] is None else both.filter(F.col("analysis_type") == wanted[kind])
-
-
-def pages_of(total: int, size: int) -> int:
-    return math.ceil(total / size)

@@ -67,7 +67,9 @@ def trust_report(reviews: DataFrame, min_reviews: int = 3, threshold: float = 0.
     Each detector is a struct of fixed size. The flagged reviews themselves, which may be many, are rows of
     :func:`flagged_reviews`.
     """
-    profile = product_profile(reviews).filter(F.col("n") >= min_reviews)
+    enough = reviews.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_reviews)
+    reviews = reviews.join(enough, "product_id", "left_semi")
+    profile = product_profile(reviews)
     dup = duplicates.duplicate_facts(duplicates.cluster_sizes(duplicates.clustered_bags(reviews, threshold)))
     kept = phrases.kept_phrases(reviews).drop("n")
     judged = (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,7 @@ DEFAULTS = {
 }
 
 _fallback_root: str | None = None
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "trustgrain", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,7 +32,23 @@ def build_session(app: str = "trustgrain", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's workers, once, so that its functions run there without being installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="trustgrain-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def work_root(spark: SparkSession) -> str:

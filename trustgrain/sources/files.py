@@ -14,6 +14,8 @@ CSV = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
+#: How raw exports mark a null; a text of just these characters is read as null.
+NULL = r"\N"
 
 
 def plain_rating(rating: Column) -> Column:
@@ -45,7 +47,8 @@ def analysis_csv_rows(df: DataFrame) -> DataFrame:
 
 
 def write_reviews_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    raw_csv_rows(df).write.mode(mode).options(**CSV, emptyValue="").csv(path)
+    """Write a raw export. An empty text is written as ``""``, a null one as ``NULL``, so both come back as they were."""
+    raw_csv_rows(df).write.mode(mode).options(**CSV, nullValue=NULL).csv(path)
 
 
 def write_analysis_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -54,7 +57,7 @@ def write_analysis_csv(df: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw exports as ``text, rating, date_raw``. Quoted line breaks stay part of the text."""
-    rows = spark.read.schema(schemas.RAW_REVIEW_CSV).options(**CSV, multiLine=True).csv(path)
+    rows = spark.read.schema(schemas.RAW_REVIEW_CSV).options(**CSV, multiLine=True, nullValue=NULL).csv(path)
     return rows.select(
         F.col("review_text").alias("text"),
         F.col("rating").try_cast("double").alias("rating"),
