@@ -1,76 +1,66 @@
-"""Stateful rules as batch replays and as streams."""
+"""Attempts against limits, stored and arriving, and other streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trustgrain.operators import attempts
 from trustgrain.plans import derive
 from trustgrain.sources.tables import load
-from trustgrain.streaming import replay, rules, streams
+from trustgrain.streaming import streams
 
 from .base import query
 
-#: The events are hours apart, so the limits are stretched from minutes to days to be reached at all.
-BUCKET = rules.TokenBucket(capacity=2, period_s=86_400)
-LOCK = rules.Lockout(failures=2, lock_s=2 * 86_400, memory_s=4 * 86_400)
-ACCOUNT = rules.Lockout(failures=2, lock_s=86_400)
-
-BUCKET_SQL = """
-WITH RECURSIVE e AS (SELECT event_id AS id, user_id, epoch_us(ts) AS us, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-b(user_id, n, id, us, level, allowed) AS (
-  SELECT user_id, n, id, us, CAST(86400000000 AS BIGINT), true FROM e WHERE n = 1
-  UNION ALL
-  SELECT x.user_id, x.n, x.id, x.us,
-    CAST(least(2 * 86400000000, b.level + 2 * (x.us - b.us)) - CASE WHEN least(2 * 86400000000, b.level + 2 * (x.us - b.us)) >= 86400000000 THEN 86400000000 ELSE 0 END AS BIGINT),
-    least(2 * 86400000000, b.level + 2 * (x.us - b.us)) >= 86400000000
-  FROM b JOIN e x ON x.user_id = b.user_id AND x.n = b.n + 1)
-SELECT user_id, id, allowed, CAST(level // 86400000000 AS INTEGER) AS tokens_left FROM b
+MINUTES_SQL = f"""
+SELECT client, minute, allowed, requests, greatest(requests - allowed, 0) AS excess FROM (
+  SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'user:' || user_id ELSE 'ip:ip' || user_id END AS client, date_trunc('minute', ts) AS minute,
+    CAST(CASE WHEN event_type IN ('purchase', 'signup') THEN {attempts.SIGNED_IN_PER_MINUTE} ELSE {attempts.ANONYMOUS_PER_MINUTE} END AS INTEGER) AS allowed,
+    COUNT(*) AS requests
+  FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL)
 """
 
 
-def lockout_sql(failures: int, lock_s: int, memory_s: int | None) -> str:
-    forget = f"x.us - b.last >= {memory_s} * CAST(1000000 AS BIGINT)" if memory_s else "false"
+def runs_sql(limit: int, memory_s: int | None, success: bool = True) -> str:
+    """Failures in a row, ended by a success (where those are read) or by a pause."""
+    paused = f"coalesce(us - before > {memory_s} * CAST(1000000 AS BIGINT), false)" if memory_s else "false"
+    kinds = "'error', 'click'" if success else "'error'"
     return f"""
-WITH RECURSIVE a AS (SELECT event_id AS id, user_id, epoch_us(ts) AS us, event_type = 'error' AS failed,
-    ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('error', 'click')),
-b(user_id, n, id, cnt, last, until, refused, failures, locked) AS (
-  SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false, 0, false FROM a WHERE n = 1
-  UNION ALL
-  SELECT user_id, n, id,
-    CASE WHEN refused THEN cnt WHEN NOT failed THEN 0 WHEN base + 1 >= {failures} THEN 0 ELSE base + 1 END,
-    CASE WHEN refused THEN last WHEN NOT failed THEN NULL ELSE us END,
-    CASE WHEN refused THEN until WHEN failed AND base + 1 >= {failures} THEN us + {lock_s} * CAST(1000000 AS BIGINT) END,
-    refused, CASE WHEN refused THEN cnt WHEN NOT failed THEN 0 ELSE base + 1 END, refused OR (failed AND base + 1 >= {failures})
-  FROM (SELECT x.user_id, x.n, x.id, x.us, x.failed, b.cnt, b.last, b.until, coalesce(x.us < b.until, false) AS refused,
-      CASE WHEN b.until IS NOT NULL AND x.us >= b.until THEN 0 WHEN coalesce({forget}, false) THEN 0 ELSE b.cnt END AS base
-    FROM b JOIN a x ON x.user_id = b.user_id AND x.n = b.n + 1))
-SELECT user_id, id, refused, failures, locked FROM b WHERE n > 0
+WITH a AS (SELECT user_id, event_id, ts, epoch_us(ts) AS us, event_type = 'error' AS failed,
+    lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type IN ({kinds}) AND ts IS NOT NULL),
+r AS (SELECT *, SUM(CASE WHEN NOT failed OR {paused} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a)
+SELECT user_id, MIN(ts) AS first_failure, MAX(ts) AS last_failure, COUNT(*) AS failures, COUNT(*) >= {limit} AS locked
+FROM r WHERE failed GROUP BY user_id, run
 """
 
 
-def attempts(df):
+def sign_ins(df):
+    """Errors as failed sign-ins, clicks as successful ones."""
     kept = df.filter(F.col("event_type").isin("error", "click"))
     return kept.select(
         F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"), (F.col("event_type") == "error").alias("failed")
     )
 
 
-@query("rate_limit_audit", BUCKET_SQL)
+def without_zone(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("rate_limit_audit", MINUTES_SQL)
 def rate_limit_audit(spark, d):
-    visits = derive.site_visits(spark, d).select("id", "user_id", "created_at")
-    return replay.rate_limit_audit(visits, "user_id", BUCKET).select("user_id", "id", "allowed", "tokens_left")
+    return without_zone(attempts.requests_per_minute(derive.site_visits(spark, d)), "minute")
 
 
-@query("lockout_audit", lockout_sql(LOCK.failures, LOCK.lock_s, LOCK.memory_s))
+@query("lockout_audit", runs_sql(attempts.IP_FAILURES, attempts.IP_MEMORY_S))
 def lockout_audit(spark, d):
-    found = replay.lockout_audit(attempts(load(spark, d, "events")), "user_id", LOCK, "failed")
-    return found.select("user_id", "id", "refused", "failures", "locked")
+    found = sign_ins(load(spark, d, "events"))
+    runs = attempts.failure_runs(found, "user_id", "failed", attempts.IP_FAILURES, attempts.IP_MEMORY_S)
+    return without_zone(runs, "first_failure", "last_failure")
 
 
-@query("account_lockout_audit", lockout_sql(ACCOUNT.failures, ACCOUNT.lock_s, None))
+@query("account_lockout_audit", runs_sql(attempts.ACCOUNT_FAILURES, None))
 def account_lockout_audit(spark, d):
-    found = replay.lockout_audit(attempts(load(spark, d, "events")), "user_id", ACCOUNT, "failed")
-    return found.select("user_id", "id", "refused", "failures", "locked")
+    runs = attempts.failure_runs(sign_ins(load(spark, d, "events")), "user_id", "failed", attempts.ACCOUNT_FAILURES)
+    return without_zone(runs, "first_failure", "last_failure")
 
 
 def event_stream(spark, d):
@@ -78,17 +68,17 @@ def event_stream(spark, d):
     return streams.read_events(spark, d, schema, "events.parquet")
 
 
-@query("rate_limit_stream", BUCKET_SQL)
+@query("rate_limit_stream", MINUTES_SQL)
 def rate_limit_stream(spark, d):
-    visits = event_stream(spark, d).select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"))
-    audit = streams.apply_rule(visits, BUCKET, "user_id", "created_at", "id", "id")
-    return streams.run_to_table(audit, "rate-limit").select("user_id", "id", "allowed", "tokens_left")
+    minutes = streams.stream_request_minutes(derive.as_visits(event_stream(spark, d)))
+    return without_zone(streams.run_to_table(minutes, "rate-limit", "complete"), "minute")
 
 
-@query("lockout_stream", lockout_sql(LOCK.failures, LOCK.lock_s, LOCK.memory_s))
+@query("lockout_stream", runs_sql(attempts.IP_FAILURES, attempts.IP_MEMORY_S, success=False))
 def lockout_stream(spark, d):
-    audit = streams.apply_rule(attempts(event_stream(spark, d)), LOCK, "user_id", "created_at", "id", "failed")
-    return streams.run_to_table(audit, "lockout").select("user_id", "id", "refused", "failures", "locked")
+    failures = sign_ins(event_stream(spark, d)).filter("failed")
+    bursts = streams.stream_failure_bursts(failures, "user_id", attempts.IP_FAILURES, attempts.IP_MEMORY_S)
+    return without_zone(streams.run_to_table(bursts, "lockout", "complete"), "first_failure", "last_failure")
 
 
 @query("stream_dedupe", "SELECT DISTINCT 'u' || user_id AS product_id, event_type AS text FROM events")

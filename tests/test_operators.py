@@ -6,15 +6,15 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from trustgrain.functions import crypto, lang, numbers, pages, text, urls
-from trustgrain.operators import governance, redflags, reviews, sites, skew, usage
+from trustgrain.operators import attempts, governance, redflags, reviews, sites, skew, usage
 from trustgrain.operators.components import components
 from trustgrain.operators.extract import api, cards, embedded, jsonld, markup
 from trustgrain.sources import files
 from trustgrain.session import work_path
-from trustgrain.streaming import replay, rules
 
 
 def column(spark, values, kind="string"):
@@ -258,34 +258,45 @@ def test_long_texts_differ_behind_the_start(spark):
     assert apply(spark, [same + "a", same + "b"], lambda c: text.fingerprint(c, 150) == text.fingerprint(F.lit(same), 150)) == [True, True]
 
 
-def test_rules():
-    bucket = rules.TokenBucket(2, 60)
-    state, seen = bucket.start(), []
-    for second in (0, 0, 0, 29, 30, 31, 200):
-        state, out = bucket.next(state, second * rules.MICROS, None)
-        seen.append(out[0])
-    assert seen == [True, True, False, False, True, False, True]
-    lock, state, seen = rules.Lockout(3, 600, 300), rules.Lockout(3, 600, 300).start(), []
-    for second, failed in ((0, 1), (10, 1), (311, 1), (312, 1), (313, 1), (400, 0), (913, 1), (914, 0)):
-        state, out = lock.next(state, second * rules.MICROS, failed)
-        seen.append(out)
-    assert seen == [(False, 1, False), (False, 2, False), (False, 1, False), (False, 2, False), (False, 3, True), (True, 0, True), (False, 1, False), (False, 0, False)]
+def at(seconds):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
 
 
-def test_rate_limit_pieces_equal_one_pass(spark):
+def test_requests_per_minute(spark):
+    rows = [(1, "a", False, at(s)) for s in range(0, 50, 2)] + [(1, "b", True, at(s)) for s in range(59)]
+    rows += [(1, "c", True, at(60)), (None, None, True, at(1)), (2, None, False, at(1)), (2, "d", None, at(1)), (2, "d", False, None)]
+    df = spark.createDataFrame(rows, "user_id long, ip_address string, authenticated boolean, created_at timestamp")
+    got = {(r["client"], r["minute"]): (r["requests"], r["allowed"], r["excess"]) for r in attempts.requests_per_minute(df).collect()}
+    assert got == {
+        ("ip:a", at(0)): (25, 20, 5), ("user:1", at(0)): (59, 60, 0), ("user:1", at(60)): (1, 60, 0), ("ip:d", at(0)): (1, 20, 0),
+    }
+    assert attempts.requests_per_minute(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("memory_s", [None, 300])
+def test_failure_runs(spark, memory_s):
+    """A hot key, ties, pauses of just the limit and beyond, runs over several periods: as one pass over each key."""
     rng = random.Random(11)
-    at, rows = 0.0, []
+    rows, clock = [], 0
     for i in range(4000):
-        at += rng.choice([0.1, 1, 5, 20, 59, 60, 61, 4000])
-        rows.append((i, "hot" if i % 3 else "k" + str(i % 7), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=at)))
-    bucket = rules.TokenBucket(3, 60)
-    df = spark.createDataFrame(rows, "id long, k string, created_at timestamp").repartition(5)
-    got = {r["id"]: (r["allowed"], r["tokens_left"]) for r in replay.rate_limit_audit(df, "k", bucket).collect()}
-    states = {}
-    for i, k, ts in rows:
-        us = int((ts - dt.datetime(2024, 1, 1)) / dt.timedelta(microseconds=1))
-        states[k], out = bucket.next(states.get(k, bucket.start()), us, None)
-        assert got[i] == out, i
+        clock += rng.choice([0, 1, 60, 299, 300, 301, 4000])
+        rows.append((i, None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", at(clock), rng.random() < 0.9))
+    rows += [(9001, "hot", None, True), (9002, "n", at(5), None)]
+    df = spark.createDataFrame(rows, "id long, k string, created_at timestamp, failed boolean").repartition(5)
+    found = attempts.failure_runs(df, "k", "failed", 4, memory_s).collect()
+    runs, before = {}, {}
+    for i, k, ts, failed in rows:
+        if ts is None:
+            continue
+        mine = runs.setdefault(k, [[]])
+        if not failed or (memory_s and k in before and ts - before[k] > dt.timedelta(seconds=memory_s)):
+            mine.append([])
+        if failed:
+            mine[-1].append(ts)
+        before[k] = ts
+    want = [(k, r[0], r[-1], len(r), len(r) >= 4) for k, mine in runs.items() for r in mine if r]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found)
+    assert {r["locked"] for r in found} == {True, False}
 
 
 def test_robots_groups_and_status(spark):

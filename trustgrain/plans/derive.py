@@ -46,8 +46,11 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def site_visits(spark: SparkSession, folder: str) -> DataFrame:
-    e = load(spark, folder, "events")
-    return e.select(
+    return as_visits(load(spark, folder, "events"))
+
+
+def as_visits(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("/"), "event_type").alias("endpoint"),
         F.col("event_type").isin("purchase", "signup").alias("authenticated"),

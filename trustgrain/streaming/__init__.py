@@ -1 +1 @@
-"""Stateful rules over event streams, and their batch twins."""
+"""Event streams."""

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.attempts import requests_per_minute
 from ..operators.reviews import identity_key
 from ..session import work_path
 
@@ -24,41 +21,21 @@ def read_events(spark: SparkSession, folder: str, schema, files: str = "*", file
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in plain})
 
 
-def apply_rule(stream: DataFrame, rule, key: str, ts: str, tie: str, event: str, forget: str = "7 days") -> DataFrame:
-    """A per-key rule as a stream: ``(key, tie, ts, <rule columns>)`` per event.
+def stream_request_minutes(visits: DataFrame, ts: str = "created_at", delay: str = "1 day") -> DataFrame:
+    """Requests per client and minute as they arrive, by the same rule as the batch operator."""
+    return requests_per_minute(visits.withWatermark(ts, delay), ts)
 
-    Events of a key are taken in time order within each micro-batch. A key's state is dropped once it had no events
-    for ``forget`` of event time; late events beyond that are not seen, as the watermark drops them.
-    """
-    names = [c.split()[0] for c in rule.columns.split(", ")]
-    key_type = stream.schema[key].dataType.simpleString()
-    tie_type = stream.schema[tie].dataType.simpleString()
-    schema = f"{key} {key_type}, {tie} {tie_type}, {ts} timestamp, {rule.columns}"
-    delay_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
-
-    def run(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values([ts, tie])
-        now = state.get if state.exists else rule.start()
-        results = []
-        micros = rows[ts].astype("datetime64[us]").astype("int64").tolist()
-        for at, what in zip(micros, rows[event].tolist()):
-            now, result = rule.next(tuple(now), at, what)
-            results.append(result)
-        state.update(now)
-        state.setTimeoutTimestamp(max(micros[-1] // 1000, state.getCurrentWatermarkMs()) + delay_ms)
-        out = pd.DataFrame(results, columns=names)
-        out.insert(0, ts, rows[ts].tolist())
-        out.insert(0, tie, rows[tie].tolist())
-        out.insert(0, key, who[0])
-        yield out
 
+def stream_failure_bursts(failures: DataFrame, key: str, limit: int, memory_s: int, ts: str = "created_at", delay: str = "1 day") -> DataFrame:
+    """Arriving failures of a key with pauses of at most ``memory_s`` between them: when, how many, locked or not.
+
+    A session needs no more state than its bounds and its count, so a busy key costs what a quiet one does.
+    """
     return (
-        stream.withWatermark(ts, forget)
-        .groupBy(key)
-        .applyInPandasWithState(run, schema, rule.schema, "append", GroupStateTimeout.EventTimeTimeout)
+        failures.withWatermark(ts, delay)
+        .groupBy(key, F.session_window(ts, f"{memory_s} seconds").alias("burst"))
+        .agg(F.min(ts).alias("first_failure"), F.max(ts).alias("last_failure"), F.count(F.lit(1)).alias("failures"))
+        .select(key, "first_failure", "last_failure", "failures", (F.col("failures") >= limit).alias("locked"))
     )
 
 
