@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tools.check import TABLES, rows
-from trustgrain.llm import ann, arc, divergence, hosts, lines, mixing, neardup, packing, quality, queries, secrets
+from trustgrain.llm import ann, arc, common, divergence, hosts, lines, mixing, neardup, packing, quality, queries, secrets
 
 FOLDER = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -449,6 +449,23 @@ def check_packing(got, ids, capacity=2048):
     assert len(by_seq) <= -(-total // capacity) * 1.02 + 1
 
 
+def test_batches_follow_the_session(spark):
+    """A session's own batch size stays, and results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, f"w{i % 7} a b c d e f " * (i % 40)) for i in range(200)], "doc_id long, text string").coalesce(1)
+    before, got = spark.conf.get(key), {}
+    for size in ("512", "1000000"):
+        spark.conf.set(key, size)
+        found = neardup.near_duplicates(docs).collect() + packing.token_pieces(docs, queries.TOKENIZER, queries.PATTERN).collect()
+        got[size] = sorted(map(str, found))
+        assert spark.conf.get(key) == size
+    spark.conf.set(key, "67108864b")
+    packing.token_pieces(docs, queries.TOKENIZER, queries.PATTERN)
+    assert spark.conf.get(key) == str(common.BATCH_BYTES)
+    spark.conf.set(key, before)
+    assert got["512"] == got["1000000"]
+
+
 def test_special_tokens_and_bytes():
     from tokenizers import Tokenizer
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import written
-from .common import fresh
+from .common import fresh, small_batches
 
 #: Words of a shingle; links need 100 * |A and B| >= SIMILARITY * |A or B|.
 SHINGLE = 5
@@ -227,6 +227,7 @@ def near_duplicates(
        inside tasks, where sketches and then full sets decide. Only links leave a task, never pairs.
     6. Components are joined back to all documents by set digest.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     marked = written(_sketched(base, words_per_shingle, bands, rows), "sketches")
     nodes = written(

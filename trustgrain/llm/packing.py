@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import fresh
+from .common import fresh, small_batches
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY = 2048
@@ -72,6 +72,7 @@ def token_pieces(
     back into pieces of ``capacity``, so only the first piece may be shorter. The checksum is over little-endian
     unsigned 32-bit ids.
     """
+    small_batches(docs.sparkSession)
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * tokens
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

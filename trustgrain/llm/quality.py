@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .common import small_batches
 
 #: Bounds of the training sample: labelled texts per class, and characters of the one window taken from each.
 EXAMPLES = 3000
@@ -134,6 +135,8 @@ def score_quality(docs: DataFrame, model: CompressionClassifier, text: str = "te
     ``docs`` may have is replaced.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
