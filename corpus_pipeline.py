@@ -19,8 +19,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text."""
-    cleaned = lines.drop_boilerplate(docs)
+    """All documents, without the lines that are boilerplate of their source and passages repeated on any pages.
+
+    ``n_chars`` follows the text.
+    """
+    cleaned = lines.drop_boilerplate(docs, long_words=lines.LONG_WORDS)
     return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -599,6 +599,24 @@ def test_lines(spark, odd, none):
     assert lines.drop_boilerplate(none).count() == 0
 
 
+def test_long_lines_need_few_pages(spark, odd, none):
+    """A passage on one page of each of many sites goes; a short line as rare stays; a middling one needs less than 5 %."""
+    passage, half = " ".join(f"w{k}" for k in range(50)), " ".join(f"h{k}" for k in range(45))
+    data = [(1000 * s + i, f"own {s} {i}", "en", f"s{s}", 0) for s in range(6) for i in range(199)]
+    data += [(1000 * s + 500, f"{passage}\r\nshort line\nlast {s}", "en", f"s{s}" if s else None, 0) for s in range(6)]
+    data += [(9000 + i, f"{half}\nnine {i}", "en", "s1", 0) for i in range(5)]
+    data += [(9100 + i, f"twice {' '.join(['copy'] * 50)}", "en", "s2", 0) for i in range(9)]  # one page, nine times
+    docs = spark.createDataFrame(data, DOC)
+    got = {r["doc_id"]: r for r in lines.drop_boilerplate(docs, long_words=50).collect()}
+    assert all(got[1000 * s + 500]["text"] == f"short line\nlast {s}" for s in range(6))
+    assert all(got[9000 + i]["text"] == f"nine {i}" for i in range(5)) and got[9100]["n_dropped"] == 0
+    assert {r["n_dropped"] for r in lines.drop_boilerplate(docs).collect()} == {0}
+    staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, FOLDER).collect()}
+    assert staged == {i: r["text"] for i, r in got.items()}
+    assert lines.drop_boilerplate(odd, long_words=50).count() == odd.count()
+    assert lines.drop_boilerplate(none, long_words=50).count() == 0
+
+
 # pipeline
 
 

@@ -100,6 +100,12 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query
+def op10_long_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.drop_boilerplate(table(spark, folder, "documents"), long_words=lines.LONG_WORDS)
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 #: The fewest sources at their limit with which no other source is above its own give the rate; then the histograms.
 ORACLES["op5_mixing"] = r"""
 WITH sized AS (
@@ -223,3 +229,30 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
   CASE WHEN text IS NOT NULL THEN array_to_string(left_lines, chr(10)) END AS text
 FROM kept
 """
+
+#: The ratio falls with the words of a line; from 50 words on, the pages of all sources count together.
+ORACLES["op10_long_lines"] = r"""
+WITH texts AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM documents),
+totals AS (SELECT source, count(*) AS total FROM texts GROUP BY 1),
+cut AS (
+  SELECT DISTINCT source, text, trim(line, ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM texts)),
+worded AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM cut WHERE line <> ''),
+boiler AS (
+  SELECT source, list(line) AS lines FROM (
+    SELECT c.source, line FROM worded c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE words < 50
+    GROUP BY c.source, line, words, total
+    HAVING count(*) >= 5 AND count(*) > CAST(0.05 AS DOUBLE) * (50 - words) / 50 * total)
+  GROUP BY 1),
+passages AS (
+  SELECT list(line) AS long FROM (SELECT line FROM worded WHERE words >= 50 GROUP BY 1 HAVING count(DISTINCT text) >= 5)),
+kept AS (
+  SELECT doc_id, d.text, len(string_split(d.text, chr(10))) AS n_lines,
+    list_filter(string_split(d.text, chr(10)),
+      lambda x: NOT list_contains(list_concat(coalesce(lines, []), coalesce(long, [])), trim(x, ' ' || chr(9) || chr(13)))) AS left_lines
+  FROM documents d LEFT JOIN boiler b ON d.source IS NOT DISTINCT FROM b.source CROSS JOIN passages)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(n_lines - len(left_lines), 0) AS BIGINT) AS n_dropped,
+  CASE WHEN text IS NOT NULL THEN array_to_string(left_lines, chr(10)) END AS text
+FROM kept
+"""
