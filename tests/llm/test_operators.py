@@ -274,6 +274,25 @@ def test_rules_odd_rows(odd, none):
     assert divergence.judge_documents(none).count() == 0
 
 
+def test_rare_languages_are_judged_by_their_own_texts(spark):
+    """The same Cyrillic texts are kept alone and among 300 times as many of another script, junk of their own goes."""
+    rng = np.random.default_rng(3)
+
+    def texts(letters, n):
+        vocabulary = ["".join(rng.choice(list(letters), 5)) for _ in range(300)]
+        weights = 1 / np.arange(1, 301)
+        return [" ".join(rng.choice(vocabulary, 120, p=weights / weights.sum())) + "." for _ in range(n)]
+
+    rare = [(i, t, "ru", "a", 0) for i, t in enumerate(texts("абвгдежзик", 30))]
+    few = [(100, texts("αβγδεζηθ", 1)[0], "el", "a", 0), (101, texts("αβγδεζηθ", 1)[0], None, "a", 0)]
+    junk = [(200, " ".join(f"{k}#$%" for k in range(200)), "ru", "a", 0)]
+    many = [(1000 + i, t, "en", "a", 0) for i, t in enumerate(texts("abcdefghij", 9000))]
+    alone, mixed = (spark.createDataFrame(rows, DOC) for rows in (rare + few + junk, rare + few + junk + many))
+    got = [{r["doc_id"]: tuple(r) for r in divergence.judge_documents(d).filter("doc_id < 1000").collect()} for d in (alone, mixed)]
+    assert got[0] == got[1] and {r[0] for r in got[1].values() if r[-1]} == {*range(30), 100, 101}
+    assert got[1][100][-4:-2] == got[1][101][-4:-2] == (0, 0) and set(divergence.language_references(mixed)) == {"en", "ru"}
+
+
 # 5 mixing
 
 

@@ -15,10 +15,10 @@ from ..operators.skew import top_k
 from ..session import written
 from .common import fresh
 
-#: Common words that a language's histogram holds (all others share one bin); languages with at least this share of
-#: all texts have a reference, so there are at most a hundred.
+#: Common words that a language's histogram holds (all others share one bin), and the words that a language needs for a
+#: reference: with fewer, chance alone moves it. The share of a language in the input does not matter.
 COMMON = 50
-LEAST_SHARE = 0.01
+LEAST_REFERENCE_WORDS = 2_000
 #: Largest Jensen-Shannon distances (0 to 1) of a kept text, and what short texts may have besides: this much divided
 #: by the square root of the number of characters or words.
 MOST_CHARS, CHARS_SLACK = 0.27, 0.5
@@ -45,6 +45,8 @@ _CLASS_OF[128] = 7
 
 #: Distinct words that a task counts before it hands its counts on.
 _FLUSH = 200_000
+#: References that a task keeps unpacked.
+_KNOWN = 1_000
 
 
 def char_classes(text: str) -> np.ndarray:
@@ -73,14 +75,15 @@ class Reference:
     shares: np.ndarray
 
 
-def language_references(
-    docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON, least_share: float = LEAST_SHARE
-) -> dict[str, Reference]:
-    """References of all languages with at least ``least_share`` of the non-empty texts, from every text of ``docs``.
+def reference_table(
+    docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON, least_words: int = LEAST_REFERENCE_WORDS
+) -> DataFrame:
+    """``(lang, chars, words, counts)`` of all languages with at least ``least_words`` words in the texts of ``docs``.
 
-    Tasks count words and character classes per language and hand on partial counts, which Spark sums. Only the
-    ``common`` most frequent words and the class totals of at most ``1 / least_share`` languages come to the driver.
-    A null language has no reference; without any text there are none.
+    ``chars`` are the totals of the character classes, ``words`` the ``common`` most frequent words, ``counts`` their
+    numbers and then that of all other words. Tasks count per language and hand on partial counts, which Spark sums; a
+    row is under 2 KB whatever the corpus holds, as long as its common words are short, and a language's row depends on
+    its own texts alone. A null language has no row.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,10 +101,10 @@ def language_references(
             for t, g in zip(batch["text"], batch["lang"], strict=True):
                 own = t.lower().encode("utf-8", "surrogatepass").split()
                 words.setdefault(g, Counter()).update(own)
-                total = totals.setdefault(g, np.zeros(_CLASSES + 2, dtype=np.int64))
+                total = totals.setdefault(g, np.zeros(_CLASSES + 1, dtype=np.int64))
                 total[:_CLASSES] += char_classes(t)
-                total[_CLASSES:] += 1, len(own)
-            if sum(map(len, words.values())) > _FLUSH:
+                total[_CLASSES] += len(own)
+            if sum(map(len, words.values())) + len(totals) > _FLUSH:
                 yield flushed()
         yield flushed()
 
@@ -114,24 +117,31 @@ def language_references(
         .agg(F.sum("n").alias("n"))
     )
     # The totals of a language are fewer than its common words, so the top of each kind is all that is needed.
-    most = max(common, _CLASSES + 2)
-    top = written(top_k(sums, ["kind", "lang"], [F.desc("n"), F.asc("item")], most, ["item"]), "references")
-    per_lang = top.filter("kind = 'total'").groupBy("lang").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("item").cast("string").cast("int"), "n"))).alias("c")
+    most = max(common, _CLASSES + 1)
+    top = written(top_k(sums, ["kind", "lang"], [F.desc("n"), F.asc("item")], most, ["item"]), "counts")
+    total, listed = F.col("kind") == "total", (F.col("kind") == "word") & (F.col("rank") <= common)
+    parts = top.groupBy("lang").agg(
+        F.array_sort(F.collect_list(F.when(total, F.struct(F.col("item").cast("string").cast("int").alias("i"), "n")))).alias("totals"),
+        F.array_sort(F.collect_list(F.when(listed, F.struct("rank", "item", "n")))).alias("top"),
     )
-    texts = F.col("c")[_CLASSES]
-    whole = per_lang.agg(F.sum(texts)).first()[0] or 0
-    totals = {r["lang"]: r["c"] for r in per_lang.filter(texts >= least_share * whole).collect()}
-    common_words = top.filter((F.col("kind") == "word") & F.col("lang").isin(list(totals)) & (F.col("rank") <= common))
-    found: dict[str, list[tuple[bytes, int]]] = {}
-    for r in common_words.orderBy("lang", "rank").collect():
-        found.setdefault(r["lang"], []).append((bytes(r["item"]), r["n"]))
-    out = {}
-    for g, own in found.items():
-        chars = np.array([totals[g][i] for i in range(_CLASSES)], dtype=float)
-        counts = np.array([n for _, n in own] + [totals[g][_CLASSES + 1] - sum(n for _, n in own)], dtype=float)
-        out[g] = Reference(chars / chars.sum(), {w: i for i, (w, _) in enumerate(own)}, counts / counts.sum())
-    return out
+    chars, number = F.slice("totals.n", 1, _CLASSES), F.col("totals.n")[_CLASSES]
+    others = number - F.aggregate("top.n", F.lit(0).cast("long"), lambda a, n: a + n)
+    found = parts.filter(number >= least_words).select(
+        "lang", chars.alias("chars"), F.col("top.item").alias("words"), F.concat("top.n", F.array(others)).alias("counts")
+    )
+    return written(found, "references")
+
+
+def reference(chars, words, counts) -> Reference:
+    chars, counts = np.array(chars, dtype=float), np.array(counts, dtype=float)
+    return Reference(chars / chars.sum(), {bytes(w): i for i, w in enumerate(words)}, counts / counts.sum())
+
+
+def language_references(
+    docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON, least_words: int = LEAST_REFERENCE_WORDS
+) -> dict[str, Reference]:
+    """``reference_table`` in the driver's memory, to look into few languages; documents are judged from the table."""
+    return {r["lang"]: reference(*r[1:]) for r in reference_table(docs, text, lang, common, least_words).collect()}
 
 
 @dataclass(frozen=True)
@@ -150,20 +160,13 @@ def word_distance(words: list[bytes], reference: Reference) -> float:
     return distance(bins, reference.shares)
 
 
-def distances(text: str, lang: str | None, references: dict[str, Reference], limits: Limits) -> tuple[float, float]:
-    """Character-class and common-word distance to the reference of the text's language; 0 for texts too short.
-
-    A text of a language without a reference is compared with the reference nearest to it in common words.
-    """
+def distances(text: str, own: Reference | None, limits: Limits) -> tuple[float, float]:
+    """Character-class and common-word distance to the reference of the text's language; 0 for texts too short, and
+    without a reference, as another language's says nothing about the text."""
     words = text.lower().encode("utf-8", "surrogatepass").split()
-    if not references or len(text) < limits.least_chars or len(words) < limits.least_words:
+    if own is None or len(text) < limits.least_chars or len(words) < limits.least_words:
         return 0.0, 0.0
-    if lang in references:
-        near = word_distance(words, own := references[lang])
-    else:
-        near, lang = min((word_distance(words, r), g) for g, r in references.items())
-        own = references[lang]
-    return distance(char_classes(text), own.chars), near
+    return distance(char_classes(text), own.chars), word_distance(words, own)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -191,7 +194,7 @@ def duplicate_lines(text: str) -> int:
     return n
 
 
-def measure(docs: DataFrame, references: dict[str, Reference], limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
+def measure(docs: DataFrame, references: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance,
     base_failed, kept``.
 
@@ -199,18 +202,28 @@ def measure(docs: DataFrame, references: dict[str, Reference], limits: Limits =
     words found twice or more. A text is kept if it passes both base rules and neither distance is above its limit:
     ``most_chars + chars_slack / sqrt(characters)`` and ``most_words + words_slack / sqrt(words)``; chance moves the
     histograms of short texts that much. A null text has no words. Columns of these names that ``docs`` may have are
-    replaced, every row stays, and each row is judged where it is read.
+    replaced and every row stays.
+
+    ``references`` (see ``reference_table``) is joined on the language. It is a written table of known size, so it is
+    broadcast while it is small and each row is judged where it is read; beyond that adaptive execution splits a
+    language that holds many texts. Texts of a language without a row there are held to the base rules alone.
     """
 
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, langs in batches:
+    def judge(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Reference] = {}
+        for texts, langs, *facts in batches:
             rows = []
-            for t, g in zip(texts, langs, strict=True):
+            for t, g, *fact in zip(texts, langs, *facts, strict=True):
+                if fact[0] is not None and g not in known:
+                    if len(known) >= _KNOWN:
+                        known.clear()
+                    known[g] = reference(*fact)
+                own = known[g] if fact[0] is not None else None
                 t = t or ""
                 words = t.encode("utf-8", "surrogatepass").split()
                 n, repeated = len(words), repeated_words(words)
                 failed = n < BASE_WORDS or 100 * repeated > BASE_REPEAT * n
-                chars, near = distances(t, g, references, limits)
+                chars, near = distances(t, own, limits)
                 kept = (
                     not failed
                     and chars <= limits.most_chars + limits.chars_slack / max(1, len(t)) ** 0.5
@@ -226,8 +239,13 @@ def measure(docs: DataFrame, references: dict[str, Reference], limits: Limits =
     )
     base = docs.select(*[c for c in docs.columns if c not in _NAMES])
     found = fresh(base, "measured")
-    judged = F.pandas_udf(judge, kind)(F.coalesce(F.col(text), F.lit("")), F.col(lang))
-    return base.withColumn(found, judged).select(*base.columns, f"{found}.*")
+    facts = {c: fresh([*base.columns, found], f"reference_{c}") for c in ("lang", "chars", "words", "counts")}
+    own = references.select([F.col(c).alias(name) for c, name in facts.items()])
+    joined = base.join(own, F.col(lang) == F.col(facts["lang"]), "left")
+    judged = F.pandas_udf(judge, kind)(
+        F.coalesce(F.col(text), F.lit("")), F.col(lang), *[F.col(facts[c]) for c in ("chars", "words", "counts")]
+    )
+    return joined.withColumn(found, judged).select(*base.columns, f"{found}.*")
 
 
 _NAMES = (
@@ -245,4 +263,4 @@ _NAMES = (
 
 def judge_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """References from all of ``docs``, then every document against them."""
-    return measure(docs, language_references(docs), limits)
+    return measure(docs, reference_table(docs), limits)
