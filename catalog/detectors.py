@@ -265,6 +265,18 @@ def phrase_reviews(spark, d):
     return phrases.phrase_reviews(derive.reviews(spark, d))
 
 
+@query(
+    "repeated_phrase_reviews",
+    _with(
+        REVIEWS_SQL,
+        PHRASE_CTE,
+        select="SELECT DISTINCT pg.product_id, pg.review_idx, pg.phrase FROM pg JOIN pr USING (product_id, phrase)",
+    ),
+)
+def repeated_phrase_reviews(spark, d):
+    return phrases.repeated_phrase_reviews(derive.reviews(spark, d))
+
+
 @query(
     "tfidf_weights",
     _with(
@@ -390,3 +402,23 @@ def trust_report(spark, d):
 )
 def flagged_reviews(spark, d):
     return report.flagged_reviews(derive.reviews(spark, d))
+
+
+@query(
+    "flagged_reviews_every_phrase",
+    _with(
+        REVIEWS_SQL,
+        BURST_CTE,
+        TFIDF_CTE,
+        PAIR_CTE,
+        CLUSTER_CTE,
+        PHRASE_CTE,
+        select=f"""SELECT r.product_id, 'review_burst' AS detector, r.review_idx FROM reviews r JOIN burst_v v USING (product_id)
+        WHERE v.detected AND r.review_date BETWEEN v.burst_start AND v.burst_start + 2
+        UNION ALL SELECT product_id, 'rating_sentiment_mismatch', review_idx FROM reviews WHERE {CONTRADICTS}
+        UNION ALL SELECT product_id, 'duplicate_content', review_idx FROM member
+        UNION ALL SELECT DISTINCT pg.product_id, 'phrase_repetition', pg.review_idx FROM pg JOIN pr USING (product_id, phrase)""",
+    ),
+)
+def flagged_reviews_every_phrase(spark, d):
+    return report.flagged_reviews(derive.reviews(spark, d), every_phrase=True)

@@ -132,3 +132,12 @@ def test_flagged_arrays_keep_every_review(frame):
     arrays = report.flagged_arrays(flagged, span=7)
     assert arrays.filter(F.size("review_indices") > 7).isEmpty()
     assert arrays.select(F.sum(F.size("review_indices"))).first()[0] == flagged.count()
+
+
+def test_every_repeated_phrase_flags_its_reviews(spark):
+    """Four reviews share 25 phrases, so three others that share one are beyond the 20 of the list."""
+    word = lambda k: "w" + "abcdefghij"[k // 10] + "abcdefghij"[k % 10]
+    texts = [" ".join(word(k) for k in range(27))] * 4 + ["xaa xbb xcc"] * 3 + [word(30 + k) for k in range(8)]
+    rows = [("p", i, t, 5.0, None, "neutral", None) for i, t in enumerate(texts)]
+    flagged = report.flagged_reviews(spark.createDataFrame(rows, SCHEMA), every_phrase=True).filter("detector = 'phrase_repetition'")
+    assert sorted(r["review_idx"] for r in flagged.collect()) == list(range(7))

@@ -113,14 +113,18 @@ def flat_report(reviews: DataFrame, min_reviews: int = 3) -> DataFrame:
     return report.select("product_id", "total_reviews", "trust_score", "trust_label", "issues_found", *columns)
 
 
-def flagged_reviews(reviews: DataFrame) -> DataFrame:
-    """Every review that some detector points at, one row per detector: ``(product_id, detector, review_idx)``."""
+def flagged_reviews(reviews: DataFrame, every_phrase: bool = False) -> DataFrame:
+    """Every review that some detector points at, one row per detector: ``(product_id, detector, review_idx)``.
+
+    Phrases are those that the report lists, or, with ``every_phrase``, all that are in enough reviews.
+    """
+    repeated = phrases.repeated_phrase_reviews if every_phrase else phrases.phrase_reviews
     pick = lambda df, name: df.select("product_id", F.lit(name).alias("detector"), "review_idx")
     return (
         pick(bursts.burst_reviews(reviews), "review_burst")
         .union(pick(ratings.mismatched_reviews(reviews), "rating_sentiment_mismatch"))
         .union(pick(duplicates.duplicate_reviews(reviews), "duplicate_content"))
-        .union(pick(phrases.phrase_reviews(reviews).select("product_id", "review_idx").distinct(), "phrase_repetition"))
+        .union(pick(repeated(reviews).select("product_id", "review_idx").distinct(), "phrase_repetition"))
     )
 
 
