@@ -314,6 +314,19 @@ def similar_pairs(spark, d):
     return similarity.similar_pairs(weights).withColumn("sim", F.round("sim", 6))
 
 
+@query(
+    "similar_members",
+    _with(
+        REVIEWS_SQL,
+        TFIDF_CTE,
+        select="""SELECT product_id, review_idx, min(review_idx) OVER (PARTITION BY product_id, bag) AS representative FROM
+        (SELECT product_id, review_idx, string_agg(term || ':' || tf, ' ' ORDER BY term) AS bag FROM tf GROUP BY ALL)""",
+    ),
+)
+def similar_members(spark, d):
+    return similarity.bag_members(derive.reviews(spark, d))
+
+
 @query(
     "duplicate_reviews",
     _with(REVIEWS_SQL, TFIDF_CTE, PAIR_CTE, CLUSTER_CTE, select="SELECT product_id, cluster, review_idx FROM member"),

@@ -141,3 +141,17 @@ def test_every_repeated_phrase_flags_its_reviews(spark):
     rows = [("p", i, t, 5.0, None, "neutral", None) for i, t in enumerate(texts)]
     flagged = report.flagged_reviews(spark.createDataFrame(rows, SCHEMA), every_phrase=True).filter("detector = 'phrase_repetition'")
     assert sorted(r["review_idx"] for r in flagged.collect()) == list(range(7))
+
+
+def test_pairs_and_members_give_all_similar_reviews(frame, products):
+    """Pairs of representatives, carried over to their members, and the pairs inside a bag are all pairs there are."""
+    known = frame.filter(F.col("text").isNotNull())
+    weights = similarity.term_weights(similarity.token_bags(known))
+    links = [(r["product_id"], r["a"], r["b"]) for r in similarity.similar_pairs(weights).collect()]
+    members = {}
+    for r in similarity.bag_members(known).collect():
+        members.setdefault((r["product_id"], r["representative"]), []).append(r["review_idx"])
+    got = {(p, *sorted((x, y))) for p, a, b in links for x in members[p, a] for y in members[p, b]}
+    got |= {(p, x, y) for (p, _), bag in members.items() for x in bag for y in bag if x < y}
+    want = {(p, *k) for p, rows in products.items() for k in brute.pairs({r["idx"]: r["text"] for r in rows if r["text"]})}
+    assert got == want and len(want) > len(links)
