@@ -81,6 +81,13 @@ def lockout_stream(spark, d):
     return without_zone(streams.run_to_table(bursts, "lockout", "complete"), "first_failure", "last_failure")
 
 
+@query("lockout_runs_stream", runs_sql(attempts.IP_FAILURES, attempts.IP_MEMORY_S))
+def lockout_runs_stream(spark, d):
+    arrived = streams.run_to_table(sign_ins(event_stream(spark, d)), "sign-ins")
+    runs = attempts.failure_runs(arrived, "user_id", "failed", attempts.IP_FAILURES, attempts.IP_MEMORY_S)
+    return without_zone(runs, "first_failure", "last_failure")
+
+
 @query("stream_dedupe", "SELECT DISTINCT 'u' || user_id AS product_id, event_type AS text FROM events")
 def stream_dedupe(spark, d):
     arriving = event_stream(spark, d).select(

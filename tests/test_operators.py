@@ -6,9 +6,12 @@ import datetime as dt
 import json
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import streams
 from trustgrain.functions import crypto, lang, numbers, pages, text, urls
 from trustgrain.operators import attempts, governance, redflags, reviews, sites, skew, usage
 from trustgrain.operators.components import components
@@ -307,3 +310,14 @@ def test_robots_groups_and_status(spark):
     status = spark.createDataFrame([("h0.example", 200), ("h1.example", 200), ("h2.example", 204), ("h3.example", 404)], "host string, fetch_status int")
     got = {r["url_id"]: r["allowed"] for r in sites.robots_filter(urls_, table, status, agent="trustbot/1.0").collect()}
     assert got == {0: True, 1: False, 2: False, 3: True}
+
+
+def test_success_ends_a_run_in_the_stream(spark, tmp_path):
+    """Nine failures, a success and a failure within five minutes lock nobody; ten failures in a row do."""
+    start = dt.datetime(2024, 1, 1)
+    kinds = {1: ["error"] * 9 + ["click", "error"], 2: ["error"] * 10}
+    rows = [(100 * u + i, u, k, start + dt.timedelta(seconds=20 * i)) for u, ks in kinds.items() for i, k in enumerate(ks)]
+    columns = pa.table(dict(zip(["event_id", "user_id", "event_type", "ts"], map(list, zip(*rows)))))
+    pq.write_table(columns, f"{tmp_path}/events.parquet")
+    got = sorted((r["user_id"], r["failures"], r["locked"]) for r in streams.lockout_runs_stream(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, False), (1, 9, False), (2, 10, True)]
