@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def hand_back() -> None:
+    """Give memory that this Python worker no longer uses back to the machine.
+
+    Workers outlive their tasks, and what their allocators keep counts against the executor until they end.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Batches = Iterator[pd.DataFrame]
+
+
+def tidy(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``fn`` for ``mapInPandas``, handing memory back when a task's rows are done."""
+
+    def run(batches: Batches) -> Batches:
+        yield from fn(batches)
+        hand_back()
+
+    return run
+
+
 def fresh(df: DataFrame | Iterable[str], name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so (column names do not differ by case alone)."""
     taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import written
-from .common import fresh, small_batches
+from .common import small_batches, tidy
 
 #: Words of a shingle; links need 100 * |A and B| >= SIMILARITY * |A or B|.
 SHINGLE = 5
@@ -38,7 +38,7 @@ BLOCK = 512
 SKETCH_BLOCK = 2048
 LEAST_AGREEMENT = 0.56
 #: Words whose hashes a task remembers.
-_REMEMBERED = 500_000
+_REMEMBERED = 50_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,7 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _SHIFT)
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > _REMEMBERED:
             self.clear()
@@ -122,7 +122,7 @@ def _sketched(docs: DataFrame, words_per_shingle: int, bands: int, rows: int) ->
     ``marks`` has one byte of every sketch coordinate."""
 
     def one_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
+        hashes = WordHashes()
         for batch in batches:
             n, digests, keys, marks = [], [], [], []
             for t in batch["text"]:
@@ -134,7 +134,7 @@ def _sketched(docs: DataFrame, words_per_shingle: int, bands: int, rows: int) ->
                 marks.append(c.astype(np.uint8).tobytes() if len(s) else None)
             yield pd.DataFrame({"id": batch["id"], "n": n, "digest": digests, "bands": keys, "marks": marks})
 
-    return docs.mapInPandas(one_batch, "id long, n long, digest binary, bands array<long>, marks binary")
+    return docs.mapInPandas(tidy(one_batch), "id long, n long, digest binary, bands array<long>, marks binary")
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -152,7 +152,7 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words_per_shingle: int) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, words_per_shingle: int) -> DataFrame:
     """``(id, shingles)`` of the documents with these ``ids``, written.
 
     A filter of fixed size goes to the tasks that read the texts, so the texts are not shuffled; the few other
@@ -162,7 +162,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words_per_shingle: int) -> DataFrame:
     bits = spark.sparkContext.broadcast(_id_filter(ids))
 
     def one_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
+        hashes = WordHashes()
         for batch in batches:
             at = batch["place"].to_numpy()
             batch = batch[(bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
@@ -171,10 +171,12 @@ def _sets(docs: DataFrame, ids: DataFrame, words_per_shingle: int) -> DataFrame:
 
     place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("place")
     found = docs.filter(F.col("id").isNotNull()).select("id", "text", place)
-    return written(found.mapInPandas(one_batch, "id long, shingles binary").join(ids, "id", "left_semi"), "shingle-sets")
+    sets = written(found.mapInPandas(tidy(one_batch), "id long, shingles binary").join(ids, "id", "left_semi"), "shingle-sets")
+    bits.destroy()  # the sets are written, no task needs it again
+    return sets
 
 
-def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+def similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -189,12 +191,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) ->
         for batch in batches:
             keep = np.zeros(len(batch), dtype=bool)
             for i, (x, y) in enumerate(zip(batch["sa"], batch["sb"], strict=True)):
-                keep[i] = _similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), similarity)
+                keep[i] = similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), similarity)
             yield batch.loc[keep, ["a", "b"]]
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(tidy(check), "a long, b long")
 
 
 def near_duplicates(
@@ -259,7 +261,7 @@ def _linked(nodes: DataFrame, base: DataFrame, words_per_shingle: int, similarit
 
     def links(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return written(verified(pairs, _sets(base, ids, words_per_shingle), similarity), "links")
+        return written(verified(pairs, full_sets(base, ids, words_per_shingle), similarity), "links")
 
     ends = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     to_leaders = (
@@ -287,7 +289,7 @@ def _with_class(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     return nodes.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of rows with equal keys, from batches sorted by them."""
     held = None
     for batch in batches:
@@ -341,7 +343,7 @@ def _in_buckets(nodes: DataFrame, linked: DataFrame, similarity: int, pairs_of_c
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for group in _groups(batches, ["key", "p", "q"]):
+        for group in sorted_groups(batches, ["key", "p", "q"]):
             ids, classes = group["id"].to_numpy(), group["component"].to_numpy()
             for i, fits, same in _agreeing(group, similarity):
                 if fits.any():
@@ -354,7 +356,7 @@ def _in_buckets(nodes: DataFrame, linked: DataFrame, similarity: int, pairs_of_c
         yield pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
 
     keys = ["key", "p", "q"]
-    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(search, "a long, b long")
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(tidy(search), "a long, b long")
 
 
 def _between_classes(
@@ -389,7 +391,7 @@ def _between_classes(
     )
     involved = pairs.select(F.explode(F.array("key", "component")).alias("component")).distinct()
     chosen = members.join(involved, "component", "left_semi")
-    full = chosen.join(_sets(base, chosen.select("id"), words_per_shingle), "id")
+    full = chosen.join(full_sets(base, chosen.select("id"), words_per_shingle), "id")
 
     def every(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -407,7 +409,7 @@ def _between_classes(
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, ["key", "p", "q"]):
+        for group in sorted_groups(batches, ["key", "p", "q"]):
             out = []
             key = group["key"].iloc[0]
             ids, classes = group["id"].to_numpy(), group["component"].to_numpy()
@@ -417,10 +419,10 @@ def _between_classes(
                     out += [
                         (ids[i], ids[j])
                         for j in np.nonzero(fits & (classes == key))[0]
-                        if _similar(sets[i], sets[j], similarity)
+                        if similar(sets[i], sets[j], similarity)
                     ]
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     keys = ["key", "p", "q"]
     sent = left.select(*columns).union(right.select(*columns))
-    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(search, "a long, b long")
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(tidy(search), "a long, b long")

@@ -6,6 +6,7 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import fresh, small_batches
+from .common import fresh, small_batches, tidy
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY = 2048
@@ -27,7 +28,10 @@ PART_ROWS = 100_000
 class BytePairs:
     """Byte-level BPE from a ``tokenizers`` JSON file. Encoding runs in ``tiktoken``, which gives the same ids several
     times faster; the vocabulary and merges are those of the file. Special tokens in a text are recognised, as
-    ``tokenizers`` does by default.
+    ``tokenizers`` does by default, unless ``special`` is false.
+
+    A run of white space of about a million characters exceeds the stack that ``tiktoken`` gives its pattern; such
+    texts are encoded by ``tokenizers`` itself.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -42,8 +46,10 @@ class BytePairs:
             for token, rank in parsed["model"]["vocab"].items()
             if token not in special
         }
+        self.ranks = ranks
         self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.special = set(special)
+        self.path = path
 
     @staticmethod
     def _byte_characters() -> dict[int, str]:
@@ -52,8 +58,31 @@ class BytePairs:
         rest = [b for b in range(256) if b not in shown]
         return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
-    def ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id; special tokens stand for the bytes of their names."""
+        size = self.encoding.n_vocab
+        found = {i: t for t, i in self.ranks.items()} | {self.encoding.encode_single_token(t): t.encode() for t in self.special}
+        return [found.get(i, b"") for i in range(size)]
+
+    def ids(self, text: str, special: bool = True) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special=self.special if special else set(), disallowed_special=())
+        except ValueError:
+            return np.array(self._slow(special).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    @lru_cache(maxsize=2)  # noqa: B019
+    def _slow(self, special: bool):
+        import tokenizers
+
+        found = tokenizers.Tokenizer.from_file(self.path)
+        found.encode_special_tokens = not special
+        return found
+
+
+@lru_cache(maxsize=1)
+def byte_pairs(path: str, pattern: str) -> BytePairs:
+    """One encoder for all tasks of a Python worker."""
+    return BytePairs(path, pattern)
 
 
 def token_pieces(
@@ -76,7 +105,7 @@ def token_pieces(
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * tokens
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = BytePairs(tokenizer, pattern)
+        pairs = byte_pairs(tokenizer, pattern)
         for batch in (b.iloc[at : at + ROWS] for b in batches for at in range(0, len(b), ROWS)):
             rows = []
             for i, t in zip(batch["doc_id"], batch["text"], strict=True):
@@ -88,7 +117,7 @@ def token_pieces(
                     rows.append((i, k, a, b - a, zlib.crc32(part), *([part.astype(np.int32)] if tokens else [])))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, kind)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(tidy(cut), kind)
 
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
