@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, arc, divergence, hosts, lines, mixing, neardup, packing, quality, secrets
+from . import alignment, ann, arc, divergence, hosts, importance, jaccard, lines, mixing, neardup, packing, quality, secrets
 from ..session import work_path
 from .common import table
 
@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn):
@@ -106,6 +107,21 @@ def op10_long_lines(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, folder, "documents"))
+
+
+@query
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, folder, "documents"), TOKENIZER, PATTERN, PIECES)
+
+
+@query
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 #: The fewest sources at their limit with which no other source is above its own give the rate; then the histograms.
 ORACLES["op5_mixing"] = r"""
 WITH sized AS (
@@ -256,3 +272,40 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
   CASE WHEN text IS NOT NULL THEN array_to_string(left_lines, chr(10)) END AS text
 FROM kept
 """
+
+#: CRC-32 by its table of 256 entries, for the distinct words alone.
+ORACLES["op13_importance"] = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY b) AS entry FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)),
+      lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v FROM range(256) t(b))),
+sides AS (
+  SELECT 'raw' AS side, doc_id, text FROM documents UNION ALL SELECT 'target', NULL, text FROM benchmark),
+words AS (
+  SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS list FROM sides),
+spread AS (SELECT side, doc_id, unnest(list) AS word FROM words),
+hashed AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(length(hex(word)) // 2), lambda i: CAST(concat('0x', substr(hex(word), 2 * i + 1, 2)) AS BIGINT))),
+    lambda c, x: xor(c >> 8, entry[xor(c & 255, x) + 1]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM spread), crc),
+counted AS (
+  SELECT bucket, count(*) FILTER (side = 'raw') AS s, count(*) FILTER (side = 'target') AS t
+  FROM spread JOIN hashed USING (word) GROUP BY 1),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (sum(s) OVER () + 10000)
+    / ((CAST(s AS DOUBLE) + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM counted),
+weights AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+  FROM spread JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'raw' GROUP BY 1),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('2024:', CAST(d.doc_id AS VARCHAR))), 1, 8)) AS BIGINT)
+      + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights w USING (doc_id)),
+drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS many FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * many // 100 THEN place END AS rank
+FROM scored s LEFT JOIN drawn USING (doc_id)
+"""
