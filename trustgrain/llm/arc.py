@@ -13,6 +13,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+from .common import small_batches, tidy
+
 #: Fields of a record's header line by format version; the URL comes first and the declared length last.
 FIELDS = {
     1: ("url", "ip", "date", "mime", "length"),
@@ -20,8 +23,10 @@ FIELDS = {
 }
 #: Payloads of at least so many bytes are revisits where an earlier record has the same.
 LEAST_PAYLOAD = 0
-#: Records of one archive, ARC or WARC; a file is read by one task.
+#: Most records of one archive, ARC or WARC, and bytes with which it ends even before; a file is read by one task, which
+#: holds it whole. A larger record is an archive of its own.
 RECORDS_PER_FILE = 500
+BYTES_PER_FILE = 16 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_HEADER = "X-Page-Id"
 _LAST = (1 << 63) - 1
@@ -64,20 +69,33 @@ def _page_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     return pages.select(F.col(page_id).cast("string").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
 
 
+def _cut(blocks: Iterator[bytes], size=len) -> Iterator[list]:
+    """``blocks`` in runs of at most ``RECORDS_PER_FILE``, each of at most ``BYTES_PER_FILE`` or of one block."""
+    run, held = [], 0
+    for block in blocks:
+        if run and (len(run) == RECORDS_PER_FILE or held + size(block) > BYTES_PER_FILE):
+            yield run
+            run, held = [], 0
+        run.append(block)
+        held += size(block)
+    if run:
+        yield run
+
+
 def _builder(version: int = 1, **columns):
+    def record(i, u, h) -> tuple[str, str, str, str, bytes]:
+        payload = (h or "").encode("utf-8", "surrogatepass")
+        own = "" if i is None or i != i else f"{ID_HEADER}: {int(i)}\r\n"
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}\r\n".encode()
+        clean = "".join(f"%{ord(c):02X}" if c <= " " else c for c in u or "-")
+        return clean, "127.0.0.1", "20240101000000", "text/html", head + payload
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        slices = (b.iloc[at : at + RECORDS_PER_FILE] for b in batches for at in range(0, len(b), RECORDS_PER_FILE))
-        for k, batch in enumerate(slices):
-            records = []
-            for i, u, h in zip(batch["id"], batch["url"], batch["html"], strict=True):
-                payload = (h or "").encode("utf-8", "surrogatepass")
-                own = "" if i is None or i != i else f"{ID_HEADER}: {int(i)}\r\n"
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}\r\n".encode()
-                clean = "".join(f"%{ord(c):02X}" if c <= " " else c for c in u or "-")
-                records.append((clean, "127.0.0.1", "20240101000000", "text/html", head + payload))
+        records = (record(*x) for b in batches for x in zip(b["id"], b["url"], b["html"], strict=True))
+        for k, run in enumerate(_cut(records, lambda r: len(r[-1]))):
             name = f"pages-{part:06}-{k:06}.arc"
-            yield pd.DataFrame({"archive": [name], "content": [arc_archive(name, records, version)]})
+            yield pd.DataFrame({"archive": [name], "content": [arc_archive(name, run, version)]})
 
     return build
 
@@ -150,8 +168,9 @@ def arc_records(archive: str, content: bytes) -> Iterator[tuple]:
 
 def page_records(pages: DataFrame, **columns) -> DataFrame:
     """The records of ``archive_pages(pages)``, built and read in one pass of one Python worker per task."""
+    small_batches(pages.sparkSession)
     build, parse = _builder(**columns), _reader()
-    return _page_rows(pages, **columns).mapInPandas(lambda batches: parse(build(batches)), ARC_RECORD)
+    return _page_rows(pages, **columns).mapInPandas(tidy(lambda batches: parse(build(batches))), ARC_RECORD)
 
 
 def read_arc(archives: DataFrame) -> DataFrame:
@@ -184,42 +203,53 @@ def record_id(archive: str, offset: int, url: str | None) -> str:
 
 
 def to_warc(records: DataFrame, least_payload: int = LEAST_PAYLOAD) -> DataFrame:
-    """One WARC record per readable ARC record, as ``value`` (its bytes without the last line end).
+    """WARC archives of the readable ARC records, one row ``value`` each (its bytes without the last line end).
 
     Identifiers are made from archive, offset and URL, so reruns agree. ``filedesc`` becomes ``warcinfo``, HTTP
     responses ``response`` (block with HTTP head), anything else ``resource``. Of responses with equal payloads of at
     least ``least_payload`` bytes, the one with the smallest id (then archive and offset; no id comes last) stays
     a response and the others become ``revisit`` records that name it and carry the HTTP head alone.
 
-    Only payload digests are grouped, and only those found more than once are joined back.
+    Digests are grouped without blocks. Which record repeats which is then known by archive and offset, and with these
+    it is joined to the blocks, so a payload that very many records have is no task's own.
     """
     sound = records.filter(F.col("error").isNull())
     place = F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), "archive", "offset", "url", "date")
-    first = (
-        sound.filter((F.col("head_bytes") > 0) & (F.col("payload_bytes") >= least_payload))
-        .groupBy("payload_digest")
-        .agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    payloads = written(
+        sound.filter((F.col("head_bytes") > 0) & (F.col("payload_bytes") >= least_payload)).select(
+            "payload_digest", place.alias("place")
+        ),
+        "payloads",
+    )
+    first = written(
+        payloads.groupBy("payload_digest")
+        .agg(F.min("place").alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1")
+        .select(F.col("payload_digest").alias("digest"), "first"),
+        "first-payloads",
+    )
+    repeats = written(
+        payloads.join(first, F.col("payload_digest") == F.col("digest"))
+        .filter(F.struct("place.archive", "place.offset") != F.struct("first.archive", "first.offset"))
         .select(
-            F.col("payload_digest").alias("first_digest"),
+            F.col("place.archive").alias("own_archive"),
+            F.col("place.offset").alias("own_offset"),
             F.col("first.archive").alias("first_archive"),
             F.col("first.offset").alias("first_offset"),
             F.col("first.url").alias("first_url"),
             F.col("first.date").alias("first_date"),
-        )
-    )
-    repeats = (
-        (F.col("payload_digest") == F.col("first_digest"))
-        & (F.col("head_bytes") > 0)
-        & (F.col("payload_bytes") >= least_payload)
+        ),
+        "repeats",
     )
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"value": [_warc_record(r) for r in batch.itertuples(index=False)]})
+        made = (_warc_record(r) for batch in batches for r in batch.itertuples(index=False))
+        for run in _cut(made):
+            yield pd.DataFrame({"value": [b"".join(run)[:-1]]})
 
-    joined = sound.join(first, repeats, "left")
-    return joined.mapInPandas(build, "value binary").select(F.col("value").cast("string").alias("value"))
+    own = (F.col("archive") == F.col("own_archive")) & (F.col("offset") == F.col("own_offset"))
+    joined = sound.join(repeats, own, "left").drop("own_archive", "own_offset", "error")
+    return joined.mapInPandas(tidy(build), "value binary").select(F.col("value").cast("string").alias("value"))
 
 
 def _warc_record(r) -> bytes:
@@ -230,8 +260,7 @@ def _warc_record(r) -> bytes:
         block = f"software: trustgrain\r\nformat: WARC File Format 1.1\r\ndescription: ARC {r.version} {r.archive}\r\n".encode()
     elif r.head_bytes:
         kind, mime = "response", "application/http; msgtype=response"
-        again = isinstance(r.first_archive, str) and (r.first_archive, r.first_offset) != (r.archive, r.offset)
-        if again:
+        if isinstance(r.first_archive, str):
             kind, block = "revisit", r.block[: int(r.head_bytes)]
             more = [
                 ("WARC-Profile", REVISIT),
@@ -251,12 +280,15 @@ def _warc_record(r) -> bytes:
         ("Content-Length", str(len(block))),
     ]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
-    return head.encode("utf-8", "surrogatepass") + block + b"\r\n\r"
+    return head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
-def write_warc(values: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the records of ``to_warc`` as gzipped WARC files; Spark's writer adds each record's last line end."""
-    values.write.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_warc(values: DataFrame, path: str, archives_per_file: int = 1) -> None:
+    """Write the archives of ``to_warc`` as WARC files; Spark's writer adds the last line end of each.
+
+    A file is gzipped as a whole, as Spark's writer does, so its records are read in order and not by their offset.
+    """
+    values.write.option("compression", "gzip").option("maxRecordsPerFile", archives_per_file).text(path)
 
 
 def warc_records(content: bytes) -> Iterator[tuple]:
@@ -307,17 +339,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 frame = pd.DataFrame(list(warc_records(content)), columns=names, dtype=object)
                 yield frame.astype({"id": "Int64", "payload_bytes": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, WARC_RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(tidy(parse), WARC_RECORD)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """``records`` with ``payload_bytes`` of revisits taken from the response they refer to, and its id as
-    ``refers_to_id``."""
+    ``refers_to_id``. Only revisits are joined; the records, which have no payloads, are written once."""
+    records = written(records, "warc-records")
+    rest = [c for c in records.columns if c != "payload_bytes"]
     responses = records.filter("record_type = 'response'").select(
-        F.col("record_id").alias("response"), F.col("id").alias("response_id"), F.col("payload_bytes").alias("of_response")
-    )
-    return records.join(responses, F.col("refers_to") == F.col("response"), "left").select(
-        *[c for c in records.columns if c != "payload_bytes"],
-        F.coalesce("payload_bytes", "of_response").alias("payload_bytes"),
-        F.col("response_id").alias("refers_to_id"),
+        F.col("record_id").alias("response"), F.col("id").alias("refers_to_id"), F.col("payload_bytes").alias("of_response")
     )
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    resolved = records.filter(revisit).join(responses, F.col("refers_to") == F.col("response"), "left")
+    others = records.filter(~revisit).select(*rest, "payload_bytes", F.lit(None).cast("long").alias("refers_to_id"))
+    return others.union(resolved.select(*rest, F.coalesce("payload_bytes", "of_response").alias("payload_bytes"), "refers_to_id"))
