@@ -273,6 +273,7 @@ def product_summary(spark, d):
     return summary.product_summary(scored).withColumn("languages_detected", F.array_join("languages_detected", ", "))
 
 
+RECURSIVE = WITH.replace("WITH", "WITH RECURSIVE", 1)
 _STOP = ", ".join(f"'{w}'" for w in TERM_STOP_WORDS)
 KEYWORD_CTE = f"""
 kw AS (SELECT product_id, review_idx, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS ws FROM src
@@ -289,13 +290,28 @@ ks AS (SELECT product_id, n, phrase, round(uses / CAST(most AS DOUBLE) * (ln(((S
   FROM kc JOIN kd USING (n, phrase) JOIN km USING (product_id)),
 k1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY score DESC, phrase) AS rn FROM ks WHERE n IN (1, 2)),
 k2 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY score DESC, phrase) AS rn FROM ks WHERE n IN (2, 3)),
-kx AS (SELECT product_id, phrase AS keyword, MAX(score) AS score FROM (SELECT * FROM k1 WHERE rn <= 15 UNION ALL SELECT * FROM k2 WHERE rn <= 10) GROUP BY ALL),
+kz AS (SELECT product_id, 1 AS pass, 15 AS keep, phrase, score, rn, list_distinct(string_split(phrase, ' ')) AS ws FROM k1 WHERE rn <= 20
+  UNION ALL SELECT product_id, 2, 10, phrase, score, rn, list_distinct(string_split(phrase, ' ')) FROM k2 WHERE rn <= 15),
+ky AS (SELECT product_id, pass, MAX(rn) AS c, MAX(rn) - ANY_VALUE(keep) AS m FROM kz GROUP BY ALL HAVING MAX(rn) > ANY_VALUE(keep)),
+kpair AS (SELECT a.product_id, a.pass, a.rn AS i, b.rn AS j, CASE WHEN a.rn = b.rn THEN 0 ELSE
+    CAST(floor(1000000 * (len(list_intersect(a.ws, b.ws)) / sqrt(len(a.ws) * len(b.ws)))) AS BIGINT) END AS alike
+  FROM kz a JOIN kz b ON a.product_id = b.product_id AND a.pass = b.pass),
+krow AS (SELECT product_id, pass, i, SUM(alike) AS total FROM kpair GROUP BY ALL),
+kmat AS (SELECT product_id, pass, c, m, (SELECT list(alike ORDER BY i, j) FROM kpair p WHERE p.product_id = y.product_id AND p.pass = y.pass) AS mat,
+  (SELECT list(CAST(total AS BIGINT) ORDER BY i) FROM krow p WHERE p.product_id = y.product_id AND p.pass = y.pass) AS totals FROM ky y),
+kway AS (SELECT product_id, pass, c, m, mat, totals, CAST([] AS BIGINT[]) AS gone, CAST(0 AS BIGINT) AS saved, CAST(0 AS BIGINT) AS upto FROM kmat
+  UNION ALL SELECT product_id, pass, c, m, mat, totals, list_append(gone, r),
+    saved + totals[r] - coalesce(CAST(list_sum(list_transform(gone, lambda g: mat[(g - 1) * c + r])) AS BIGINT), 0), r
+  FROM kway, range(1, 21) AS t(r) WHERE r > upto AND r <= c AND len(gone) < m),
+kbest AS (SELECT product_id, pass, gone FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id, pass ORDER BY saved DESC, gone DESC) AS best FROM kway WHERE len(gone) = m) WHERE best = 1),
+kx AS (SELECT product_id, phrase AS keyword, MAX(score) AS score FROM kz LEFT JOIN kbest USING (product_id, pass)
+  WHERE gone IS NULL OR NOT list_contains(gone, rn) GROUP BY ALL),
 kk AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY score DESC, keyword) AS INTEGER) AS keyword_rank FROM kx),
 kf AS (SELECT * FROM kk WHERE keyword_rank <= 15)
 """
 
 
-@query("keywords", WITH + ", src AS (SELECT * FROM reviews), " + KEYWORD_CTE + " SELECT product_id, keyword, score, keyword_rank FROM kf")
+@query("keywords", RECURSIVE + ", src AS (SELECT * FROM reviews), " + KEYWORD_CTE + " SELECT product_id, keyword, score, keyword_rank FROM kf")
 def keyword_list(spark, d):
     return keywords.keywords(derive.reviews(spark, d))
 
@@ -308,12 +324,12 @@ def keyword_counts(spark, d):
     return keywords.keyword_counts(derive.reviews(spark, d))
 
 
-_TOPIC_ROWS = ", ".join(f"({i}, '{t}', '{w}')" for i, (t, ws) in enumerate(keywords.TOPICS.items()) for w in dict.fromkeys(ws.split()))
+_TOPIC_ROWS = ", ".join(f"({i}, '{t}', '{w}')" for i, (t, ws) in enumerate(keywords.TOPICS.items()) for w in dict.fromkeys(ws))
 
 
 @query(
     "topics",
-    SHORT
+    SHORT.replace("WITH", "WITH RECURSIVE", 1)
     + ", src AS (SELECT *, review_idx AS item FROM s), "
     + KEYWORD_CTE.replace("product_id", "item")
     + f""", tt AS (SELECT DISTINCT item, topic_no, topic, keyword, keyword_rank FROM kf, (VALUES {_TOPIC_ROWS}) AS v(topic_no, topic, word) WHERE contains(keyword, word)),

@@ -13,22 +13,29 @@ WORD = r"[\p{L}\p{N}_]"
 
 # Words left out of repeated-phrase search.
 PHRASE_STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall can "
-    "to of in for on with at by from as into through and but or so if it its this that i my me"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "shall", "can", "to", "of", "in", "for", "on", "with", "at",
+    "by", "from", "as", "into", "through", "and", "but", "or", "so", "if", "it", "its", "this", "that", "i", "my",
+    "me",
+)
 
 # Default English function words for term weighting; pass your own list to use another one.
 TERM_STOP_WORDS = (
-    "about above after again against all almost also although always am among an and another any anyone are around as "
-    "at back be became because become been before being below between both but by call can cannot could do done down "
-    "during each either else enough etc even ever every everyone everything few first for from further get give go had "
-    "has have he hence her here hers him his how however if in indeed into is it its itself last least less made many "
-    "may me might more most much must my myself neither never next no nobody none nor not nothing now of off often on "
-    "once one only onto or other others our ours out over own per perhaps please put rather re same see seem she should "
-    "since so some someone something still such than that the their them then there these they this those through to "
-    "together too under until up upon us very was we well were what when where which while who whole whom whose why "
-    "will with within without would yet you your yours"
-).split()
+    "about", "above", "after", "again", "against", "all", "almost", "also", "although", "always", "am", "among", "an",
+    "and", "another", "any", "anyone", "are", "around", "as", "at", "back", "be", "became", "because", "become",
+    "been", "before", "being", "below", "between", "both", "but", "by", "call", "can", "cannot", "could", "do",
+    "done", "down", "during", "each", "either", "else", "enough", "etc", "even", "ever", "every", "everyone",
+    "everything", "few", "first", "for", "from", "further", "get", "give", "go", "had", "has", "have", "he", "hence",
+    "her", "here", "hers", "him", "his", "how", "however", "if", "in", "indeed", "into", "is", "it", "its", "itself",
+    "last", "least", "less", "made", "many", "may", "me", "might", "more", "most", "much", "must", "my", "myself",
+    "neither", "never", "next", "no", "nobody", "none", "nor", "not", "nothing", "now", "of", "off", "often", "on",
+    "once", "one", "only", "onto", "or", "other", "others", "our", "ours", "out", "over", "own", "per", "perhaps",
+    "please", "put", "rather", "re", "same", "see", "seem", "she", "should", "since", "so", "some", "someone",
+    "something", "still", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this",
+    "those", "through", "to", "together", "too", "under", "until", "up", "upon", "us", "very", "was", "we", "well",
+    "were", "what", "when", "where", "which", "while", "who", "whole", "whom", "whose", "why", "will", "with",
+    "within", "without", "would", "yet", "you", "your", "yours",
+)
 
 # Accepted review date shapes, tried in this order, day before month where both fit.
 DATE_SHAPES = (
