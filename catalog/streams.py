@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from trustgrain.operators import attempts
 from trustgrain.plans import derive
 from trustgrain.sources.tables import load
-from trustgrain.streaming import streams
+from trustgrain.session import work_path
+from trustgrain.streaming import sinks, streams
 
 from .base import query
 
@@ -63,42 +64,66 @@ def account_lockout_audit(spark, d):
     return without_zone(runs, "first_failure", "last_failure")
 
 
-def event_stream(spark, d):
-    schema = load(spark, d, "events").schema
-    return streams.read_events(spark, d, schema, "events.parquet")
+def arriving(spark, d, name, job, *types):
+    """What a job appends for the events of a table that arrive in several files, with a restart in between."""
+    events = load(spark, d, "events").filter("ts IS NOT NULL")
+    return streams.replay(events.filter(F.col("event_type").isin(*types)) if types else events, name, job)
 
 
 @query("rate_limit_stream", MINUTES_SQL)
 def rate_limit_stream(spark, d):
-    minutes = streams.stream_request_minutes(derive.as_visits(event_stream(spark, d)))
-    return without_zone(streams.run_to_table(minutes, "rate-limit", "complete"), "minute")
+    minutes = arriving(spark, d, "rate-limit", lambda e: streams.stream_request_minutes(derive.as_visits(e)))
+    return without_zone(minutes, "minute")
 
 
 @query("lockout_stream", runs_sql(attempts.IP_FAILURES, attempts.IP_MEMORY_S, success=False))
 def lockout_stream(spark, d):
-    failures = sign_ins(event_stream(spark, d)).filter("failed")
-    bursts = streams.stream_failure_bursts(failures, "user_id", attempts.IP_FAILURES, attempts.IP_MEMORY_S)
-    return without_zone(streams.run_to_table(bursts, "lockout", "complete"), "first_failure", "last_failure")
+    def bursts(events):
+        return streams.stream_failure_bursts(sign_ins(events), "user_id", attempts.IP_FAILURES, attempts.IP_MEMORY_S)
+
+    return without_zone(arriving(spark, d, "lockout", bursts, "error"), "first_failure", "last_failure")
 
 
 @query("lockout_runs_stream", runs_sql(attempts.IP_FAILURES, attempts.IP_MEMORY_S))
 def lockout_runs_stream(spark, d):
-    arrived = streams.run_to_table(sign_ins(event_stream(spark, d)), "sign-ins")
-    runs = attempts.failure_runs(arrived, "user_id", "failed", attempts.IP_FAILURES, attempts.IP_MEMORY_S)
+    arrived = arriving(spark, d, "sign-ins", sign_ins, "error", "click")
+    last = load(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("last"))
+    runs = attempts.failure_runs(
+        arrived.filter(F.col("created_at") <= last.scalar()), "user_id", "failed", attempts.IP_FAILURES, attempts.IP_MEMORY_S
+    )
     return without_zone(runs, "first_failure", "last_failure")
 
 
-@query("stream_dedupe", "SELECT DISTINCT 'u' || user_id AS product_id, event_type AS text FROM events")
-def stream_dedupe(spark, d):
-    arriving = event_stream(spark, d).select(
+def as_reviews(events):
+    return events.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("product_id"),
         F.lit("").alias("review_id"),
         F.col("event_type").alias("text"),
         F.lit(5.0).alias("rating"),
         F.col("ts").alias("created_at"),
     )
-    kept = streams.stream_dedupe(arriving, "created_at", "40 days")
-    return streams.run_to_table(kept, "dedupe").select("product_id", "text")
+
+
+DEDUPED = "SELECT DISTINCT 'u' || user_id AS product_id, event_type AS text FROM events"
+
+
+@query("stream_dedupe", DEDUPED)
+def stream_dedupe(spark, d):
+    kept = arriving(spark, d, "dedupe", lambda e: streams.stream_dedupe(as_reviews(e), "created_at", "40 days"))
+    return kept.select("product_id", "text")
+
+
+@query("stream_dedupe_for_good", DEDUPED)
+def stream_dedupe_for_good(spark, d):
+    """Repeats come weeks after the first; only what is seen outside of the stream's state knows them."""
+    events = load(spark, d, "events").filter("ts IS NOT NULL")
+    folder, path, state = (work_path(spark, f"for-good-{x}") for x in ("arrivals", "table", "state"))
+    first = F.unix_timestamp(F.col("ts").cast("timestamp")) < events.agg(F.avg(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("t")).scalar()
+    for i, part in enumerate((first & (F.col("event_id") % 2 == 0), first & (F.col("event_id") % 2 == 1), ~first)):
+        streams.write_arrivals(events.filter(part), folder, i)
+        arrived = as_reviews(streams.read_events(spark, folder, events.schema, files_per_trigger=1))
+        kept = streams.dedupe_for_good(arrived, path, state)
+    return kept.select("product_id", "text")
 
 
 @query(
@@ -106,6 +131,37 @@ def stream_dedupe(spark, d):
     "SELECT date_trunc('hour', ts) AS period_start, '/' || event_type AS endpoint, COUNT(*) AS visits FROM events GROUP BY ALL",
 )
 def stream_visit_counts(spark, d):
-    visits = event_stream(spark, d).select(F.concat(F.lit("/"), "event_type").alias("endpoint"), F.col("ts").alias("created_at"))
-    counts = streams.run_to_table(streams.stream_visit_counts(visits), "visit-counts", "complete")
-    return counts.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+    def counts(events):
+        visits = events.select(F.concat(F.lit("/"), "event_type").alias("endpoint"), F.col("ts").alias("created_at"))
+        return streams.stream_visit_counts(visits)
+
+    return without_zone(arriving(spark, d, "visit-counts", counts), "period_start")
+
+
+@query(
+    "stream_visitors",
+    "SELECT date_trunc('week', ts) AS period_start, '/' || event_type AS endpoint, COUNT(*) AS visits, COUNT(DISTINCT user_id) AS visitors, TRUE AS close "
+    "FROM events GROUP BY ALL",
+)
+def stream_visitors(spark, d):
+    """Sketches that a stream stored by the hour, merged to weeks; ``close`` holds them against exact numbers."""
+    sketches = arriving(spark, d, "visitors", lambda e: streams.stream_visitor_sketches(derive.as_visits(e)))
+    about = streams.merged_visitors(sketches, "week").withColumnRenamed("visitors", "about")
+    exact = (
+        derive.site_visits(spark, d)
+        .groupBy(F.date_trunc("week", F.col("created_at").cast("timestamp")).alias("period_start"), "endpoint")
+        .agg(F.countDistinct("ip_address").alias("visitors"))
+    )
+    close = F.abs(F.col("about") - F.col("visitors")) <= F.col("visitors") * 0.05 + 1
+    found = about.join(exact, ["period_start", "endpoint"], "full").withColumn("close", F.coalesce(close, F.lit(False))).drop("about")
+    return without_zone(found, "period_start")
+
+
+@query("append_batches", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY ALL")
+def append_batches(spark, d):
+    """Batches of an event table, one of which is written twice and one of which never ended."""
+    events, path = load(spark, d, "events"), work_path(spark, "event-batches")
+    for batch in (0, 1, 2, 1):
+        sinks.write_batch(events.filter(F.pmod("event_id", F.lit(3)) == batch), path, batch)
+    events.limit(10).write.parquet(f"{path}/data/{sinks.BATCH}=3")
+    return sinks.read_batches(spark, path, events.schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
