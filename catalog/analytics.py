@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustgrain.operators import governance, keywords, models, reviews, scoring, summary, usage
+from trustgrain.functions import crypto
 from trustgrain.functions.text import TERM_STOP_WORDS
 from trustgrain.plans import derive
 from trustgrain.session import work_path
@@ -464,6 +465,13 @@ def paged_users(spark, d):
     return page.select("user_id", "email", "created_at")
 
 
+@query("deep_page", f"SELECT user_id, email, created_at FROM {USERS} ORDER BY created_at DESC, user_id OFFSET 100 LIMIT 25")
+def deep_page(spark, d):
+    order = [F.desc("created_at"), F.asc("user_id")]
+    index = usage.PageIndex(derive.users(spark, d), order, work_path(spark, "listing"), rows_per_part=60)
+    return index.page(4, 25).select("user_id", "email", "created_at")
+
+
 @query(
     "page_info",
     f"SELECT 2 AS page, 20 AS size, COUNT(*) AS total_elements, CAST(ceil(COUNT(*) / 20) AS INTEGER) AS total_pages, 2 >= ceil(COUNT(*) / 20) - 1 AS last FROM {USERS}",
@@ -487,6 +495,18 @@ def history(spark, d):
     return both.select("id", "user_id", "analysis_type", "sentiment", "authenticity_score", "authenticity_label", "domain", "total_reviews", "created_at")
 
 
+@query(
+    "user_history",
+    f"""SELECT * FROM (SELECT id, 'INDIVIDUAL_REVIEW' AS analysis_type, sentiment, authenticity_score, NULL AS domain, 'text of ' || id AS review_text, created_at FROM {ANALYSES} WHERE user_id = 7
+    UNION ALL SELECT id, 'PRODUCT_LINK', NULL, NULL, domain, NULL, created_at FROM {LINKS} WHERE user_id = 7) ORDER BY created_at DESC, analysis_type, id LIMIT 20 OFFSET 20""",
+)
+def user_history(spark, d):
+    reviews = derive.review_analyses(spark, d)
+    sealed = reviews.withColumn("review_text", crypto.encrypt(F.concat(F.lit("text of "), "id"), "a secret"))
+    page = usage.user_history(sealed, derive.link_analyses(spark, d), 7, page=1, size=20, secret="a secret")
+    return page.select("id", "analysis_type", "sentiment", "authenticity_score", "domain", "review_text", "created_at")
+
+
 # --- governance ------------------------------------------------------------------------------------------------
 
 
@@ -538,6 +558,18 @@ def erase_users(spark, d):
     return counts[0].union(counts[1]).union(counts[2])
 
 
+@query(
+    "erase_by_file",
+    f"""SELECT user_id, COUNT(*) AS n FROM {ANALYSES} WHERE user_id NOT IN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey % 5 = 0 AND l_suppkey < 30) GROUP BY ALL""",
+)
+def erase_by_file(spark, d):
+    analyses = derive.review_analyses(spark, d)
+    table = governance.UserFiles.create(analyses, work_path(spark, "analyses"))
+    erased = analyses.filter((F.col("user_id") % 5 == 0) & (F.col("user_id") < 30)).select("user_id").distinct()
+    table.drop_replaced(table.erase(erased))
+    return table.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 _SUMMARY_REQ = """SELECT p_partkey AS user_id, concat(' https://www.', lower(replace(p_name, ' ', '-')), '.example/p/', CAST(p_partkey AS STRING), ' ') AS product_url,
   CASE WHEN MOD(p_partkey, 4) = 0 THEN NULL ELSE p_size END AS total_reviews, CASE WHEN MOD(p_partkey, 3) = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 2 END AS positive_percentage,
   CAST(p_size AS DOUBLE) AS negative_percentage, CAST(NULL AS DOUBLE) AS neutral_percentage, CAST(p_size AS DOUBLE) / 10 AS average_predicted_rating, CAST(1 AS DOUBLE) AS ai_generated_percentage,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.urls import host
 
@@ -34,6 +35,84 @@ def erase_users(tables: dict[str, DataFrame], erased: DataFrame, key: str = "use
     return {name: df.join(erased.select(key), key, "left_anti") for name, df in tables.items()}
 
 
+#: Bits of the map of users that a data file has, as a power of two, and of one slice of it.
+FILE_BITS = 20
+_SLICE = 32_768
+
+
+def _place(key: str) -> Column:
+    """Bits and slices are counted from 1."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << FILE_BITS)) + 1
+
+
+class UserFiles:
+    """A stored table with a bitmap of the users in each of its data files, so that erasing users reads and rewrites only
+    files that may hold one of them.
+
+    The index is a table ``(file, slice, bits)``, at most 128 KB per data file. Erasing writes what is left of the files
+    concerned into a new folder, and then a new list of the files that make up the table, so a run that is broken off
+    leaves the table as it was. ``drop_replaced`` deletes the old files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "user_id", version: int = 0):
+        self.spark, self.path, self.schema, self.key, self.version = spark, path, schema, key, version
+
+    @classmethod
+    def create(cls, df: DataFrame, path: str, key: str = "user_id") -> UserFiles:
+        """Store a table in ranges of ``key``, so that a user is in few files."""
+        table = cls(df.sparkSession, path, df.schema, key)
+        table._list(table._added(df.repartitionByRange(key), 0), 0)
+        return table
+
+    def _added(self, df: DataFrame, version: int) -> DataFrame:
+        """Write rows to a folder of their own; returns the index of its files."""
+        df.write.mode("overwrite").parquet(f"{self.path}/data/{version}")
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{version}")
+        placed = rows.select(F.col("_metadata.file_path").alias("file"), _place(self.key).alias("place"))
+        return placed.groupBy("file", F.bitmap_bucket_number("place").alias("slice")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+        )
+
+    def _list(self, index: DataFrame, version: int) -> None:
+        index.write.mode("overwrite").parquet(f"{self.path}/files/{version}")
+        self.version = version
+
+    def files(self) -> DataFrame:
+        """``(file, slice, bits)`` of the data files that make up the table."""
+        return self.spark.read.schema("file string, slice long, bits binary").parquet(f"{self.path}/files/{self.version}")
+
+    def read(self, files: list[str] | None = None) -> DataFrame:
+        """The rows of the table, or of some of its files. Only names of files come to the driver, as for any scan."""
+        if files is None:
+            files = [r["file"] for r in self.files().select("file").distinct().collect()]
+        return self.spark.read.schema(self.schema).parquet(*files) if files else self.spark.createDataFrame([], self.schema)
+
+    def concerned(self, erased: DataFrame) -> list[str]:
+        """The files that may hold one of the ``erased`` users."""
+        places = erased.select(_place(self.key).alias("place")).distinct()
+        asked = places.select(F.bitmap_bucket_number("place").alias("slice"), F.bitmap_bit_position("place").alias("at"))
+        byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        held = self.files().join(asked, "slice").filter(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1)
+        return sorted(r["file"] for r in held.select("file").distinct().collect())
+
+    def erase(self, erased: DataFrame) -> list[str]:
+        """Drop all rows of the ``erased`` users; returns the files that were replaced."""
+        hit = self.concerned(erased)
+        if hit:
+            left = self.read(hit).join(erased.select(self.key).distinct(), self.key, "left_anti").select(*self.schema.names)
+            index = self._added(left, self.version + 1)
+            names = self.spark.createDataFrame([(f,) for f in hit], "file string")
+            self._list(self.files().join(names, "file", "left_anti").unionByName(index), self.version + 1)
+        return hit
+
+    def drop_replaced(self, files: list[str]) -> None:
+        """Delete files that ``erase`` has replaced, so that the erased rows are gone from the disk."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for file in files:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(conf).delete(path, False)
+
+
 def save_summary(requests: DataFrame) -> DataFrame:
     """Requests to store a product summary as rows of the link-analysis table; missing numbers become 0."""
     zero = lambda c, t: F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)

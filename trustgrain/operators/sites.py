@@ -62,6 +62,9 @@ def robots_filter(
     given as ``allow``. With a column ``agent``, those of ``agent`` are used (:func:`rules_for`).
     ``status(host, fetch_status)`` says how reading them went: 200 applies the rules, 4xx allows all, anything else or
     no answer denies all.
+
+    A URL is not compared with the rules of its host: for each length that prefixes of the host have, its own beginning
+    of that length is looked up, so the work follows the URLs and the few lengths in use, however many rules there are.
     """
     if "agent" in rules.columns:
         rules = rules_for(rules, agent)
@@ -69,11 +72,17 @@ def robots_filter(
     located = urls.withColumn("host", authority(F.col(url))).withColumn(
         "_path", F.when(path == "", "/").otherwise(path)
     )
+    first = rules.groupBy("host", "prefix").agg(F.min_by(F.struct("rule_no", "allow"), "rule_no").alias("_rule"))
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    asked = join_facts(located.select(key, "host", "_path"), lengths, ["host"], key)
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    begun = asked.select(key, "host", "_path", F.explode(fitting).alias("_length")).select(
+        key, "host", F.expr("substring(_path, 1, _length)").alias("prefix")
+    )
     matched = (
-        join_facts(located.select(key, "host", "_path"), rules, ["host"], key)
-        .filter(F.startswith("_path", F.col("prefix")))
+        join_facts(begun, first, ["host", "prefix"], key)
         .groupBy(key)
-        .agg(F.min_by("allow", "rule_no").alias("_allow"))
+        .agg(F.min_by("_rule.allow", "_rule.rule_no").alias("_allow"))
     )
     code = F.col("fetch_status")
     return (

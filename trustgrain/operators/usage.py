@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.crypto import decrypt
 from .scoring import authenticity_label
 
 
@@ -119,15 +121,57 @@ def with_user(facts: DataFrame, users: DataFrame, columns: list[str]) -> DataFra
     return facts.join(users.select("user_id", *columns), "user_id")
 
 
+def page_size(size: int) -> int:
+    """The reference size of a page: sizes outside 1..100 are pulled in."""
+    return min(max(size, 1), 100)
+
+
 def paginate(df: DataFrame, page: int, size: int, order: list[Column]) -> DataFrame:
-    """One page, counted from 0, of a totally ordered listing; sizes outside 1..100 are pulled in."""
-    size = min(max(size, 1), 100)
+    """One page, counted from 0, of a totally ordered listing; for pages far back see :class:`PageIndex`."""
+    size = page_size(size)
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+class PageIndex:
+    """A stored listing in order, of which any page is read alone.
+
+    The rows are sorted by range into files of about ``rows_per_part`` rows, and the index holds one count per file. A
+    page reads the one or two files that its rows are in, so page 1,000,000 costs what page 1 does and no task ever
+    holds the rows before it.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column], path: str, rows_per_part: int = 1_000_000):
+        self.spark, self.order, self.path, self.columns = df.sparkSession, order, path, df.columns
+        total = df.count()
+        parts = max(1, -(-total // rows_per_part))
+        ranges = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+        ranges.write.partitionBy("_part").parquet(path)
+        self.schema = df.schema
+        #: (part, rows) in order, one per ``rows_per_part`` rows.
+        counts = self._rows().groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+        self.parts = [(r["_part"], r["n"]) for r in counts]
+
+    def _rows(self) -> DataFrame:
+        schema = StructType([*self.schema.fields, StructField("_part", IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def page(self, page: int, size: int) -> DataFrame:
+        """The rows of one page, counted from 0, in order."""
+        size = page_size(size)
+        first, before, chosen = page * size, 0, []
+        skipped = None
+        for part, n in self.parts:
+            if before + n > first and before < first + size:
+                skipped = before if skipped is None else skipped
+                chosen.append(part)
+            before += n
+        here = self._rows().filter(F.col("_part").isin(chosen)) if chosen else self._rows().limit(0)
+        return here.orderBy(*self.order).offset(first - (skipped or 0) if chosen else 0).limit(size).select(*self.columns)
+
+
 def page_info(df: DataFrame, page: int, size: int) -> DataFrame:
     """One row: ``page, size, total_elements, total_pages, last``."""
-    size = min(max(size, 1), 100)
+    size = page_size(size)
     pages = F.ceil(F.col("total_elements") / size).cast("int")
     return df.agg(F.count(F.lit(1)).alias("total_elements")).select(
         F.lit(page).alias("page"),
@@ -160,3 +204,26 @@ def history(reviews: DataFrame, links: DataFrame, kind: str | None = None) -> Da
     if kind not in wanted:
         return both.limit(0)
     return both if wanted[kind] is None else both.filter(F.col("analysis_type") == wanted[kind])
+
+
+def user_history(
+    reviews: DataFrame,
+    links: DataFrame,
+    user_id,
+    page: int = 0,
+    size: int = 20,
+    kind: str | None = None,
+    secret: str | None = None,
+    encrypted: tuple[str, ...] = ("review_text",),
+) -> DataFrame:
+    """One page of a user's history, newest first, ties to the smaller kind and id.
+
+    The user's rows are chosen before the two kinds are put together. With ``secret``, the ``encrypted`` columns are
+    decrypted, and only those of the page that is shown.
+    """
+    own = lambda df: df.filter(F.col("user_id") == user_id)
+    both = history(own(reviews), own(links), kind)
+    shown = paginate(both, page, size, [F.desc("created_at"), F.asc("analysis_type"), F.asc("id")])
+    if secret is None:
+        return shown
+    return shown.withColumns({c: decrypt(F.col(c), secret) for c in encrypted if c in shown.columns})
