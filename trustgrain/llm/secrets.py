@@ -10,6 +10,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import fresh
 
 
@@ -154,33 +155,61 @@ def candidates(index: DataFrame, queries: dict[str, Query], key: str) -> DataFra
     return sets.select(key, kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+#: Matches whose positions are summed up one after the other; longer lists are summed in runs of so many.
+RUN = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of one rule as an array of ``(start, place, kind, stop)``, in code points.
 
-    A text cut at the matches leaves the gaps between them; gap and match lengths add up to the positions.
+    A text cut at the matches leaves the gaps between them; gap and match lengths add up to the positions. They are
+    added up inside runs of ``RUN`` matches and then over the runs, since an array that grows by one element is copied
+    every time: the work grows with the matches, not with their square.
     """
     pattern = F.lit(rule.regex)
     gaps = F.transform(F.split(text, rule.regex, -1), F.length)
     matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else matches
-    steps = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), sizes.alias("size"))
-    empty = F.array().cast("array<struct<start:int,place:int,kind:string,stop:int>>")
+    # The last gap, behind the last match, has no match.
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), matches.alias("match"), sizes.alias("size")), lambda x: x["match"].isNotNull())
+    none = F.array().cast("array<struct<start:int,stop:int>>")
 
     def step(state, x):
         start = state["at"] + x["gap"]
         stop = start + x["match"]
-        span = F.struct(
-            start.alias("start"), F.lit(order).alias("place"), F.lit(rule.kind).alias("kind"), stop.alias("stop")
-        )
-        return F.struct(
-            F.coalesce(stop, state["at"]).alias("at"),
-            F.when(x["size"] >= rule.least, F.array_append(state["found"], span))
-            .otherwise(state["found"])
-            .alias("found"),
+        span = F.struct(start.alias("start"), stop.alias("stop"))
+        kept = F.when(x["size"] >= rule.least, F.array_append(state["found"], span)).otherwise(state["found"])
+        return F.struct(stop.alias("at"), kept.alias("found"))
+
+    def summed(run: Column) -> Column:
+        return F.aggregate(run, F.struct(F.lit(0).alias("at"), none.alias("found")), step)
+
+    def runs(all_steps: Column) -> Column:
+        n = F.ceil(F.size(all_steps) / RUN).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: summed(F.slice(all_steps, i * RUN + 1, RUN)))
+        return F.when(n > 0, cut).otherwise(F.array().cast("array<struct<at:int,found:array<struct<start:int,stop:int>>>>"))
+
+    def after(ends: Column, x: Column) -> Column:
+        return F.array_append(ends, F.element_at(ends, -1) + x["at"])
+
+    def shifted(run: Column, by: Column) -> Column:
+        return F.transform(
+            run["found"],
+            lambda x: F.struct(
+                (x["start"] + by).alias("start"), F.lit(order).alias("place"), F.lit(rule.kind).alias("kind"), (x["stop"] + by).alias("stop")
+            ),
         )
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.aggregate(steps, start, step, lambda s: s["found"])
+    def placed(found: Column) -> Column:
+        before = F.aggregate(found, F.array(F.lit(0)), after)
+        return _let(before, lambda starts: F.flatten(F.transform(found, lambda run, i: shifted(run, F.get(starts, i)))))
+
+    return _let(steps, lambda all_steps: _let(runs(all_steps), placed))
 
 
 def _joined(spans: Column) -> Column:
@@ -208,7 +237,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     key, kinds, key2 = fresh(base, "text_key"), fresh(base, "scan_kinds"), fresh(base, "scan_key")
     keyed = base.withColumn(key, F.xxhash64(text))
     index = postings(keyed.select(key, F.col(text)), _trigrams(indexed), key, text)
-    chosen = candidates(index, indexed, key).select(F.col(key).alias(key2), F.col("kinds").alias(kinds))
+    # Written first: where a text is in very many rows, adaptive execution then splits the rows of its key.
+    chosen = written(candidates(index, indexed, key).select(F.col(key).alias(key2), F.col("kinds").alias(kinds)), "scan-kinds")
     rows = keyed.join(chosen, F.col(key) == F.col(key2), "left")
     body = F.coalesce(F.col(text), F.lit(""))
     empty = F.array().cast("array<struct<start:int,place:int,kind:string,stop:int>>")
