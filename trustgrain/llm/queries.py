@@ -178,12 +178,19 @@ WITH parts AS (
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 marks AS (
   SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-named AS (
-  SELECT host, bad, array_to_string(string_split(split_part(host, ':', 1), '.')[-2:], '.') AS domain
+bare AS (
+  SELECT host, bad, CASE WHEN starts_with(host, '[') THEN split_part(host, ']', 1) ELSE split_part(host, ':', 1) END AS bare
   FROM parts LEFT JOIN marks ON page_id = doc_id),
+labels2 AS (
+  SELECT *, starts_with(host, '[') OR regexp_matches(bare, '^[0-9]{1,3}(\.[0-9]{1,3}){3}$') AS address,
+    array_to_string(string_split(bare, '.')[-2:], '.') AS two FROM bare),
+named AS (
+  SELECT host, bad, CASE WHEN address THEN bare WHEN two IN {suffixes} THEN array_to_string(string_split(bare, '.')[-3:], '.')
+      ELSE two END AS domain,
+    CASE WHEN address THEN 'address' WHEN two IN {suffixes} THEN two ELSE string_split(bare, '.')[-1] END AS suffix
+  FROM labels2),
 hosts AS (
-  SELECT host, domain, string_split(domain, '.')[-1] AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
-  FROM named GROUP BY 1, 2),
+  SELECT host, domain, suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM named GROUP BY 1, 2, 3),
 overall AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.0) AS p FROM hosts),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, max(p) AS p FROM hosts, overall GROUP BY 1),
 sk AS (
@@ -209,9 +216,10 @@ hk AS (
         SELECT sum(n * pow(bad / n - p, 2) / (p * (1 - p))) AS q, count(*) AS k, sum(n) AS t, sum(n * n) AS t2
         FROM h WHERE n > 0 AND p > 0 AND p < 1))),
 post AS (SELECT host, k * p + bad AS a, k * (1 - p) + n - bad AS b FROM h, hk),
+cubes AS (SELECT *, pow(b * 0.5, 1.0 / 3) AS x, pow(a * 0.5, 1.0 / 3) AS y FROM post),
 blocked AS (
-  SELECT host FROM post
-  WHERE a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5),
+  SELECT host FROM cubes WHERE a > 0 AND CASE WHEN b <= 0 THEN TRUE ELSE
+    -3 * (x * (1 - 1 / (9 * b)) - y * (1 - 1 / (9 * a))) / sqrt(x * x / b + y * y / a) > 1.645 END),
 rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
   ('org', '/fr/', 'allow')) t(rule_host, rule_path, what)),
 best AS (
@@ -222,7 +230,7 @@ best AS (
 SELECT page_id, p.host, p.path, rule,
   coalesce(what, CASE WHEN p.host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
-"""
+""".replace("{suffixes}", str(hosts.SUFFIXES))
 
 ORACLES["op10_line_dedup"] = r"""
 WITH texts AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM documents),
