@@ -14,13 +14,26 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import written
 from .common import small_batches, tidy
-from .neardup import BLOCK, SHINGLE, WordHashes, full_sets, shingle_set, similar, sorted_groups, verified
+from .neardup import (
+    BLOCK,
+    SHINGLE,
+    cut_sets,
+    filter_place,
+    full_sets,
+    id_filter,
+    in_filter,
+    shingle_sets,
+    similar,
+    sorted_groups,
+    verified,
+)
 
 #: Links need 100 * |A and B| >= SIMILARITY * |A or B|.
 SIMILARITY = 80
@@ -30,17 +43,22 @@ BAND_PERCENT = 125
 #: share of such sets that have to show signatures without elements.
 LEAST_COVERED = 3.0
 MOST_BARE = 5e-3
-#: Bits of the sketch that bounds the difference of two sets from below.
-ODD_BITS = 1024
-#: What stands for a set that no other set of its batch shares a signature with, and for the leader of some.
-ALONE, LEADER = 0, -1
+#: Fewest bits of the sketch that bounds the difference of two sets from below; it has at least ``ODD_BITS_EACH`` bits
+#: for every element of a set.
+ODD_BITS = 256
+ODD_BITS_EACH = 2
+#: Signatures that one group of the shuffle holds, about; groups are at least so many.
+PLACE_ROWS = 500_000
+LEAST_PLACES = 64
 
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_HALF = np.uint64(32)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x + np.uint64(salt)) * _MIX1
-    x = (x ^ (x >> np.uint64(32))) * _MIX2
+    x = (x ^ (x >> _HALF)) * _MIX2
     return x ^ (x >> np.uint64(29))
 
 
@@ -134,22 +152,6 @@ def plan(band: int, low: int, high: int, similarity: int = SIMILARITY) -> Plan |
     return best
 
 
-def signatures(elements: np.ndarray, p: Plan, subsets: np.ndarray) -> np.ndarray:
-    """The signatures of a set of 64-bit hashes under a plan, as 64-bit keys."""
-    first, second = np.uint64(p.first), np.uint64(p.second)
-    at = (_mix(elements, 1) % first * second + _mix(elements, 2) % second).astype(np.int64)
-    cells = p.first * p.second
-    sums = np.zeros(cells, dtype=np.uint64)
-    np.add.at(sums, at, _mix(elements, 3))
-    held = np.bincount(at, minlength=cells).astype(np.uint64).reshape(p.first, p.second) @ subsets
-    keys = _mix(sums.reshape(p.first, p.second) @ subsets, p.band)
-    keys = _mix(keys ^ np.arange(keys.size, dtype=np.uint64).reshape(keys.shape), 4)
-    full = held > 0
-    if int((~full).any(1).sum()) > p.spare:
-        return keys.ravel()
-    return keys[full]
-
-
 class Signer:
     """Signatures of sets of any size: those of the own band and, for partners that are smaller, of the band below."""
 
@@ -164,25 +166,62 @@ class Signer:
             self.plans[band] = p and (p, p.subsets)
         return self.plans[band]
 
-    def sign(self, elements: np.ndarray) -> np.ndarray:
-        n = len(elements)
-        if not self.bands or self.bands[-1][1] < n:
-            self.bands = bands(2 * n, self.similarity, self.percent)
-        own = int(np.searchsorted([high for _, high in self.bands], n))
-        below = own and self.similarity * n <= 100 * self.bands[own - 1][1]
-        found = [self._plan(own), self._plan(own - 1) if below else None]
-        return np.concatenate([np.zeros(0, dtype=np.uint64), *[signatures(elements, *f) for f in found if f]])
+    def sign(self, elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of many sets, one after the other in ``elements``, as 64-bit keys, and the set of each."""
+        largest = int(sizes.max(initial=1))
+        if not self.bands or self.bands[-1][1] < largest:
+            self.bands = bands(2 * largest, self.similarity, self.percent)
+        high = np.array([h for _, h in self.bands])
+        own = np.searchsorted(high, sizes)
+        below = np.where((own > 0) & (self.similarity * sizes <= 100 * high[own - 1]), own - 1, -1)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        where = _mix(elements, 1)
+        keys, sets = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for band in np.unique(np.concatenate([own, below])).tolist():
+            found = self._plan(band) if band >= 0 else None
+            if found is None:
+                continue
+            chosen = ((own == band) | (below == band)) & (sizes > 0)
+            number = np.cumsum(chosen) - 1
+            mine = chosen[owner]
+            of_key, key = signatures(elements[mine], where[mine], number[owner[mine]], int(chosen.sum()), *found)
+            keys.append(key)
+            sets.append(np.nonzero(chosen)[0][of_key])
+        return np.concatenate(keys), np.concatenate(sets)
+
+
+def signatures(
+    elements: np.ndarray, where: np.ndarray, owner: np.ndarray, n: int, p: Plan, subsets: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of ``n`` sets under one plan: the set of each and the key. ``where`` places the elements."""
+    partition = ((where >> _HALF) * np.uint64(p.first)) >> _HALF
+    part = ((where & _LOW) * np.uint64(p.second)) >> _HALF
+    cells = p.first * p.second
+    at = owner * cells + (partition * np.uint64(p.second) + part).astype(np.int64)
+    sums = np.zeros(n * cells, dtype=np.uint64)
+    np.add.at(sums, at, elements)
+    held = np.bincount(at, minlength=n * cells) > 0
+    taken = subsets.astype(bool)
+    full = np.stack([held.reshape(-1, p.second)[:, t].any(1) for t in taken.T], 1).reshape(n, p.first, -1)
+    keys = (sums.reshape(-1, p.second) @ subsets).reshape(n, p.first, -1)
+    number = np.arange(p.first * keys.shape[2], dtype=np.uint64).reshape(1, p.first, -1)
+    keys = _mix(keys ^ _mix(number + (np.uint64(p.band) << np.uint64(40)), 3), 2)
+    # Signatures without elements are shown only by sets that have them in more than ``spare`` partitions.
+    full |= ((~full).any(2).sum(1) > p.spare)[:, None, None]
+    return np.nonzero(full)[0], keys[full]
 
 
-def odd_bits(elements: np.ndarray, bits: int = ODD_BITS) -> bytes:
-    """For each of ``bits`` cells, whether an odd number of elements falls into it. Where two sets differ in a cell,
-    at least one element is in one of them only."""
-    at = (_mix(elements, 5) % np.uint64(bits)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+def odd_bits(elements: np.ndarray) -> bytes:
+    """For each of a number of cells, whether an odd number of elements falls into it. Where two sets differ in a cell,
+    at least one element is in one of them only. Twice as many cells are there for a set twice as large."""
+    bits = max(ODD_BITS, 1 << (ODD_BITS_EACH * len(elements) - 1).bit_length())
+    at = (elements & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _numbered(cells: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), dtype=np.uint64).reshape(len(cells), -1)
+def _folded(cells: bytes, size: int) -> np.ndarray:
+    """Odd bits of a larger number of cells as those of ``size`` bytes: cells that fall together are added."""
+    return np.bitwise_xor.reduce(np.frombuffer(cells, dtype=np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def _may_link(n_a, n_b, odd_a: np.ndarray, odd_b: np.ndarray, similarity: int) -> np.ndarray:
@@ -193,9 +232,8 @@ def _may_link(n_a, n_b, odd_a: np.ndarray, odd_b: np.ndarray, similarity: int) -
 
 def _measured(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     def one_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, hashes, words_per_shingle) for t in batch["text"]]
+            sets = cut_sets(*shingle_sets(batch["text"], words_per_shingle))
             yield pd.DataFrame({
                 "id": batch["id"],
                 "n": [len(s) for s in sets],
@@ -206,77 +244,120 @@ def _measured(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     return docs.mapInPandas(tidy(one_batch), "id long, n long, digest binary, odd binary")
 
 
-def _signed(docs: DataFrame, words_per_shingle: int, similarity: int) -> DataFrame:
-    """``(key, id, above)``: signatures of the sets of ``docs(id, text)``.
+#: Signatures of a batch that meet those of other batches in one group, ``place``. ``keys`` has 6 bytes of every key, of
+#: which ``place`` is the rest; ids are ``width`` bytes each above ``least``; ``many`` is a bit. Rows with ``leaders``
+#: need not meet any others.
+SIGNED = "place long, keys binary, ids binary, width int, least long, many binary, leaders binary"
+
+
+def _packed(ids: np.ndarray) -> tuple[bytes, int, int]:
+    least = int(ids.min())
+    away = ids.astype(np.uint64) - np.uint64(least & (2**64 - 1))
+    width = next(w for w in (2, 4, 8) if w == 8 or int(away.max()) < 1 << 8 * w)
+    return away.astype(f"<u{width}").tobytes(), width, least
+
+
+def _unpacked(data: bytes, width: int, least: int) -> np.ndarray:
+    return (np.frombuffer(data, dtype=f"<u{width}").astype(np.uint64) + np.uint64(least & (2**64 - 1))).astype(np.int64)
+
+
+def _signed(docs: DataFrame, ids: DataFrame, places: int, words_per_shingle: int, similarity: int) -> DataFrame:
+    """Rows of ``SIGNED``: signatures of the sets of those ``docs(id, text)`` that have one of ``ids``.
 
-    Signatures that several sets of a batch share are gathered there: the smallest id is their leader (``above`` is
-    ``LEADER``), and the others say how far they are above it. A set that is alone with a signature is ``ALONE``.
+    Signatures that several sets of a batch share are gathered there: the smallest id is their leader and goes on, marked
+    as having ``many``; the others name it and stay behind. A group gets one row per batch, keys packed.
+
+    Copies of a text that pass the fixed-size filter of ids are signed too; they are like the id that stands for them.
     """
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def one_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, signer = WordHashes(), Signer(similarity)
+        signer = Signer(similarity)
+        apart = TaskContext.get().partitionId() << 20
         for batch in batches:
-            keys = [signer.sign(shingle_set(t, hashes, words_per_shingle)) for t in batch["text"]]
-            ids = np.repeat(batch["id"].to_numpy(dtype=np.int64), [len(k) for k in keys])
-            key = np.concatenate([np.zeros(0, dtype=np.uint64), *keys]).view(np.int64)
-            order = np.lexsort((ids, key))
-            key, ids = key[order], ids[order]
-            again = np.zeros(len(key), dtype=bool)
-            again[1:] = (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])
-            key, ids = key[~again], ids[~again]
+            batch = batch[in_filter(batch["place"], bits.value)]
+            if not len(batch):
+                continue
+            key, at = signer.sign(*shingle_sets(batch["text"], words_per_shingle))
+            # Of a key, 48 bits and its place are sent; whatever else it has is dropped here, so that all agree.
+            key = (key & ~np.uint64(0xFFFF)) | (key & np.uint64((places - 1) & 0xFFFF))
+            own = batch["id"].to_numpy(dtype=np.int64)[at]
+            order = np.argsort(key)
+            key, own = key[order], own[order]
             start = np.ones(len(key), dtype=bool)
             start[1:] = key[1:] != key[:-1]
-            group = np.cumsum(start) - 1
-            above = ids - ids[start][group]
-            above[start & (np.bincount(group, minlength=1)[group] > 1)] = LEADER
-            yield pd.DataFrame({"key": key, "id": ids, "above": above})
-
-    return docs.mapInPandas(tidy(one_batch), "key long, id long, above long")
+            first, group = np.nonzero(start)[0], np.cumsum(start) - 1
+            leader = np.minimum.reduceat(own, first) if len(own) else own
+            sizes = np.diff(np.append(first, len(key)))
+            member = own != leader[group]
+            yield pd.DataFrame(_rows(key[first], leader, sizes > 1, places), columns=[c.split()[0] for c in SIGNED.split(", ")])
+            if member.any():
+                yield pd.DataFrame({
+                    "place": [-1 - apart], "keys": [key[member].tobytes()], "ids": [own[member].tobytes()], "width": [8], "least": [0],
+                    "many": [b""], "leaders": [leader[group][member].tobytes()],
+                })
+                apart += 1
+
+    found = docs.filter(F.col("id").isNotNull()).select("id", "text", filter_place().alias("place"))
+    return found.mapInPandas(tidy(one_batch), SIGNED)
+
+
+def _rows(key: np.ndarray, ids: np.ndarray, many: np.ndarray, places: int) -> list[dict]:
+    place = key & np.uint64(places - 1)
+    order = np.argsort(place, kind="stable")
+    out = []
+    for part in np.split(order, np.nonzero(np.diff(place[order]))[0] + 1):
+        if len(part):
+            packed, width, least = _packed(ids[part])
+            keys = key[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+            bits = np.packbits(many[part]).tobytes()
+            out.append({"place": int(place[part[0]]), "keys": keys, "ids": packed, "width": width, "least": least, "many": bits, "leaders": None})
+    return out
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
     """``(key, id, leader)`` for the signatures that more than one id has; each leader names the smallest leader.
 
     Only leaders and signatures that were alone in their batch meet by key, so of a signature that is everywhere one
-    row per batch reaches a task.
+    entry per batch reaches a task. A group holds about ``PLACE_ROWS`` entries.
     """
-    place = F.when(F.col("above").isin(ALONE, LEADER), F.xxhash64("key")).otherwise(F.xxhash64("key", "id"))
-    sent = signed.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("key", "id")
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None  # the first row of a key, until another one shows that it is not the only one
-        last_key, last_leader = None, 0
-        for batch in batches:
-            key, ids, above = (batch[c].to_numpy(dtype=np.int64) for c in ("key", "id", "above"))
-            leads = (above == ALONE) | (above == LEADER)
-            yield pd.DataFrame({"key": key, "id": ids, "leader": ids - above})[~leads]
-            if not leads.any():
-                continue
-            key, ids, many = key[leads], ids[leads], above[leads] == LEADER
-            start = np.ones(len(key), dtype=bool)
-            start[1:] = key[1:] != key[:-1]
-            group = np.cumsum(start) - 1
-            goes_on = (key == last_key) if last_key is not None else np.zeros(len(key), dtype=bool)
-            leader = np.where(goes_on, last_leader, ids[start][group])
-            shown = many | goes_on | (np.bincount(group)[group] > 1)
-            own = pd.DataFrame({"key": key, "id": ids, "leader": leader})
-            if held is not None and goes_on[0]:
-                yield held
-            held = None if shown[-1] else own.iloc[-1:]
-            last_key, last_leader = int(key[-1]), int(leader[-1])
-            yield own[shown]
-
-    return sent.mapInPandas(tidy(meet), "key long, id long, leader long")
+    kind = "key long, id long, leader long"
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        if group["place"].iloc[0] < 0:
+            columns = [np.frombuffer(b"".join(group[c]), dtype=np.int64) for c in ("keys", "ids", "leaders")]
+            return pd.DataFrame(dict(zip(["key", "id", "leader"], columns, strict=True)))
+        cut = np.frombuffer(b"".join(group["keys"]), dtype=np.uint8).reshape(-1, 6)
+        key = np.zeros((len(cut), 8), dtype=np.uint8)
+        key[:, 2:] = cut
+        key = key.view("<u8").ravel().astype(np.uint64) | np.uint64(int(group["place"].iloc[0]) & 0xFFFF)
+        parts = [_unpacked(*x) for x in zip(group["ids"], group["width"].astype(int), group["least"].astype(int), strict=True)]
+        ids = np.concatenate(parts)
+        many = np.concatenate(
+            [np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(p)) for m, p in zip(group["many"], parts, strict=True)]
+        ).astype(bool)
+        order = np.argsort(key)
+        key, ids, many = key[order], ids[order], many[order]
+        start = np.ones(len(key), dtype=bool)
+        start[1:] = key[1:] != key[:-1]
+        first, at = np.nonzero(start)[0], np.cumsum(start) - 1
+        leader = np.minimum.reduceat(ids, first)[at]
+        shown = (np.diff(np.append(first, len(key)))[at] > 1) | np.logical_or.reduceat(many, first)[at]
+        return pd.DataFrame({"key": key.view(np.int64), "id": ids, "leader": leader})[shown]
+
+    return signed.groupBy("place").applyInPandas(meet, kind)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
-    """The ``pairs(a, b)`` that sizes and odd bits allow."""
+    """The distinct ``pairs(a, b)`` that sizes and odd bits allow."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            if len(x):
-                sizes = x["na"].to_numpy(dtype=np.int64), x["nb"].to_numpy(dtype=np.int64)
-                yield x.loc[_may_link(*sizes, _numbered(list(x["oa"])), _numbered(list(x["ob"])), similarity), ["a", "b"]]
+            keep = []
+            for n_a, n_b, a, b in zip(x["na"], x["nb"], x["oa"], x["ob"], strict=True):
+                size = min(len(a), len(b))
+                keep.append(bool(_may_link(n_a, n_b, _folded(a, size), _folded(b, size), similarity)))
+            yield x.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     a = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
     b = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
@@ -288,52 +369,119 @@ def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _rest(buckets: DataFrame, classes: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links ``(a, b)`` between members of one signature that are in different classes and were not compared yet.
+def _open_members(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(key, blocks, id, component)``: members of signatures that three or more sets in several classes have.
 
-    Buckets with the same members are searched once. Members are cut into blocks, and a task compares two of them.
+    Of signatures with the same members one is named. Sets that have only two members were compared with their leader.
     """
-    classed = written(_classed(buckets.select("key", "id").distinct(), classes), "bucket-classes")
-    member = F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 2").select("key")
+    classed = written(_classed(buckets.join(sizes, "key", "left_semi").select("key", "id").distinct(), classes), "bucket-classes")
     chosen = (
         classed.groupBy("key")
         .agg(
             F.count("*").alias("members"),
             F.min("component").alias("lo"),
             F.max("component").alias("hi"),
-            F.sum(member).alias("x"),
-            F.sum(F.xxhash64("id", F.lit(2)).cast("decimal(38,0)")).alias("y"),
+            *[F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"sum{i}") for i in (1, 2)],
         )
         .filter("lo < hi and members > 2")
-        .groupBy("members", "x", "y")
+        .groupBy("members", "sum1", "sum2")
         .agg(F.min("key").alias("key"))
         .select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     )
-    open_rows = written(classed.join(written(chosen, "open-keys"), "key"), "open-buckets")
-    if open_rows.isEmpty():
-        return open_rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    sent = (
-        open_rows.join(nodes.select("id", "n", "odd"), "id")
-        .join(sets, "id")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return classed.join(written(chosen, "open-keys"), "key")
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members with the two blocks, ``p`` and ``q``, that a task compares; large signatures have many pairs of blocks."""
+    return (
+        members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "n", "odd", "component", "shingles")
+        .withColumn("p", F.least("block", "other"))
+        .withColumn("q", F.greatest("block", "other"))
+        .drop("block", "other", "blocks")
+        .repartition("key", "p", "q")
+        .sortWithinPartitions("key", "p", "q")
     )
 
+
+def _pairs(group: pd.DataFrame, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, differing cells)`` of the members of different classes that sizes and odd bits allow, some at a time."""
+    n, own = group["n"].to_numpy(dtype=np.int64), group["component"].to_numpy()
+    size = min(map(len, group["odd"]))
+    odd = np.stack([_folded(x, size) for x in group["odd"]])
+    step = max(1, 4_000_000 // (odd.nbytes + 1))
+    for at in range(0, len(group) - 1, step):
+        rows = slice(at, at + step)
+        i, j = np.nonzero((own[rows, None] != own[None]) & (np.arange(len(own))[rows, None] < np.arange(len(own))[None]))
+        i += at
+        most = (100 - similarity) * (n[i] + n[j]) // (100 + similarity)
+        near = np.abs(n[i] - n[j]) <= most
+        i, j, most = i[near], j[near], most[near]
+        away = np.zeros(len(i), dtype=np.int64)
+        for part in range(0, len(i), 16_384):
+            cut = slice(part, part + 16_384)
+            away[cut] = np.bitwise_count(odd[i[cut]] ^ odd[j[cut]]).sum(1, dtype=np.int64)
+        fits = away <= most
+        yield i[fits], j[fits], away[fits]
+
+
+class _Forest:
+    """Which members of a block are connected so far; a pair is worth a link only if it connects two others."""
+
+    def __init__(self, classes: np.ndarray):
+        self.parent = {int(c): int(c) for c in classes}
+
+    def find(self, c: int) -> int:
+        while self.parent[c] != c:
+            self.parent[c] = self.parent[self.parent[c]]
+            c = self.parent[c]
+        return c
+
+    def connect(self, a: int, b: int) -> None:
+        self.parent[self.find(a)] = self.find(b)
+
+    def connected(self, a: int, b: int) -> bool:
+        return self.find(a) == self.find(b)
+
+
+def _likely(members: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """``(key, a, b)``: for each pair of blocks as many pairs as connect whatever sizes and odd bits allow, the nearest
+    first; at most one less than the members."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in sorted_groups(batches, ["key", "p", "q"]):
+            ids, own = group["id"].to_numpy(), group["component"].to_numpy()
+            forest, out = _Forest(own), []
+            for i, j, away in _pairs(group, similarity):
+                for k in np.argsort(away, kind="stable"):
+                    x, y = int(own[i[k]]), int(own[j[k]])
+                    if not forest.connected(x, y):
+                        forest.connect(x, y)
+                        out.append((group["key"].iloc[0], min(ids[i[k]], ids[j[k]]), max(ids[i[k]], ids[j[k]])))
+            yield pd.DataFrame(out, columns=["key", "a", "b"]).astype("int64")
+
+    sent = _in_blocks(members.join(nodes.select("id", "n", "odd"), "id"))
+    return sent.mapInPandas(tidy(search), "key long, a long, b long")
+
+
+def _exact(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links ``(a, b)``, as many as connect what is similar within each pair of blocks, decided on full sets."""
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in sorted_groups(batches, ["key", "p", "q"]):
-            ids, n = group["id"].to_numpy(), group["n"].to_numpy(dtype=np.int64)
-            classes, odd = group["component"].to_numpy(), _numbered(list(group["odd"]))
-            sets_here = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
-            out = []
-            for i in range(len(group) - 1):
-                later = slice(i + 1, None)
-                fits = _may_link(n[later], n[i], odd[later], odd[i], similarity) & (classes[later] != classes[i])
-                out += [(ids[i], ids[j]) for j in i + 1 + np.nonzero(fits)[0] if similar(sets_here[i], sets_here[j], similarity)]
+            ids, own = group["id"].to_numpy(), group["component"].to_numpy()
+            whole = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
+            forest, out = _Forest(own), []
+            for i, j, _ in _pairs(group, similarity):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    if not forest.connected(int(own[x]), int(own[y])) and similar(whole[x], whole[y], similarity):
+                        forest.connect(int(own[x]), int(own[y]))
+                        out.append((ids[x], ids[y]))
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    keys = ["key", "p", "q"]
-    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(tidy(search), "a long, b long")
+    sent = _in_blocks(members.join(nodes.select("id", "n", "odd"), "id").join(sets, "id"))
+    return sent.mapInPandas(tidy(search), "a long, b long").distinct()
 
 
 def similar_classes(
@@ -357,9 +505,12 @@ def similar_classes(
     1. Every text is reduced, where it is read, to its set's size, digest and odd bits; equal sets are folded.
     2. Sets are signed by size band (``Plan``): any two similar sets share a signature. Signatures of a batch are
        gathered before they are sent, so one that very many sets share is not one task's work.
-    3. Every member of a signature is compared with its leader: first each with one leader, then, where classes still
-       differ, with all. Sizes, odd bits (a lower bound of the difference) and then the full sets decide.
-    4. Signatures whose members are still in different classes are searched pair by pair, block by block inside tasks.
+    3. Every member of a signature is compared with its leader: each first with the one leader that it has most
+       signatures in common with, then, where classes still differ, with all. Sizes, odd bits (a lower bound of the
+       difference) and then the full sets decide.
+    4. In signatures whose members are still in different classes, all pairs of these are compared by sizes and odd bits,
+       block by block inside tasks. Only a few pairs leave a task, those that would connect what may be similar; their
+       full sets decide. Where some pairs may be similar even then, full sets are compared inside the tasks.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -370,30 +521,53 @@ def similar_classes(
         .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd")),
         "sets",
     )
-    own = base.filter(F.col("id").isNotNull()).join(nodes.select("id").distinct(), "id", "left_semi")
-    buckets = written(_buckets(_signed(own, words_per_shingle, similarity)), "signatures")
-    sets = full_sets(base, buckets.select("id").distinct(), words_per_shingle)
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    places = max(LEAST_PLACES, 1 << (total // PLACE_ROWS).bit_length())
+    buckets = written(_buckets(_signed(base, nodes.select("id"), places, words_per_shingle, similarity)), "signatures")
+    to_leader = written(
+        buckets.filter("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")),
+        "leaders",
+    )
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame | None:
+        """The links among ``pairs``."""
         possible = written(_possible(pairs, nodes, similarity), "possible-pairs")
-        return written(verified(possible, sets, similarity), "set-links")
-
-    to_leader = buckets.filter("id <> leader")
-    links = confirmed(to_leader.groupBy("id").agg(F.min("leader").alias("a")).withColumnRenamed("id", "b"))
-    classes = written(components(links, []), "set-classes")
-
-    left, right = F.col("component"), F.col("leader_component")
-    leaders = classes.select(F.col("node").alias("leader"), F.col("component").alias("leader_component"))
-    apart = _classed(to_leader.select("id", "leader").distinct(), classes).join(leaders, "leader", "left")
-    apart = apart.filter(left != F.coalesce(right, "leader")).select(F.col("id").alias("b"), F.col("leader").alias("a"))
-    more = confirmed(written(apart, "apart"))
-    if not more.isEmpty():
-        links = links.union(more)
-        classes = written(components(links, []), "set-classes")
-
-    rest = written(_rest(buckets, classes, nodes, sets, similarity).distinct(), "set-links")
-    if not rest.isEmpty():
-        classes = components(links.union(rest), [])
+        if possible.isEmpty():
+            return None
+        ids = possible.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return written(verified(possible, full_sets(base, ids, words_per_shingle), similarity), "set-links")
+
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    classes = docs.sparkSession.createDataFrame([], "node long, component long")
+
+    def linked(pairs: DataFrame) -> None:
+        nonlocal links, classes
+        found = confirmed(pairs)
+        if found is not None:
+            links = links.union(found)
+            classes = written(components(links, []), "set-classes")
+
+    linked(to_leader.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
+    of_a = classes.select(F.col("node").alias("a"), F.col("component").alias("class_a"))
+    of_b = classes.select(F.col("node").alias("b"), F.col("component").alias("class_b"))
+    apart = F.coalesce("class_a", "a") != F.coalesce("class_b", "b")
+    linked(to_leader.join(of_a, "a", "left").join(of_b, "b", "left").filter(apart).select("a", "b"))
+
+    members = written(_open_members(buckets, classes), "open-members")
+    likely = written(_likely(members, nodes, similarity), "likely-pairs")
+    linked(likely.select("a", "b"))
+    if not likely.isEmpty():
+        # The same pairs of classes can be open still only in signatures that had some.
+        again = _classed(members.drop("component").join(likely.select("key").distinct(), "key", "left_semi"), classes)
+        again = written(again.select("key", "blocks", "id", "component"), "open-members")
+        still = written(_likely(again, nodes, similarity).select("key").distinct(), "open-keys")
+        if not still.isEmpty():
+            last = written(again.join(still, "key", "left_semi"), "open-members")
+            sets = full_sets(base, last.select("id").distinct(), words_per_shingle)
+            rest = written(_exact(last, nodes, sets, similarity), "set-links")
+            links = links.union(rest)
+            classes = components(links, [])
+
     member = nodes.join(classes.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("digest").alias("set"), F.coalesce("component", "id").alias("component")
     )

@@ -5,12 +5,13 @@ The sketch follows Dahlgaard, Knudsen and Thorup, "Fast Similarity Sketching" (F
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -37,8 +38,6 @@ _SLICE = 32768
 BLOCK = 512
 SKETCH_BLOCK = 2048
 LEAST_AGREEMENT = 0.56
-#: Words whose hashes a task remembers.
-_REMEMBERED = 50_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,29 +47,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _SHIFT)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: str | None, hashes: dict[bytes, int], words_per_shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; A-Z are lower-cased.
+def shingle_sets(texts: Iterable[str | None], words_per_shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 64-bit hashes of the word shingles of each text, one text after the other, and how many each
+    text has; A-Z are lower-cased.
 
     A text with fewer words has its whole word sequence as the one shingle, a text without words or null has none.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = min(words_per_shingle, len(w))
-    n = len(w) - k + 1
-    h = np.full(n, k, dtype=np.uint64)
-    for i in range(k):
-        h = _mix(h * _STEP + w[i : i + n])
-    return np.unique(h)
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=int(n.sum()))
+    begin = np.cumsum(n) - n
+
+    def hashed(k: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the ``k`` words from each place on."""
+        h = np.full(len(at), k, dtype=np.uint64)
+        for i in range(k):
+            h = _mix(h * _STEP + w[at + i])
+        return h
+
+    long = n >= words_per_shingle
+    sizes = np.where(long, n - words_per_shingle + 1, np.minimum(n, 1))
+    owner = np.repeat(np.arange(len(n)), sizes)
+    at = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found = np.empty(len(at), dtype=np.uint64)
+    whole = long[owner]
+    found[whole] = hashed(words_per_shingle, at[whole])
+    for k in range(1, words_per_shingle):
+        short = n[owner] == k
+        if short.any():
+            found[short] = hashed(k, at[short])
+    ends = np.cumsum(sizes)
+    for i, j in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        found[i:j].sort()
+    first = np.ones(len(found), dtype=bool)
+    first[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    return found[first], np.bincount(owner[first], minlength=len(n))
+
+
+def cut_sets(found: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The sets of ``shingle_sets`` one by one."""
+    return np.split(found, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+def shingle_set(text: str | None, words_per_shingle: int = SHINGLE) -> np.ndarray:
+    """The set of one text (see ``shingle_sets``)."""
+    return shingle_sets([text], words_per_shingle)[0]
 
 
 def sketch(elements: np.ndarray, size: int) -> np.ndarray:
@@ -122,11 +143,9 @@ def _sketched(docs: DataFrame, words_per_shingle: int, bands: int, rows: int) ->
     ``marks`` has one byte of every sketch coordinate."""
 
     def one_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             n, digests, keys, marks = [], [], [], []
-            for t in batch["text"]:
-                s = shingle_set(t, hashes, words_per_shingle)
+            for s in cut_sets(*shingle_sets(batch["text"], words_per_shingle)):
                 c = sketch(s, bands * rows) if len(s) else None
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -137,9 +156,19 @@ def _sketched(docs: DataFrame, words_per_shingle: int, bands: int, rows: int) ->
     return docs.mapInPandas(tidy(one_batch), "id long, n long, digest binary, bands array<long>, marks binary")
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
+def filter_place() -> Column:
+    """The bit of an id in the filter."""
+    return F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+
+
+def in_filter(place: pd.Series, bits: np.ndarray) -> np.ndarray:
+    at = place.to_numpy()
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
     """A fixed number of bits, ``2 ** FILTER_BITS``, in which that of every id's hash is set (lowest bit of a byte first)."""
-    number = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1  # slices and bits are counted from 1
+    number = filter_place() + 1  # slices and bits are counted from 1
     # Each row of the answer holds a fixed slice of the bits, so at most 16 MB come to the driver.
     slices = (
         ids.groupBy(F.bitmap_bucket_number(number).alias("slice"))
@@ -159,18 +188,15 @@ def full_sets(docs: DataFrame, ids: DataFrame, words_per_shingle: int) -> DataFr
     documents that pass it are left out by the join that follows. With very many ids the filter passes more of them.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_id_filter(ids))
+    bits = spark.sparkContext.broadcast(id_filter(ids))
 
     def one_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            at = batch["place"].to_numpy()
-            batch = batch[(bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            own = [shingle_set(t, hashes, words_per_shingle).tobytes() for t in batch["text"]]
+            batch = batch[in_filter(batch["place"], bits.value)]
+            own = [s.tobytes() for s in cut_sets(*shingle_sets(batch["text"], words_per_shingle))]
             yield pd.DataFrame({"id": batch["id"], "shingles": own})
 
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("place")
-    found = docs.filter(F.col("id").isNotNull()).select("id", "text", place)
+    found = docs.filter(F.col("id").isNotNull()).select("id", "text", filter_place().alias("place"))
     sets = written(found.mapInPandas(tidy(one_batch), "id long, shingles binary").join(ids, "id", "left_semi"), "shingle-sets")
     bits.destroy()  # the sets are written, no task needs it again
     return sets
