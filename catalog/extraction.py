@@ -156,6 +156,102 @@ def api_reviews(spark, d):
     return api.api_reviews(api_bodies(spark, d), "ajio").select("body_id", "text", "rating", "review_id", "date")
 
 
+_BLOCK = "product_id || '-' || CAST(FLOOR(review_idx / 80) AS BIGINT)"
+_FP = f"regexp_replace(lower({CLEAN}), '[^a-z0-9]', '', 'g')"
+
+
+def blocks(spark, d):
+    """Reviews in blocks of a product, a body of several reviews each."""
+    r = derive.reviews(spark, d)
+    item = F.struct("review_idx", "text", "rating", "review_date")
+    return r.groupBy(F.concat_ws("-", "product_id", F.floor(F.col("review_idx") / 80).cast("string")).alias("body_id")).agg(
+        F.array_sort(F.collect_list(item)).alias("items")
+    )
+
+
+def named(items, **keys):
+    """Items with their values under a service's own key names."""
+    values = {
+        "text": lambda x: x["text"],
+        "rating": lambda x: x["rating"],
+        "id": lambda x: (x["review_idx"] + 1).cast("string"),
+        "date": lambda x: (F.unix_date(x["review_date"]).cast("long") * 86400000).cast("string"),
+    }
+    return F.transform(items, lambda x: F.struct(*[values[k](x).alias(name) for name, k in keys.items()]))
+
+
+_ALL = f"SELECT {_BLOCK} AS body_id, {CLEAN} AS text, rating, CAST(review_idx + 1 AS VARCHAR) AS review_id, strftime(review_date, '%Y-%m-%d') AS date FROM reviews"
+_ONCE = f"""SELECT body_id, text, rating, '' AS review_id, '' AS date FROM (SELECT {_BLOCK} AS body_id, {CLEAN} AS text, rating,
+    ROW_NUMBER() OVER (PARTITION BY {_BLOCK}, {_FP}, rating ORDER BY review_idx) AS n FROM reviews WHERE {CLEAN} <> '') WHERE n = 1"""
+_SHOWN = ["body_id", "text", "rating", "review_id", "date"]
+
+
+@query("api_reviews_nykaa", WITH + _ALL)
+def api_reviews_nykaa(spark, d):
+    """Lists inside a wrapper, each twice over: what repeats an earlier review of the body goes."""
+    items = named(F.col("items"), description="text", starRating="rating", reviewId="id", createdOn="date")
+    body = F.to_json(F.struct(F.struct(F.concat(items, items).alias("reviewList")).alias("response")))
+    return api.api_reviews(blocks(spark, d).select("body_id", body.alias("body")), "nykaa").select(*_SHOWN)
+
+
+@query("api_reviews_myntra", WITH + _ALL)
+def api_reviews_myntra(spark, d):
+    """The body itself is a list."""
+    body = F.to_json(named(F.col("items"), reviewContent="text", userRating="rating", uid="id", postedOn="date"))
+    return api.api_reviews(blocks(spark, d).select("body_id", body.alias("body")), "myntra").select(*_SHOWN)
+
+
+@query("api_reviews_page_state", WITH + _ALL)
+def api_reviews_page_state(spark, d):
+    """Half of the reviews in the main list, all but one of the others and a repeat among the top reviews of the product."""
+    items, n = F.col("items"), F.size("items")
+    main = named(F.slice(items, 1, F.greatest(F.floor(n / 2).cast("int"), F.lit(1))), review="text", userRating="rating", id="id", timestamp="date")
+    top = named(items, reviewText="text", rating="rating", reviewId="id", updatedAt="date")
+    state = F.struct(F.struct(main.alias("reviews")).alias("reviewsData"), F.struct(F.struct(F.struct(top.alias("topReviews")).alias("reviewInfo")).alias("ratings")).alias("pdpData"))
+    return api.api_reviews(blocks(spark, d).select("body_id", F.to_json(state).alias("body")), "myntra_page").select(*_SHOWN)
+
+
+@query("api_reviews_flipkart", WITH + _ONCE)
+def api_reviews_flipkart(spark, d):
+    """Reviews at some depth without a known list."""
+    items = named(F.col("items"), text="text", rating="rating")
+    body = F.to_json(F.struct(F.struct(F.array(F.struct(items.alias("widgets"))).alias("slots")).alias("RESPONSE")))
+    return api.api_reviews(blocks(spark, d).select("body_id", body.alias("body")), "flipkart").select(*_SHOWN)
+
+
+@query("api_reviews_anywhere", WITH + _ONCE)
+def api_reviews_anywhere(spark, d):
+    """Answers of a service that usually has a list, without one; a third of the bodies is no JSON and has no reviews here."""
+    items = named(F.col("items"), content="text", stars="rating")
+    body = F.to_json(F.struct(F.struct(F.struct(items.alias("entries")).alias("page")).alias("unknown")))
+    return api.api_reviews(blocks(spark, d).select("body_id", body.alias("body")), "ajio").select(*_SHOWN)
+
+
+@query(
+    "declared_pages",
+    """SELECT p_partkey AS body_id, CASE MOD(p_partkey, 4) WHEN 0 THEN p_size > 3 WHEN 1 THEN 3 * 5 < p_size WHEN 2 THEN 3 * 10 < p_size ELSE false END AS more,
+    p_size AS total, p_size > 0 AND 20 < p_size AS next FROM part""",
+)
+def declared_pages(spark, d):
+    """Whether pages follow the third: by a number of pages, by a total and a page size, by a total alone, or not said."""
+    p, k = load(spark, d, "part"), F.col("p_partkey") % 4
+    deep = lambda o: F.to_json(F.struct(F.array(F.struct(F.struct(o).alias("paging"), F.lit("x").alias("pageCount"))).alias("slots")))
+    size = F.col("p_size").cast("int")
+    body = (
+        F.when(k == 0, deep(F.struct(size.alias("totalPages"))))
+        .when(k == 1, deep(F.struct(size.alias("totalCount"), F.lit(5).alias("pageSize"))))
+        .when(k == 2, deep(F.struct(F.lit(0).alias("totalCount"), size.alias("total"))))
+        .otherwise(F.lit('{"total": "many", "pageCount": 2.5}'))
+    )
+    html = F.when(k < 2, F.concat(F.lit('<div data-hook="cr-filter-info-review-rating-count"> <span>1,0 ratings</span>, '), size, F.lit(" global reviews</div>"))).otherwise(
+        F.concat(F.lit('<span class="a" data-hook="total-review-count">'), size, F.lit("</span>"))
+    )
+    html = F.replace(html, F.lit("<span>1,0 ratings</span>, "), F.lit(""))
+    bodies = p.select(F.col("p_partkey").alias("body_id"), body.alias("body"), F.lit(3).alias("page"))
+    totals = p.select(F.col("p_partkey").alias("body_id"), api.shown_total(html).alias("total"))
+    return api.more_pages(bodies).join(totals, "body_id").withColumn("next", api.has_next_page(F.col("total"), F.lit(1), F.lit(20)))
+
+
 @query(
     "page_frontier",
     WITH

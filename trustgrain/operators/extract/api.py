@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.text import clean_text, epoch_or_iso_date, parse_rating, strip
+from ..reviews import identity_key
 from . import variants as V
+from .embedded import deep_reviews, objects_with
 
 
 @dataclass(frozen=True)
@@ -26,10 +28,24 @@ class ApiRule:
     nested_rating: bool
     page_size: int
     totals: tuple[str, ...]
+    more_lists: tuple[tuple[str, ...], ...] = ()
 
 
-# Key names per service.
+# Key names per service. A service without lists nests its reviews anywhere.
 RULES = {
+    "flipkart": ApiRule(
+        lists=(),
+        wrappers=(),
+        text=(),
+        rating=(),
+        ids=(),
+        dates=(),
+        min_text=1,
+        title=False,
+        nested_rating=False,
+        page_size=10,
+        totals=("totalCount", "totalPages", "total"),
+    ),
     "ajio": ApiRule(
         lists=("productReviews", "reviews", "reviewData", "data", "results", "items"),
         wrappers=("reviewData", "response", "result", "data", "body"),
@@ -71,6 +87,7 @@ RULES = {
         nested_rating=False,
         page_size=12,
         totals=("reviewsCount", "totalCount"),
+        more_lists=(("pdpData", "ratings", "reviewInfo", "topReviews"),),
     ),
     "nykaa": ApiRule(
         lists=("reviewData", "reviews", "data", "results", "items", "userReviews", "reviewList"),
@@ -88,12 +105,53 @@ RULES = {
 }
 
 
+# Where answers keep totals, product facts and page numbers.
+TOTAL_WRAPPERS = ("reviewData", "response", "data", "result", "payload")
+PAGE_TOTALS = (("pdpData", "ratings", "reviewInfo", "reviewsCount"), ("pdpData", "ratings", "totalCount"))
+META_WRAPPERS = ("response", "data", "result", "payload")
+META_KEYS = {
+    "name": (("productName",), ("name",), ("title",)),
+    "brand": (("brandName",), ("brand",)),
+    "price": (("price",), ("mrp",)),
+    "image_url": (("imageUrl",), ("image",)),
+    "rating": (("averageRating",), ("overallRating",)),
+}
+STATE_KEYS = {
+    "name": (("pdpData", "name"), ("pdpData", "productName")),
+    "brand": (("pdpData", "brand", "name"), ("pdpData", "brand", "brandName"), ("pdpData", "brand"), ("pdpData", "brandName")),
+    "amount": (
+        ("pdpData", "mrp", "mrp"), ("pdpData", "mrp", "value"), ("pdpData", "mrp"), ("pdpData", "price", "mrp"),
+        ("pdpData", "price", "value"),
+    ),
+    "other_amount": (("pdpData", "discountedPrice"), ("pdpData", "price")),
+    "currency": (("pdpData", "mrp", "currency"), ("pdpData", "price", "currency")),
+    "image_url": (
+        ("pdpData", "searchImage"), ("pdpData", "image"), ("pdpData", "defaultImage"), ("pdpData", "thumbnailImage"),
+        ("pdpData", "landingPageImage"), ("pdpData", "productImage"),
+    ),
+    "rating": (("pdpData", "ratings", "averageRating"),),
+}
+STATE_ALBUM = "$.pdpData.media.albums[0].image"
+PAGING_TOTALS = ("totalCount", "totalPages", "total")
+PAGING_COUNTS = ("pageCount", "totalPages")
+PAGING_SIZES = ("pageSize", "count")
+PAGING_SIZE = 10
+
+
 def review_list(body: Column, rule: ApiRule) -> Column:
-    """The body itself if it is a list, else the first list under a known key, else the first one level deeper."""
+    """The body itself if it is a list, else the first list under a known key, else the first one level deeper; null
+    where there is none. Lists that a service keeps besides come after it."""
+    more = [F.coalesce(V.get(body, *at, type=V.LIST), F.array().cast(V.LIST)) for at in rule.more_lists]
+    if not rule.lists:
+        return F.lit(None).cast(V.LIST)
     paths = [(), *[(k,) for k in rule.lists], *[(w, k) for w in rule.wrappers for k in rule.lists]]
     paths += [(w,) for w in rule.wrappers]
     lists = F.array(*[V.get(body, *at, type=V.LIST) for at in paths])
-    return F.get(F.filter(lists, lambda found: F.size(found) > 0), 0)
+    first = F.get(F.filter(lists, lambda found: F.size(found) > 0), 0)
+    if not more:
+        return first
+    every = F.concat(F.coalesce(first, F.array().cast(V.LIST)), *more)
+    return F.when(F.size(every) > 0, every)
 
 
 def _first_text(item: Column, rule: ApiRule) -> Column:
@@ -122,39 +180,86 @@ def _first_present(item: Column, keys: tuple[str, ...]) -> Column:
 
 
 def api_reviews(bodies: DataFrame, service: str, key: str = "body_id", body: str = "body") -> DataFrame:
-    """Reviews of one service's stored answers: ``(key, pos, text, rating, review_id, date)``."""
+    """Reviews of one service's stored answers, without repeats in one answer: ``(key, pos, text, rating, review_id, date)``.
+
+    Answers without a list at a known place are searched for review-like objects at any depth, as are those of services
+    that have no such place. Answers that are no JSON have no reviews here; they are pages, to be read as such.
+    """
     rule = RULES[service]
-    items = (
-        bodies.select(key, V.parse(F.col(body)).alias("v"))
-        .filter(F.col("v").isNotNull())
-        .select(key, review_list(F.col("v"), rule).alias("found"))
-        .select(key, F.posexplode("found").alias("pos", "item"))
+    located = bodies.select(key, F.col(body).alias("body"), V.parse(F.col(body)).alias("v")).select(
+        key, "body", "v", review_list(F.col("v"), rule).alias("found")
     )
     item = F.col("item")
-    return items.select(
-        key,
-        "pos",
-        _first_text(item, rule).alias("text"),
-        _first_rating(item, rule).alias("rating"),
-        _first_present(item, rule.ids).alias("review_id"),
-        epoch_or_iso_date(_first_present(item, rule.dates)).alias("date"),
-    ).filter((F.coalesce("text", F.lit("")) != "") & F.col("rating").isNotNull())
+    listed = (
+        located.filter(F.col("found").isNotNull())
+        .select(key, F.posexplode("found").alias("pos", "item"))
+        .select(
+            key,
+            "pos",
+            _first_text(item, rule).alias("text"),
+            _first_rating(item, rule).alias("rating"),
+            _first_present(item, rule.ids).alias("review_id"),
+            epoch_or_iso_date(_first_present(item, rule.dates)).alias("date"),
+        )
+        if rule.lists
+        else None
+    )
+    unlisted = located.filter(F.col("found").isNull() & F.col("v").isNotNull()).select(key, "body")
+    deep = deep_reviews(unlisted, [key], "body", min_text=1).select(
+        key, "pos", "text", "rating", F.lit("").alias("review_id"), F.lit("").alias("date")
+    )
+    every = deep if listed is None else listed.union(deep)
+    return first_of_each(every.filter((F.coalesce("text", F.lit("")) != "") & F.col("rating").isNotNull()), key)
+
+
+def first_of_each(found: DataFrame, key: str) -> DataFrame:
+    """Reviews of a body or page without those that repeat an earlier one: the first of each identity by ``pos``."""
+    first = found.groupBy(key, identity_key().alias("_key")).agg(F.min("pos").alias("pos")).select(key, "pos")
+    return found.join(first, [key, "pos"], "left_semi").select(*found.columns)
 
 
 def declared_total(body: Column, service: str) -> Column:
     """Review count an answer declares, at its top or one level down; 0 if it declares none."""
     rule = RULES[service]
-    wrappers = ("reviewData", "response", "data", "result", "payload")
     tries = [V.get(body, k, type="bigint") for k in rule.totals]
-    tries += [V.get(body, w, k, type="bigint") for w in wrappers for k in rule.totals]
+    tries += [V.get(body, w, k, type="bigint") for w in TOTAL_WRAPPERS for k in rule.totals]
     if service.startswith("myntra"):
-        tries += [
-            V.get(body, "pdpData", "ratings", "reviewInfo", "reviewsCount", type="bigint"),
-            V.get(body, "pdpData", "ratings", "totalCount", type="bigint"),
-        ]
+        tries += [V.get(body, *at, type="bigint") for at in PAGE_TOTALS]
     return F.coalesce(*[F.when(t > 0, t) for t in tries], F.lit(0).cast("long"))
 
 
+def shown_total(html: Column) -> Column:
+    """Review count that a listing page shows: in its filter line, else in its header; 0 if it shows none."""
+
+    def shown(hook: str) -> Column:
+        inner = F.regexp_extract(html, rf"""(?is)data-hook\s*=\s*["']{hook}["'][^>]*>(.*?)</(?:div|span|h\d|p)>""", 1)
+        return F.regexp_replace(inner, r"<[^>]*>", " ")
+
+    counted = F.regexp_extract(shown("cr-filter-info-review-rating-count"), r"(?i)([\d,]+)\s+(?:global\s+)?(?:ratings?|reviews?)", 1)
+    header = F.regexp_extract(shown("total-review-count"), r"([\d,]+)", 1)
+    found = F.array(*[F.nullif(F.replace(t, F.lit(",")), F.lit("")).cast("long") for t in (counted, header)])
+    return F.coalesce(F.get(F.filter(found, lambda n: n.isNotNull()), 0), F.lit(0).cast("long"))
+
+
+def more_pages(bodies: DataFrame, key: str = "body_id", body: str = "body", page: str = "page") -> DataFrame:
+    """``(key, more)``: whether some object of a service's answer, at any depth, says that pages follow ``page``.
+
+    It does with a number of pages above ``page``, or with a total above what pages of its size hold up to ``page``.
+    """
+    facts = objects_with(F.col(body), (*PAGING_TOTALS, *PAGING_COUNTS, *PAGING_SIZES))
+
+    def first(o: Column, keys: tuple[str, ...]) -> Column:
+        """The first of the values that is not missing or zero; null unless it is a whole number."""
+        return F.get(F.filter(F.array(*[o[k] for k in keys]), lambda x: ~x.isin("0", "")), 0).try_cast("long")
+
+    def follows(o: Column) -> Column:
+        size = F.coalesce(first(o, PAGING_SIZES), F.lit(PAGING_SIZE))
+        beyond = F.coalesce(F.col(page) * size < first(o, PAGING_TOTALS), F.lit(False))
+        return F.coalesce(first(o, PAGING_COUNTS) > F.col(page), F.lit(False)) | beyond
+
+    return bodies.select(key, F.exists(facts, follows).alias("more"))
+
+
 def has_next_page(total: Column, page: Column, size: Column) -> Column:
     return (total > 0) & (page * size < total)
 
@@ -178,20 +283,19 @@ def service_meta(bodies: DataFrame, key: str = "body_id", body: str = "body") ->
 
     The first level that names a product is used; answers that name none have no row.
     """
-    names = (("productName",), ("name",), ("title",))
-    levels = F.array(F.col("v"), *[V.get(F.col("v"), w, type="variant") for w in ("response", "data", "result", "payload")])
-    naming = F.get(F.filter(levels, lambda level: _present(level, *names).isNotNull()), 0)
+    levels = F.array(F.col("v"), *[V.get(F.col("v"), w, type="variant") for w in META_WRAPPERS])
+    naming = F.get(F.filter(levels, lambda level: _present(level, *META_KEYS["name"]).isNotNull()), 0)
     o = F.col("o")
-    rating = _present(o, ("averageRating",), ("overallRating",)).try_cast("double")
+    rating = _present(o, *META_KEYS["rating"]).try_cast("double")
     return (
         bodies.select(key, V.parse(F.col(body)).alias("v"))
         .select(key, naming.alias("o"))
         .select(
             key,
-            _present(o, *names).alias("name"),
-            F.coalesce(_present(o, ("brandName",), ("brand",)), F.lit("")).alias("brand"),
-            F.coalesce(F.concat(F.lit("INR "), _present(o, ("price",), ("mrp",))), F.lit("")).alias("price"),
-            F.coalesce(_present(o, ("imageUrl",), ("image",)), F.lit("")).alias("image_url"),
+            _present(o, *META_KEYS["name"]).alias("name"),
+            F.coalesce(_present(o, *META_KEYS["brand"]), F.lit("")).alias("brand"),
+            F.coalesce(F.concat(F.lit("INR "), _present(o, *META_KEYS["price"])), F.lit("")).alias("price"),
+            F.coalesce(_present(o, *META_KEYS["image_url"]), F.lit("")).alias("image_url"),
             rating.alias("rated"),
         )
         .select(key, "name", "brand", "price", "image_url", F.when(F.col("rated").between(0.0, 5.0), F.col("rated")).alias("overall_rating"))
@@ -202,29 +306,18 @@ def service_meta(bodies: DataFrame, key: str = "body_id", body: str = "body") ->
 def page_state_meta(documents: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
     """Product facts in a page's state under ``pdpData``; input are documents of ``embedded.state_documents``."""
     v = F.col("v")
-    p = lambda *k: ("pdpData", *k)
-    amount = _present(v, p("mrp", "mrp"), p("mrp", "value"), p("mrp"), p("price", "mrp"), p("price", "value"))
-    other = _present(v, p("discountedPrice"), p("price"))
-    currency = F.coalesce(_present(v, p("mrp", "currency"), p("price", "currency")), F.lit("INR"))
-    image = _present(
-        v,
-        p("searchImage"),
-        p("image"),
-        p("defaultImage"),
-        p("thumbnailImage"),
-        p("landingPageImage"),
-        p("productImage"),
-    )
-    album = F.try_variant_get(v, '$.pdpData.media.albums[0].image', "string")
+    read = lambda name: _present(v, *STATE_KEYS[name])
+    currency = F.coalesce(read("currency"), F.lit("INR"))
+    album = F.try_variant_get(v, STATE_ALBUM, "string")
     return (
         documents.select(*keys, V.parse(F.col(doc)).alias("v"))
         .select(
             *keys,
-            _present(v, p("name"), p("productName")).alias("name"),
-            F.coalesce(_present(v, p("brand", "name"), p("brand", "brandName"), p("brand"), p("brandName")), F.lit("")).alias("brand"),
-            F.coalesce(F.concat(currency, F.lit(" "), F.coalesce(amount, other)), F.lit("")).alias("price"),
-            F.coalesce(image, F.nullif(album, F.lit("")), F.lit("")).alias("image_url"),
-            parse_rating(_present(v, p("ratings", "averageRating"))).alias("overall_rating"),
+            read("name").alias("name"),
+            F.coalesce(read("brand"), F.lit("")).alias("brand"),
+            F.coalesce(F.concat(currency, F.lit(" "), F.coalesce(read("amount"), read("other_amount"))), F.lit("")).alias("price"),
+            F.coalesce(read("image_url"), F.nullif(album, F.lit("")), F.lit("")).alias("image_url"),
+            parse_rating(read("rating")).alias("overall_rating"),
         )
         .filter(F.col("name").isNotNull())
     )

@@ -213,6 +213,9 @@ META_SELECTORS = {
     "rating": ['#acrPopover [class*="a-icon-alt"]', '[data-hook="rating-out-of-text"]'],
 }
 META_IMAGES = ("#landingImage", "#imgBlkFront", "#main-image")
+# What a shop page puts around a brand.
+BEFORE_BRAND = r"(?i)^(Visit the|Brand:\s*)"
+AFTER_BRAND = r"\s*Store$"
 META_TYPE = T.StructType([T.StructField(n, T.StringType()) for n in (*META_SELECTORS, "image")])
 
 
@@ -229,7 +232,7 @@ def _shown_meta(pages: pd.Series) -> pd.DataFrame:
 
 def shown_meta(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Product facts that a shop page shows in its known places; pages without a product name have no row."""
-    brand = F.regexp_replace(F.regexp_replace("m.brand", r"(?i)^(Visit the|Brand:\s*)", ""), r"\s*Store$", "")
+    brand = F.regexp_replace(F.regexp_replace("m.brand", BEFORE_BRAND, ""), AFTER_BRAND, "")
     return (
         pages.select(key, _shown_meta(F.col(html)).alias("m"))
         .filter(F.col("m.name") != "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,14 +99,39 @@ def _own_review(node: dict, min_text: int) -> tuple[str, str] | None:
 
 def _reviews_in(data, min_text: int) -> list[dict]:
     """Reviews of one parsed document at any depth, each object before its members."""
-    out, waiting = [], [data]
+    found = (_own_review(o, min_text) for o in _objects(data))
+    return [{"text": own[0], "rating": own[1]} for own in found if own]
+
+
+def _objects(data) -> Iterator[dict]:
+    """All objects of a parsed document, each before its members."""
+    waiting = [data]
     while waiting:
         node = waiting.pop()
-        if isinstance(node, dict) and (own := _own_review(node, min_text)):
-            out.append({"text": own[0], "rating": own[1]})
+        if isinstance(node, dict):
+            yield node
         members = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
         waiting += [m for m in members if isinstance(m, (dict, list))][::-1]
-    return out
+
+
+def objects_with(doc: Column, keys: tuple[str, ...]) -> Column:
+    """The objects of a JSON document, at any depth, that have whole numbers under some of ``keys``, as maps of these to
+    the numbers as text; none where the document cannot be read."""
+
+    @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+    def search(docs: pd.Series) -> pd.Series:
+        def found(text: str | None) -> list[dict]:
+            try:
+                objects = _objects(json.loads(text or ""))
+                named = [{k: o[k] for k in keys if k in o} for o in objects]
+            except (ValueError, RecursionError):
+                return []
+            plain = [{k: str(x) for k, x in o.items() if isinstance(x, int) and not isinstance(x, bool)} for o in named]
+            return [o for o in plain if o]
+
+        return docs.map(found)
+
+    return search(doc)
 
 
 def _searched(doc: Column, min_text: int) -> Column:
