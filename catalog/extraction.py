@@ -181,12 +181,13 @@ def named(items, **keys):
 
 
 _ALL = f"SELECT {_BLOCK} AS body_id, {CLEAN} AS text, rating, CAST(review_idx + 1 AS VARCHAR) AS review_id, strftime(review_date, '%Y-%m-%d') AS date FROM reviews"
+_TEN = f" WHERE length(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g')) >= 10"
 _ONCE = f"""SELECT body_id, text, rating, '' AS review_id, '' AS date FROM (SELECT {_BLOCK} AS body_id, {CLEAN} AS text, rating,
     ROW_NUMBER() OVER (PARTITION BY {_BLOCK}, {_FP}, rating ORDER BY review_idx) AS n FROM reviews WHERE {CLEAN} <> '') WHERE n = 1"""
 _SHOWN = ["body_id", "text", "rating", "review_id", "date"]
 
 
-@query("api_reviews_nykaa", WITH + _ALL)
+@query("api_reviews_nykaa", WITH + _ALL + _TEN)
 def api_reviews_nykaa(spark, d):
     """Lists inside a wrapper, each twice over: what repeats an earlier review of the body goes."""
     items = named(F.col("items"), description="text", starRating="rating", reviewId="id", createdOn="date")
@@ -194,7 +195,7 @@ def api_reviews_nykaa(spark, d):
     return api.api_reviews(blocks(spark, d).select("body_id", body.alias("body")), "nykaa").select(*_SHOWN)
 
 
-@query("api_reviews_myntra", WITH + _ALL)
+@query("api_reviews_myntra", WITH + _ALL + _TEN)
 def api_reviews_myntra(spark, d):
     """The body itself is a list."""
     body = F.to_json(named(F.col("items"), reviewContent="text", userRating="rating", uid="id", postedOn="date"))
