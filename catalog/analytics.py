@@ -10,7 +10,7 @@ from trustgrain.functions.text import TERM_STOP_WORDS
 from trustgrain.plans import derive
 from trustgrain.session import work_path
 from trustgrain.sources import files
-from trustgrain.sources.tables import load, load_spread
+from trustgrain.sources.tables import load
 
 from .base import REVIEWS_SQL, plain, query
 from .scalars import BL, EL, LANG_SQL, NW, SHORT, WS  # noqa: F401
@@ -138,7 +138,7 @@ def page_yield(spark, d):
       AND length(b.low) > length(a.low) AND contains(b.low, a.low)) GROUP BY ALL""",
 )
 def drop_contained(spark, d):
-    pages = load_spread(spark, d, "pages")
+    pages = load(spark, d, "pages")
     found = F.transform(
         F.regexp_extract_all("html", F.lit("<(?:p|li|a)[^>]*>([^<]*)<"), F.lit(1)), lambda t: F.struct(t.alias("text"))
     )
@@ -221,7 +221,7 @@ def fuse_predictions(spark, d):
 @query("score_reviews")
 def score_reviews(spark, d):
     """Two classifiers trained on the labelled documents and applied to all documents."""
-    docs = load_spread(spark, d, "documents").select("doc_id", "text")
+    docs = load(spark, d, "documents").select("doc_id", "text")
     labelled = docs.join(load(spark, d, "labels"), "doc_id")
     ai = models.fit_classifier(labelled, "toxic")
     good = models.fit_classifier(labelled, "quality")
@@ -248,7 +248,7 @@ def _length_model():
     CASE WHEN NOT contains(text, '$') THEN 0.75::DOUBLE END AS sentiment_conf, CASE WHEN contains(text, '$') THEN 'dollar sign' END AS error FROM documents""",
 )
 def score_with_model(spark, d):
-    docs = load_spread(spark, d, "documents").select("doc_id", "text")
+    docs = load(spark, d, "documents").select("doc_id", "text")
     return scoring.score(docs, {"sentiment": _length_model}).select("doc_id", "sentiment_label", "sentiment_conf", "error")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trustgrain.operators.extract import api, cards, embedded, jsonld
 from trustgrain.plans import derive
-from trustgrain.sources.tables import load, load_spread
+from trustgrain.sources.tables import load
 
 from .base import REVIEWS_SQL, query
 
@@ -57,7 +57,7 @@ def shown_meta(spark, d):
         F.lit(' Store</a><span class="a-price"><b class="a-offscreen">INR '), "p_size", F.lit('</b></span><img id="landingImage" src="'), "p_type",
         F.lit('.png"><div id="acrPopover"><i class="x a-icon-alt">'), F.col("p_size") % 5, F.lit(".5 out of 5</i></div></body></html>"),
     )
-    return cards.shown_meta(load_spread(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    return cards.shown_meta(load(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 @query(
@@ -77,7 +77,7 @@ def page_state_meta(spark, d):
         )
     )
     html = F.concat(F.lit("<script>window.__myx = "), state, F.lit("</script>"))
-    pages = load_spread(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    pages = load(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
     documents = embedded.state_documents(pages)
     return api.page_state_meta(documents, ["page_id"])
 
@@ -88,7 +88,7 @@ def page_state_meta(spark, d):
     regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '(?i)^Buy\s+', ''), '(?i)\s+Online\s*\|.*$', '')) AS t FROM pages)""",
 )
 def page_titles(spark, d):
-    return load_spread(spark, d, "pages").select("page_id", jsonld.name_from_title(F.col("html")).alias("name"))
+    return load(spark, d, "pages").select("page_id", jsonld.name_from_title(F.col("html")).alias("name"))
 
 
 def state_pages(spark, d):

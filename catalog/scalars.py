@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trustgrain.functions import crypto, lang, numbers, pages, text, urls
 from trustgrain.operators import redflags, sites
 from trustgrain.plans import derive
-from trustgrain.sources.tables import load, load_spread
+from trustgrain.sources.tables import load
 
 from .base import plain, query
 
@@ -53,7 +53,7 @@ def parse_rating(spark, d):
     "SELECT doc_id, sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS fp FROM documents",
 )
 def text_fingerprint(spark, d):
-    return load_spread(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fp"))
+    return load(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fp"))
 
 
 @query(
@@ -127,7 +127,7 @@ def detect_language(spark, d):
 
 @query("document_language", f"SELECT doc_id, {LANG_SQL} AS language FROM documents")
 def document_language(spark, d):
-    return load_spread(spark, d, "documents").select("doc_id", lang.detect_language(F.col("text")).alias("language"))
+    return load(spark, d, "documents").select("doc_id", lang.detect_language(F.col("text")).alias("language"))
 
 
 @query("language_name", f"SELECT lang AS code, COUNT(*) AS n, {NAMES_SQL.replace('code', 'lang')} AS name FROM documents GROUP BY lang")
@@ -386,7 +386,7 @@ def blocked_pages(spark, d):
         "html",
         F.when(k == 0, "please verify: reCAPTCHA").when(k == 1, "<p>Unusual traffic</p>").when(k == 2, "Access Denied").otherwise(""),
     )
-    return load_spread(spark, d, "pages").select("page_id", pages.is_blocked(html).alias("blocked"))
+    return load(spark, d, "pages").select("page_id", pages.is_blocked(html).alias("blocked"))
 
 
 GEN = rf"{BL}(good|bad|great|awesome|terrible|worst|best|amazing){WS}+(product|item|quality|service){EL}"
@@ -440,4 +440,4 @@ def red_flags(spark, d):
 
 @query("document_red_flags", "WITH d AS (SELECT doc_id, text FROM documents)" + flags_sql("d", "doc_id"))
 def document_red_flags(spark, d):
-    return _flat_flags(load_spread(spark, d, "documents"), "doc_id")
+    return _flat_flags(load(spark, d, "documents"), "doc_id")

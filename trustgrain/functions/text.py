@@ -175,6 +175,18 @@ def search_any(query: str, *columns: str) -> Column:
     return hit
 
 
+def words_of(text: Column) -> Column:
+    """Lower-case runs of word characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0))
+
+
+def kept_terms(words: Column, stop_words: list[str] | None = None) -> Column:
+    """Of the words of a text those of two or more characters, without stop words."""
+    stop = TERM_STOP_WORDS if stop_words is None else stop_words
+    long = F.filter(words, lambda t: F.length(t) >= 2)
+    return F.filter(long, lambda t: ~t.isin(*stop)) if stop else long
+
+
 def term_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     """Lower-case runs of two or more word characters, without stop words."""
     stop = TERM_STOP_WORDS if stop_words is None else stop_words
@@ -182,6 +194,11 @@ def term_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(found, lambda t: ~t.isin(*stop)) if stop else found
 
 
+def kept_phrase_words(words: Column) -> Column:
+    """Of the words of a text those of a-z, longer than two letters, without the phrase stop words."""
+    return F.filter(words, lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(*PHRASE_STOP_WORDS))
+
+
 def phrase_words(text: Column) -> Column:
     """Whole words of a-z, longer than two letters, without the phrase stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{WORD})[a-z]{{3,}}(?!{WORD})"), F.lit(0))

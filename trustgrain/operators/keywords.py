@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TERM_STOP_WORDS, WORD, is_blank, word_count
-from ..session import written
+from ..session import ROW_GROUP, written
 from .skew import top_k
 
 # Topics by words that a keyword may contain.
@@ -136,7 +136,7 @@ def keywords(
     is used more often than its parts. The words themselves are looked up for the candidates alone.
     """
     longest = max(p.longest for p in passes)
-    words = written(review_words(df, by, text), "review-words")
+    words = written(review_words(df, by, text), "review-words", ROW_GROUP)
     counts = written(_counted(_grams(words, by, 1).union(_grams(words, by, 2)), by), "gram-counts")
     single = counts.filter("n = 1")
     products = single.select(by).distinct().agg(F.count(F.lit(1)).alias("products"))

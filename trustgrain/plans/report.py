@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import word_count
 from ..operators import bursts, duplicates, phrases, ratings
 from ..operators.similarity import MIN_WORDS
+from ..operators.words import worded
 
 # Share of each detector in the trust score, in summing order.
 WEIGHTS = (
@@ -28,14 +29,14 @@ def product_profile(reviews: DataFrame) -> DataFrame:
     Rows are first reduced to one per product and day, which is where a product with very many reviews shrinks, and
     then to one per product. The burst window runs over days.
     """
-    valid = F.coalesce(word_count(F.col("text")), F.lit(0)) >= MIN_WORDS
+    n_words = F.col("n_words") if "n_words" in reviews.columns else F.coalesce(word_count(F.col("text")), F.lit(0))
     measured = reviews.select(
         "product_id",
         F.col("review_date").alias("day"),
         F.col("rating").cast("int").alias("stars"),
         ratings.contradiction().alias("contradicts"),
-        F.coalesce(word_count(F.col("text")), F.lit(0)).cast("long").alias("words"),
-        valid.alias("valid"),
+        n_words.cast("long").alias("words"),
+        (n_words >= MIN_WORDS).alias("valid"),
     )
     by_day = measured.groupBy("product_id", "day").agg(*ratings.additive(), F.count_if("valid").alias("n_valid"))
     dated = F.col("day").isNotNull()
@@ -65,8 +66,9 @@ def trust_report(reviews: DataFrame, min_reviews: int = 3, threshold: float = 0.
     """One row per product with at least ``min_reviews`` reviews.
 
     Each detector is a struct of fixed size. The flagged reviews themselves, which may be many, are rows of
-    :func:`flagged_reviews`.
+    :func:`flagged_reviews`. Texts are read once.
     """
+    reviews = worded(reviews.select("product_id", "review_idx", "review_date", "rating", "sentiment", "confidence", "text"))
     enough = reviews.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_reviews)
     reviews = reviews.join(enough, "product_id", "left_semi")
     profile = product_profile(reviews)

@@ -74,12 +74,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/trustgrain/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Bytes of a row group of intermediates that cost much per row, so that a file that one task wrote is read by several.
+ROW_GROUP = 4 << 20
+
+
+def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors, and lets a result be used twice without computing it twice.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.size", row_group) if row_group else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

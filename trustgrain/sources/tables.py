@@ -7,13 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def load_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Read a table for per-row text work, which costs far more than reading it.
-
-    A table in a single file, possibly a single row group, would be read by one task; it is dealt out over all cores.
-    A table of many files has enough splits and is left alone, so nothing large is shuffled.
-    """
-    df = load(spark, folder, name)
-    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
