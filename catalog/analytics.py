@@ -231,15 +231,45 @@ def score_reviews(spark, d):
     return scoring.fuse(scored).select("doc_id", "sentiment", "predicted_rating", "ai_probability", "confidence")
 
 
-def _length_model():
-    """A stand-in model with a rule that SQL can repeat: long texts are positive; texts with a dollar sign fail."""
+@query(
+    "rate_reviews",
+    """SELECT COUNT(*) AS n, COUNT(quality) AS n_labelled, TRUE AS stars, TRUE AS spread, TRUE AS within_one, TRUE AS sure FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def rate_reviews(spark, d):
+    """Stars by an ordinal model. Labelled documents give 1 or 2 stars where they are bad, 4 or 5 where they are good, fewer
+    where they are toxic; every third is kept from training and must be rated right to within one star eight times in ten."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    marks = load(spark, d, "labels").filter("quality IS NOT NULL AND toxic IS NOT NULL")
+    stars = marks.select("doc_id", "quality", F.expr("CASE WHEN quality = 1 THEN 5 - toxic ELSE 2 - toxic END").alias("rating"))
+    held_out = F.col("doc_id") % 3 == 1
+    model = models.fit_rating(docs.join(stars.filter(~held_out), "doc_id"))
+    rated = models.rate(model, docs).join(stars, "doc_id", "left")
+    fused = rated.withColumns({"sentiment_label": F.lit(None).cast("string"), "sentiment_conf": F.lit(None).cast("double")})
+    fused = scoring.fuse(fused.withColumns({"ai_label": F.lit(None).cast("string"), "ai_conf": F.lit(None).cast("double")}))
+    tested = F.col("rating").isNotNull() & held_out
+    close = F.avg(F.when(tested, (F.abs(F.col("predicted_rating") - F.col("rating")) <= 1).cast("int")))
+    return fused.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("quality").alias("n_labelled"),
+        F.every(F.col("predicted_rating").between(1, 5)).alias("stars"),
+        (F.countDistinct("predicted_rating") > 1).alias("spread"),
+        (close >= 0.8).alias("within_one"),
+        F.every(F.col("rating_conf").between(0.2, 1.0)).alias("sure"),
+    )
+
+
+def _length_model_of(refused):
+    """A stand-in model with a rule that SQL can repeat: long texts are positive; texts with ``refused`` in them fail."""
+
+    def load_model():
+        def predict(texts):
+            if refused and any(refused in t for t in texts):
+                raise ValueError("dollar sign")
+            return [("POSITIVE" if len(t) > 500 else "NEGATIVE", 0.75) for t in texts]
 
-    def predict(texts):
-        if any("$" in t for t in texts):
-            raise ValueError("dollar sign")
-        return [("POSITIVE" if len(t) > 500 else "NEGATIVE", 0.75) for t in texts]
+        return predict
 
-    return predict
+    return load_model
 
 
 @query(
@@ -249,7 +279,7 @@ def _length_model():
 )
 def score_with_model(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text")
-    return scoring.score(docs, {"sentiment": _length_model}).select("doc_id", "sentiment_label", "sentiment_conf", "error")
+    return scoring.score(docs, {"sentiment": _length_model_of("$")}).select("doc_id", "sentiment_label", "sentiment_conf", "error")
 
 
 # --- summaries and keywords ------------------------------------------------------------------------------------

@@ -435,3 +435,31 @@ def flagged_reviews(spark, d):
 )
 def flagged_reviews_every_phrase(spark, d):
     return report.flagged_reviews(derive.reviews(spark, d), every_phrase=True)
+
+
+def _from_bodies_sql() -> str:
+    """The report over what is read out of the bodies: cleaned texts, and a sentiment that follows from their length."""
+    from .extraction import CLEAN
+
+    read = f"""raw_{REVIEWS_SQL.strip()[REVIEWS_SQL.strip().index("reviews AS"):]}"""
+    before = REVIEWS_SQL.strip()[: REVIEWS_SQL.strip().index("reviews AS")]
+    cleaned = f""", reviews AS (SELECT product_id, review_idx, text, rating, review_date, CASE WHEN length(text) > 500 THEN 'positive' ELSE 'negative' END AS sentiment,
+      round((0.75 + 0.5 + 0.5) / 3, 4) AS confidence, 0.0 AS ai_probability, 3 AS predicted_rating, lang FROM (SELECT * REPLACE ({CLEAN} AS text) FROM raw_reviews))"""
+    return TRUST_SQL.replace(REVIEWS_SQL.strip(), before + read + cleaned)
+
+
+@query("report_from_bodies", _from_bodies_sql())
+def report_from_bodies(spark, d):
+    """Stored answers with several reviews each, read, dated, scored and judged."""
+    from pyspark.sql import functions as F
+
+    from trustgrain.plans import ingest
+
+    from .analytics import _length_model_of
+    from .extraction import blocks, named
+
+    items = named(F.col("items"), reviewText="text", rating="rating", id="id", createdDate="date")
+    body = F.to_json(F.struct(F.struct(items.alias("productReviews")).alias("reviewData")))
+    bodies = blocks(spark, d).select("body_id", F.regexp_extract("body_id", r"^(.*)-\d+$", 1).alias("product_id"), body.alias("body"))
+    found = ingest.reviews_from_bodies(bodies, "ajio", {"sentiment": _length_model_of(None)}, lambda: F.col("review_id").cast("long") - 1)
+    return report.flat_report(written(found, "reviews"))

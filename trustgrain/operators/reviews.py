@@ -80,16 +80,22 @@ def identity_key() -> Column:
 
 
 def dedupe_reviews(df: DataFrame, order_by: list[str], by: list[str] | None = None) -> DataFrame:
-    """Keep the first of equal reviews under ``order_by``.
+    """Keep the first of equal reviews under ``order_by``, which tells any two of them apart; of rows equal in it, too, one.
 
-    The survivor is found by an aggregate that every task starts on its own rows, so a review copied a billion times
-    reaches the shuffle once per task.
+    What is compared is a digest of the identity and the order alone. The first of each is found by an aggregate that
+    every task starts on its own rows, so a review copied a billion times reaches the shuffle once per task, and texts
+    are not sorted.
     """
     keys = list(by or [])
-    payload = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*payload), F.struct(*order_by))
-    kept = df.groupBy(*keys, identity_key().alias("_key")).agg(first.alias("_first"))
-    return kept.select(*keys, "_first.*").select(*df.columns)
+    digest = F.xxhash64(F.sha2(F.to_json(identity_key()), 256)).alias("_digest")
+    order = F.struct(*order_by)
+    first = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], digest).agg(F.min(order).alias("_order"))
+    same = F.col("_digest") == F.col("_own_digest")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    own = df.withColumn("_own_digest", digest).withColumn("_own_order", order)
+    found = own.join(first, same & (F.col("_own_order") == F.col("_order")), "left_semi")
+    return found.dropDuplicates([*keys, "_own_digest", *order_by]).select(*df.columns)
 
 
 def page_yield(df: DataFrame, order_by: list[str], by: list[str], page: str = "page_no") -> DataFrame:
