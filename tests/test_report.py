@@ -155,3 +155,23 @@ def test_pairs_and_members_give_all_similar_reviews(frame, products):
     got |= {(p, x, y) for (p, _), bag in members.items() for x in bag for y in bag if x < y}
     want = {(p, *k) for p, rows in products.items() for k in brute.pairs({r["idx"]: r["text"] for r in rows if r["text"]})}
     assert got == want and len(want) > len(links)
+
+
+def test_blocks_connect_what_all_pairs_connect(spark, monkeypatch):
+    """Products of several blocks: short reviews out of few words, and a large group of near copies."""
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(30)]
+    rows = [("p" if i % 4 else "q", i, " ".join(rng.sample(words, rng.randrange(5, 8)))) for i in range(500)]
+    near = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows += [("p", 1000 + i, f"{near} {rng.choice(words)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "product_id string, review_idx long, text string")
+
+    def clusters():
+        return {(r["product_id"], r["bag_id"]): r["cluster"] for r in duplicates.clustered_bags(df).collect()}
+
+    whole = clusters()
+    monkeypatch.setattr(similarity.connecting_pairs, "__defaults__", (similarity.THRESHOLD, 40))
+    assert clusters() == whole and len(set(whole.values())) > 3
+    weights = similarity.term_weights(similarity.token_bags(df))
+    pairs = [{(r["product_id"], r["a"], r["b"]) for r in similarity.similar_pairs(weights, block=b).collect()} for b in (10_000, 60)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 100

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.urls import host
+from .skew import spread_over
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -58,10 +59,10 @@ class UserFiles:
         self.spark, self.path, self.schema, self.key, self.version = spark, path, schema, key, version
 
     @classmethod
-    def create(cls, df: DataFrame, path: str, key: str = "user_id") -> UserFiles:
-        """Store a table in ranges of ``key``, so that a user is in few files."""
+    def create(cls, df: DataFrame, path: str, key: str = "user_id", files: int | None = None) -> UserFiles:
+        """Store a table in ranges of ``key``, so that a user is in few files; as many as a shuffle has parts, or ``files``."""
         table = cls(df.sparkSession, path, df.schema, key)
-        table._list(table._added(df.repartitionByRange(key), 0), 0)
+        table._list(table._added(df.repartitionByRange(files or spread_over(df), key), 0), 0)
         return table
 
     def _added(self, df: DataFrame, version: int) -> DataFrame:

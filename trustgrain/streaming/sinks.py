@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 BATCH = "batch_id"
 
@@ -36,7 +37,8 @@ def finished_batches(spark: SparkSession, path: str) -> DataFrame:
 def read_batches(spark: SparkSession, path: str, schema, keep_batch: bool = False) -> DataFrame:
     """The rows of all finished batches of a table; ``schema`` is that of the rows."""
     columns = [f.name for f in schema.fields]
-    rows = spark.read.schema(schema.add(BATCH, "long") if BATCH not in columns else schema).parquet(_data(path))
+    stored = StructType([*schema.fields, *([StructField(BATCH, LongType())] if BATCH not in columns else [])])
+    rows = spark.read.schema(stored).parquet(_data(path))
     done = rows.join(finished_batches(spark, path), BATCH, "left_semi")
     return done.select(*columns, *([BATCH] if keep_batch else []))
 
