@@ -47,6 +47,8 @@ MOST_BARE = 5e-3
 #: for every element of a set.
 ODD_BITS = 256
 ODD_BITS_EACH = 2
+#: Bits of a second, shorter sketch of every set, which is what open signatures are searched with first.
+SHORT_BITS = 1024
 #: Signatures that one group of the shuffle holds, about; groups are at least so many.
 PLACE_ROWS = 500_000
 LEAST_PLACES = 64
@@ -211,10 +213,10 @@ def signatures(
     return np.nonzero(full)[0], keys[full]
 
 
-def odd_bits(elements: np.ndarray) -> bytes:
+def odd_bits(elements: np.ndarray, bits: int | None = None) -> bytes:
     """For each of a number of cells, whether an odd number of elements falls into it. Where two sets differ in a cell,
-    at least one element is in one of them only. Twice as many cells are there for a set twice as large."""
-    bits = max(ODD_BITS, 1 << (ODD_BITS_EACH * len(elements) - 1).bit_length())
+    at least one element is in one of them only. Unless ``bits`` are given, a set twice as large has twice as many."""
+    bits = bits or max(ODD_BITS, 1 << (ODD_BITS_EACH * len(elements) - 1).bit_length())
     at = (elements & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -239,9 +241,10 @@ def _measured(docs: DataFrame, words_per_shingle: int) -> DataFrame:
                 "n": [len(s) for s in sets],
                 "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "odd": [odd_bits(s) if len(s) else None for s in sets],
+                "short": [odd_bits(s, SHORT_BITS) if len(s) else None for s in sets],
             })
 
-    return docs.mapInPandas(tidy(one_batch), "id long, n long, digest binary, odd binary")
+    return docs.mapInPandas(tidy(one_batch), "id long, n long, digest binary, odd binary, short binary")
 
 
 #: Signatures of a batch that meet those of other batches in one group, ``place``. ``keys`` has 6 bytes of every key, of
@@ -399,24 +402,42 @@ def _in_blocks(members: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("p", F.least("block", "other"))
         .withColumn("q", F.greatest("block", "other"))
-        .drop("block", "other", "blocks")
+        .drop("block", "other")
         .repartition("key", "p", "q")
         .sortWithinPartitions("key", "p", "q")
     )
 
 
-def _pairs(group: pd.DataFrame, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(i, j, differing cells)`` of the members of different classes that sizes and odd bits allow, some at a time."""
-    n, own = group["n"].to_numpy(dtype=np.int64), group["component"].to_numpy()
-    size = min(map(len, group["odd"]))
-    odd = np.stack([_folded(x, size) for x in group["odd"]])
-    step = max(1, 4_000_000 // (odd.nbytes + 1))
-    for at in range(0, len(group) - 1, step):
-        rows = slice(at, at + step)
-        i, j = np.nonzero((own[rows, None] != own[None]) & (np.arange(len(own))[rows, None] < np.arange(len(own))[None]))
-        i += at
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows so that no group of equal ``keys`` is cut, with the places where groups start."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if len(batch):
+            k = batch[keys].to_numpy()
+            starts = np.nonzero(np.append(True, (k[1:] != k[:-1]).any(1)))[0]
+            held = batch.iloc[starts[-1] :].reset_index(drop=True)
+            if len(starts) > 1:
+                yield batch.iloc[: starts[-1]], starts[:-1]
+    if held is not None and len(held):
+        yield held, np.zeros(1, dtype=np.int64)
+
+
+def _pairs(rows: pd.DataFrame, starts: np.ndarray, odd: np.ndarray, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, differing cells)`` of the rows of one group and different classes that sizes and ``odd`` bits allow, some
+    groups or parts of one at a time."""
+    n, own = rows["n"].to_numpy(dtype=np.int64), rows["component"].to_numpy(dtype=np.int64)
+    ends = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
+    later = ends - np.arange(len(rows)) - 1
+    upto = np.cumsum(later)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 500_000, side="right")))
+        count = later[at:to]
+        i = np.repeat(np.arange(at, to), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
         most = (100 - similarity) * (n[i] + n[j]) // (100 + similarity)
-        near = np.abs(n[i] - n[j]) <= most
+        near = (own[i] != own[j]) & (np.abs(n[i] - n[j]) <= most)
         i, j, most = i[near], j[near], most[near]
         away = np.zeros(len(i), dtype=np.int64)
         for part in range(0, len(i), 16_384):
@@ -424,6 +445,34 @@ def _pairs(group: pd.DataFrame, similarity: int) -> Iterator[tuple[np.ndarray, n
             away[cut] = np.bitwise_count(odd[i[cut]] ^ odd[j[cut]]).sum(1, dtype=np.int64)
         fits = away <= most
         yield i[fits], j[fits], away[fits]
+        at = to
+
+
+def _one_group(group: pd.DataFrame) -> np.ndarray:
+    """The odd bits of a group's members, folded to the fewest that one of them has."""
+    size = min(map(len, group["odd"]))
+    return np.stack([_folded(x, size) for x in group["odd"]])
+
+
+GROUP = ["key", "p", "q"]
+
+
+def _suspects(members: DataFrame, nodes: DataFrame, similarity: int, short: bool) -> DataFrame:
+    """The members ``(key, blocks, id, component)`` that sizes and odd bits allow to be similar to one of another class; with
+    ``short``, the shorter sketch."""
+    bits = "short" if short else "odd"
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups = _whole_groups(batches, GROUP) if short else ((g, np.zeros(1, dtype=np.int64)) for g in sorted_groups(batches, GROUP))
+        for rows, starts in groups:
+            odd = np.frombuffer(b"".join(rows["short"]), dtype=np.uint64).reshape(len(rows), -1) if short else _one_group(rows)
+            found = np.zeros(len(rows), dtype=bool)
+            for i, j, _ in _pairs(rows, starts, odd, similarity):
+                found[i] = found[j] = True
+            yield rows.loc[found, ["key", "blocks", "id", "component"]]
+
+    sent = _in_blocks(members.join(nodes.select("id", "n", bits), "id"))
+    return sent.mapInPandas(tidy(search), "key long, blocks int, id long, component long").distinct()
 
 
 class _Forest:
@@ -450,10 +499,10 @@ def _likely(members: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     first; at most one less than the members."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(batches, ["key", "p", "q"]):
+        for group in sorted_groups(batches, GROUP):
             ids, own = group["id"].to_numpy(), group["component"].to_numpy()
             forest, out = _Forest(own), []
-            for i, j, away in _pairs(group, similarity):
+            for i, j, away in _pairs(group, np.zeros(1, dtype=np.int64), _one_group(group), similarity):
                 for k in np.argsort(away, kind="stable"):
                     x, y = int(own[i[k]]), int(own[j[k]])
                     if not forest.connected(x, y):
@@ -469,11 +518,11 @@ def _exact(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: in
     """Links ``(a, b)``, as many as connect what is similar within each pair of blocks, decided on full sets."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(batches, ["key", "p", "q"]):
+        for group in sorted_groups(batches, GROUP):
             ids, own = group["id"].to_numpy(), group["component"].to_numpy()
             whole = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
             forest, out = _Forest(own), []
-            for i, j, _ in _pairs(group, similarity):
+            for i, j, _ in _pairs(group, np.zeros(1, dtype=np.int64), _one_group(group), similarity):
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     if not forest.connected(int(own[x]), int(own[y])) and similar(whole[x], whole[y], similarity):
                         forest.connect(int(own[x]), int(own[y]))
@@ -509,8 +558,8 @@ def similar_classes(
        signatures in common with, then, where classes still differ, with all. Sizes, odd bits (a lower bound of the
        difference) and then the full sets decide.
     4. In signatures whose members are still in different classes, all pairs of these are compared by sizes and odd bits,
-       block by block inside tasks. Only a few pairs leave a task, those that would connect what may be similar; their
-       full sets decide. Where some pairs may be similar even then, full sets are compared inside the tasks.
+       block by block inside tasks. Only members that may be similar leave a task, then a few pairs, those that would
+       connect them; their full sets decide. Where some may be similar even then, full sets are compared inside the tasks.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -518,7 +567,7 @@ def similar_classes(
     nodes = written(
         measured.filter(F.col("id").isNotNull() & (F.col("n") > 0))
         .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd")),
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("short").alias("short")),
         "sets",
     )
     total = nodes.agg(F.sum("n")).first()[0] or 0
@@ -553,16 +602,15 @@ def similar_classes(
     apart = F.coalesce("class_a", "a") != F.coalesce("class_b", "b")
     linked(to_leader.join(of_a, "a", "left").join(of_b, "b", "left").filter(apart).select("a", "b"))
 
-    members = written(_open_members(buckets, classes), "open-members")
+    members = written(_suspects(_open_members(buckets, classes), nodes, similarity, short=True), "suspects")
     likely = written(_likely(members, nodes, similarity), "likely-pairs")
     linked(likely.select("a", "b"))
     if not likely.isEmpty():
-        # The same pairs of classes can be open still only in signatures that had some.
-        again = _classed(members.drop("component").join(likely.select("key").distinct(), "key", "left_semi"), classes)
-        again = written(again.select("key", "blocks", "id", "component"), "open-members")
-        still = written(_likely(again, nodes, similarity).select("key").distinct(), "open-keys")
-        if not still.isEmpty():
-            last = written(again.join(still, "key", "left_semi"), "open-members")
+        # Only signatures that had some pair can still have one.
+        again = members.drop("component").join(likely.select("key").distinct(), "key", "left_semi")
+        again = _classed(again, classes).select("key", "blocks", "id", "component")
+        last = written(_suspects(again, nodes, similarity, short=False), "suspects")
+        if not last.isEmpty():
             sets = full_sets(base, last.select("id").distinct(), words_per_shingle)
             rest = written(_exact(last, nodes, sets, similarity), "set-links")
             links = links.union(rest)
