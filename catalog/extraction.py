@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trustgrain import sql
 from trustgrain.operators.extract import api, cards, embedded, jsonld
 from trustgrain.plans import derive
 from trustgrain.sources.tables import load
 
 from .base import REVIEWS_SQL, query
+from .scalars import HOST
 
 WITH = f"WITH {REVIEWS_SQL.strip()} "
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -135,6 +137,30 @@ def deep_reviews(spark, d):
     return embedded.deep_reviews(docs, ["doc_id"]).select("doc_id", "text", "rating")
 
 
+@query(
+    "sql_reviews",
+    WITH + f"SELECT review_idx AS doc_id, {CLEAN} AS text, rating, 'unknown' AS host FROM reviews WHERE {CLEAN} <> ''",
+)
+def sql_reviews(spark, d):
+    """The same as ``deep_reviews``, as SQL text."""
+    statement = """
+    SELECT doc_id, clean_text(text) AS text, parse_rating(rating) AS rating, url_host(text) AS host
+    FROM reviews_in(TABLE(
+      SELECT review_idx AS doc_id, to_json(named_struct('b', named_struct('a', array(named_struct('content', text, 'score', 9, 'overall', rating))))) AS doc
+      FROM trust_reviews), 'doc')
+    WHERE clean_text(text) <> ''"""
+    return sql.query(spark, statement, trust_reviews=derive.reviews(spark, d))
+
+
+@query(
+    "sql_pages",
+    f"SELECT page_id, coalesce(regexp_replace({HOST.format('url')}, '^www\\.', ''), 'unknown') AS host, CAST(length({CLEAN.replace('text', 'html')}) AS INTEGER) AS n_chars FROM pages",
+)
+def sql_pages(spark, d):
+    statement = "SELECT page_id, url_host(url) AS host, length(clean_text(html)) AS n_chars FROM trust_pages"
+    return sql.query(spark, statement, trust_pages=load(spark, d, "pages"))
+
+
 def api_bodies(spark, d):
     """One service answer per document: a list inside a wrapper, ids and epoch dates."""
     r = derive.reviews(spark, d)
@@ -231,7 +257,7 @@ def api_reviews_anywhere(spark, d):
 @query(
     "declared_pages",
     """SELECT p_partkey AS body_id, CASE MOD(p_partkey, 4) WHEN 0 THEN p_size > 3 WHEN 1 THEN 3 * 5 < p_size WHEN 2 THEN 3 * 10 < p_size ELSE false END AS more,
-    p_size AS total, p_size > 0 AND 20 < p_size AS next FROM part""",
+    CAST(p_size AS BIGINT) AS total, p_size > 0 AND 20 < p_size AS next FROM part""",
 )
 def declared_pages(spark, d):
     """Whether pages follow the third: by a number of pages, by a total and a page size, by a total alone, or not said."""
