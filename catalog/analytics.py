@@ -662,6 +662,44 @@ def reviews_json_source(spark, d):
     )
 
 
+@query(
+    "reviews_json_bodies",
+    WITH
+    + """SELECT product_id, CAST(ROW_NUMBER() OVER (PARTITION BY product_id, FLOOR(review_idx / 100) ORDER BY review_idx) - 1 AS BIGINT) AS review_idx, text, rating,
+    CAST(review_date AS VARCHAR) AS date_raw FROM reviews""",
+)
+def reviews_json_bodies(spark, d):
+    """Request bodies with several reviews each."""
+    path = work_path(spark, "reviews-json")
+    item = F.struct("review_idx", "text", "rating", F.col("review_date").cast("string").alias("date"))
+    bodies = derive.reviews(spark, d).groupBy("product_id", F.floor(F.col("review_idx") / 100)).agg(F.array_sort(F.collect_list(item)).alias("reviews"))
+    bodies.select("product_id", F.transform("reviews", lambda r: r.dropFields("review_idx")).alias("reviews")).write.json(path)
+    return files.read_reviews_json(spark, path).select("product_id", "review_idx", "text", "rating", "date_raw")
+
+
+@query(
+    "analysis_csv_file",
+    WITH
+    + f"""SELECT sentiment, {_PLAIN} AS rating, printf('%.3f', confidence) AS confidence, predicted_rating, printf('%.3f', ai_probability) AS ai_probability,
+    printf('%.1f', CAST({_LINK_SCORE} AS DOUBLE)) AS authenticity, CAST(length(text) AS INTEGER) AS n_chars FROM reviews WHERE text <> ''""",
+)
+def analysis_csv_file(spark, d):
+    """An analysis export, written and read as any reader of quoted CSV does."""
+    path = work_path(spark, "analysis-csv")
+    scored = derive.reviews(spark, d).filter("text <> ''").withColumn("authenticity_score", scoring.authenticity("link"))
+    files.write_analysis_csv(scored, path)
+    back = spark.read.schema(
+        "text string, rating string, sentiment string, confidence string, predicted_rating int, ai_probability string, authenticity string"
+    ).options(**files.CSV, multiLine=True).csv(path)
+    return back.withColumn("n_chars", F.length("text")).drop("text")
+
+
+@query("visit_rows", "SELECT event_id AS id, substring('/' || event_type, 1, 4) AS endpoint, substring('ip' || user_id, 1, 3) AS ip_address FROM events")
+def visit_rows(spark, d):
+    rows = files.visit_rows(derive.site_visits(spark, d), {"endpoint": 4, "ip_address": 3})
+    return rows.select("id", "endpoint", "ip_address")
+
+
 @query(
     "append_events",
     f"""SELECT domain, detected_language, COUNT(*) AS n FROM (SELECT regexp_extract(trim(product_url), '^https://www\\.([^/]*)', 1) AS domain,

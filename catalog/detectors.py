@@ -7,7 +7,7 @@ from trustgrain.operators import bursts, duplicates, phrases, ratings, similarit
 from trustgrain.plans import derive, report
 from trustgrain.session import written
 
-from .base import REVIEWS_SQL, query
+from .base import ORACLES, REVIEWS_SQL, query
 
 PCT = "CAST(CAST(round_even({0} * 100.0::DOUBLE, 0) AS BIGINT) AS VARCHAR) || '%'"
 
@@ -437,6 +437,18 @@ def flagged_reviews_every_phrase(spark, d):
     return report.flagged_reviews(derive.reviews(spark, d), every_phrase=True)
 
 
+@query(
+    "flagged_arrays",
+    f"""SELECT product_id, detector, CAST(floor(review_idx / 512) AS BIGINT) AS block, array_to_string(list(review_idx ORDER BY review_idx), ',') AS review_indices
+    FROM ({ORACLES["flagged_reviews"]}) GROUP BY ALL""",
+)
+def flagged_arrays(spark, d):
+    from pyspark.sql import functions as F
+
+    packed = report.flagged_arrays(report.flagged_reviews(derive.reviews(spark, d)), span=512)
+    return packed.withColumn("review_indices", F.array_join(F.col("review_indices").cast("array<string>"), ","))
+
+
 def _from_bodies_sql() -> str:
     """The report over what is read out of the bodies: cleaned texts, and a sentiment that follows from their length."""
     from .extraction import CLEAN

@@ -161,6 +161,14 @@ def sql_pages(spark, d):
     return sql.query(spark, statement, trust_pages=load(spark, d, "pages"))
 
 
+@query("unreadable_documents", "SELECT p_partkey AS doc_id, CASE MOD(p_partkey, 3) WHEN 0 THEN 'not JSON' ELSE 'not JSON' END AS reason FROM part WHERE MOD(p_partkey, 3) < 2")
+def unreadable_documents(spark, d):
+    p, k = load(spark, d, "part"), F.col("p_partkey") % 3
+    doc = F.when(k == 0, F.lit('{"reviews": [')).when(k == 1, F.lit("")).otherwise(F.to_json(F.struct(F.col("p_name").alias("text"))))
+    found = embedded.unreadable_documents(p.select(F.col("p_partkey").alias("doc_id"), doc.alias("doc")), ["doc_id"])
+    return found.select("doc_id", F.split_part("error", F.lit(":"), F.lit(1)).alias("reason"))
+
+
 def api_bodies(spark, d):
     """One service answer per document: a list inside a wrapper, ids and epoch dates."""
     r = derive.reviews(spark, d)

@@ -278,6 +278,36 @@ def robots_filter(spark, d):
     return sites.robots_filter(found, rules, status, key="page_id").select("page_id", "allowed")
 
 
+@query(
+    "robots_agents",
+    f"""WITH p AS (SELECT page_id, {HOST.format('url')} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^#]*)', 1) AS path FROM pages)
+    SELECT page_id, CASE MOD(length(host), 2) WHEN 0 THEN NOT starts_with(path, '/de') ELSE starts_with(path, '/en') OR NOT starts_with(path, '/') END AS allowed FROM p""",
+)
+def robots_agents(spark, d):
+    """Groups for all agents, and on every other host one for the agent asked for, which then holds alone."""
+    found = load(spark, d, "pages").select("page_id", "url")
+    hosts = found.select(urls.authority(F.col("url")).alias("host")).distinct()
+    every = F.array(*[
+        F.struct(F.lit(a).alias("agent"), F.lit(i).alias("rule_no"), F.lit(p).alias("prefix"), F.lit(x).alias("allow"))
+        for a, i, p, x in (("*", 1, "/en", True), ("*", 2, "/", False))
+    ])
+    own = F.array(F.struct(F.lit("TrustBot").alias("agent"), F.lit(1).alias("rule_no"), F.lit("/de").alias("prefix"), F.lit(False).alias("allow")))
+    rules = hosts.select("host", F.inline(every)).union(hosts.filter(F.length("host") % 2 == 0).select("host", F.inline(own)))
+    status = hosts.withColumn("fetch_status", F.lit(200))
+    return sites.robots_filter(found, rules, status, key="page_id", agent="trustbot/2.1").select("page_id", "allowed")
+
+
+SUPPORTED_SQL = "CASE " + " ".join(f"WHEN regexp_matches(h, '{p}') THEN '{name}'" for name, p in urls.HOST_PATTERNS) + " END"
+
+
+@query(
+    "supported_sites",
+    URLS + f"SELECT url_id, {SUPPORTED_SQL} AS site FROM (SELECT *, {HOST.format('url')} AS h FROM u)",
+)
+def supported_sites(spark, d):
+    return derive.product_urls(spark, d).select("url_id", urls.supported_site(F.col("url")).alias("site"))
+
+
 ASIN = r"nullif(regexp_extract(url, '/(?:dp|gp/product|product-reviews)/([A-Z0-9]{10})', 1), '')"
 SITED = URLS.rstrip() + f", t AS (SELECT *, {SITE_SQL} AS site FROM (SELECT *, {HOST.format('url')} AS h FROM u)) "
 

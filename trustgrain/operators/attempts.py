@@ -53,7 +53,7 @@ def failure_runs(
     memory_s: int | None = None,
     ts: str = "created_at",
     tie: str = "id",
-    period_s: int = 3_600,
+    period_s: int = 60,
 ) -> DataFrame:
     """Failures in a row per key: first and last of them, their number, and whether they reach ``limit``.
 
