@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ...functions.text import clean_text, epoch_or_iso_date, parse_rating, strip
 from ..reviews import identity_key
 from . import variants as V
-from .embedded import deep_reviews, objects_with
+from .embedded import deep_reviews, objects
 
 
 @dataclass(frozen=True)
@@ -246,18 +246,17 @@ def more_pages(bodies: DataFrame, key: str = "body_id", body: str = "body", page
 
     It does with a number of pages above ``page``, or with a total above what pages of its size hold up to ``page``.
     """
-    facts = objects_with(F.col(body), (*PAGING_TOTALS, *PAGING_COUNTS, *PAGING_SIZES))
 
-    def first(o: Column, keys: tuple[str, ...]) -> Column:
-        """The first of the values that is not missing or zero; null unless it is a whole number."""
-        return F.get(F.filter(F.array(*[o[k] for k in keys]), lambda x: ~x.isin("0", "")), 0).try_cast("long")
+    def first(keys: tuple[str, ...]) -> Column:
+        """The first of the whole numbers that is not zero."""
+        numbers = F.array(*[F.when(V.kind(V.get(F.col("v"), k, type="variant")) == "BIGINT", V.get(F.col("v"), k, type="bigint")) for k in keys])
+        return F.get(F.filter(numbers, lambda x: x != 0), 0)
 
-    def follows(o: Column) -> Column:
-        size = F.coalesce(first(o, PAGING_SIZES), F.lit(PAGING_SIZE))
-        beyond = F.coalesce(F.col(page) * size < first(o, PAGING_TOTALS), F.lit(False))
-        return F.coalesce(first(o, PAGING_COUNTS) > F.col(page), F.lit(False)) | beyond
-
-    return bodies.select(key, F.exists(facts, follows).alias("more"))
+    size = F.coalesce(first(PAGING_SIZES), F.lit(PAGING_SIZE))
+    beyond = F.coalesce(F.col(f"k.{page}") * size < first(PAGING_TOTALS), F.lit(False))
+    follows = F.coalesce(first(PAGING_COUNTS) > F.col(f"k.{page}"), F.lit(False)) | beyond
+    found = objects(bodies, [key, page], body).filter(follows).select(F.col(f"k.{key}").alias(key), F.lit(True).alias("more")).distinct()
+    return bodies.select(key).join(found, key, "left").withColumn("more", F.coalesce("more", F.lit(False)))
 
 
 def has_next_page(total: Column, page: Column, size: Column) -> Column:

@@ -7,11 +7,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ...functions.text import clean_text, parse_rating
+from ...functions.text import clean_text, parse_rating, strip
+from . import variants as V
 
 # Where pages keep their state, and the keys under which reviews are found in it.
 STATE_PREFIXES = (
@@ -34,7 +35,6 @@ RATING_KEYS = (
 )
 
 SCRIPT = r"(?is)<script([^>]*)>(.*?)</script>"
-FOUND = "found array<struct<text:string,rating:string>>, error string"
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -114,61 +114,57 @@ def _objects(data) -> Iterator[dict]:
         waiting += [m for m in members if isinstance(m, (dict, list))][::-1]
 
 
-def objects_with(doc: Column, keys: tuple[str, ...]) -> Column:
-    """The objects of a JSON document, at any depth, that have whole numbers under some of ``keys``, as maps of these to
-    the numbers as text; none where the document cannot be read."""
-
-    @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
-    def search(docs: pd.Series) -> pd.Series:
-        def found(text: str | None) -> list[dict]:
-            try:
-                objects = _objects(json.loads(text or ""))
-                named = [{k: o[k] for k in keys if k in o} for o in objects]
-            except (ValueError, RecursionError):
-                return []
-            plain = [{k: str(x) for k, x in o.items() if isinstance(x, int) and not isinstance(x, bool)} for o in named]
-            return [o for o in plain if o]
-
-        return docs.map(found)
-
-    return search(doc)
+#: Every object and list of a document, by the places that lead to it. Members of objects are in order of their names.
+NODES = """
+WITH RECURSIVE nodes (k, path, v) AS (
+  SELECT k, CAST(array() AS ARRAY<INT>), v FROM {documents}
+  UNION ALL
+  SELECT n.k, concat(n.path, array(e.pos)), e.value FROM nodes n, LATERAL variant_explode(n.v) AS e
+  WHERE try_variant_get(e.value, '$', 'map<string,variant>') IS NOT NULL OR try_variant_get(e.value, '$', 'array<variant>') IS NOT NULL)
+SELECT k, path, v FROM nodes WHERE try_variant_get(v, '$', 'map<string,variant>') IS NOT NULL
+"""
 
 
-def _searched(doc: Column, min_text: int) -> Column:
-    """``(found, error)`` of JSON documents; one that cannot be read has an error instead of reviews."""
+def objects(documents: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
+    """Every object of JSON documents, at any depth: ``(k, path, v)`` with ``k`` the struct of ``keys``.
 
-    @F.pandas_udf(FOUND)
-    def search(docs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in docs:
-            try:
-                rows.append((_reviews_in(json.loads(text or ""), min_text), None))
-            except ValueError as e:
-                rows.append(([], f"not JSON: {e}"))
-            except RecursionError:
-                rows.append(([], "nested too deeply"))
-        return pd.DataFrame(rows, columns=["found", "error"])
-
-    return search(doc)
+    Found level by level by a recursive query, each level as rows, so a wide document is spread like any other rows. The
+    session's limits on the rows and levels of such queries are taken off.
+    """
+    spark = documents.sparkSession
+    for limit in ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit"):
+        spark.conf.set(limit, "-1")
+    parsed = documents.select(F.struct(*keys).alias("k"), V.parse(F.col(doc)).alias("v")).filter(F.col("v").isNotNull())
+    return spark.sql(NODES, documents=parsed)
 
 
 def deep_reviews(documents: DataFrame, keys: list[str], doc: str = "doc", min_text: int = 1) -> DataFrame:
-    """Review-like objects anywhere in JSON documents: ``(*keys, pos, text, rating)``.
+    """Review-like objects anywhere in JSON documents: ``(*keys, pos, text, rating)``, each object before its members.
 
-    Objects whose text has fewer than ``min_text`` characters are not reviews.
+    Objects whose text has fewer than ``min_text`` characters are not reviews. Members of objects follow the order of
+    their names, items of lists their own.
     """
-    found = documents.select(*keys, _searched(F.col(doc), min_text).alias("s")).select(
-        *keys, F.posexplode("s.found").alias("pos", "r")
+    v = F.col("v")
+    texts = F.array(*[V.string(v, k) for k in TEXT_KEYS])
+    marks = F.array(V.scalar_text(v, "reviewRating", "ratingValue"), *[V.scalar_text(v, k) for k in RATING_KEYS])
+    numbers = F.transform(marks, lambda m: F.nullif(F.regexp_extract(m, r"(\d+(?:\.\d+)?)", 1), F.lit("")))
+    found = objects(documents, keys, doc).select(
+        "k",
+        "path",
+        F.get(F.filter(texts, lambda t: F.length(strip(t)) >= min_text), 0).alias("text"),
+        F.get(F.filter(numbers, lambda n: n.try_cast("double") <= 5.0), 0).alias("rating"),
     )
-    return found.select(
-        *keys, "pos", clean_text(F.col("r.text")).alias("text"), parse_rating(F.col("r.rating")).alias("rating")
+    found = found.filter(F.col("text").isNotNull() & F.col("rating").isNotNull())
+    pos = (F.row_number().over(Window.partitionBy("k").orderBy("path")) - 1).alias("pos")
+    return found.select("k", pos, "text", "rating").select(
+        *[F.col(f"k.{k}").alias(k) for k in keys], "pos", clean_text(F.col("text")).alias("text"), parse_rating(F.col("rating")).alias("rating")
     ).filter((F.col("text") != "") & F.col("rating").isNotNull())
 
 
 def unreadable_documents(documents: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
     """Documents that ``deep_reviews`` cannot read, with the reason: ``(*keys, error)``."""
-    searched = documents.select(*keys, _searched(F.col(doc), 1).alias("s"))
-    return searched.select(*keys, F.col("s.error").alias("error")).filter(F.col("error").isNotNull())
+    why = F.when(F.coalesce(F.trim(doc), F.lit("")) == "", "not JSON: empty").otherwise("not JSON: malformed, or too deep or large for a value")
+    return documents.filter(V.parse(F.col(doc)).isNull()).select(*keys, why.alias("error"))
 
 
 def embedded_reviews(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
