@@ -372,6 +372,19 @@ def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes(node, component)`` after further ``links(a, b)``: only links between classes are followed."""
+    a, b = (classes.select(F.col("node").alias(x), F.col("component").alias(f"class_{x}")) for x in ("a", "b"))
+    own = [F.coalesce(f"class_{x}", x).alias(x) for x in ("a", "b")]
+    across = written(links.join(a, "a", "left").join(b, "b", "left").select(*own).filter("a <> b").distinct(), "class-links")
+    if across.isEmpty():
+        return classes
+    moved = written(components(across, []), "merged-classes").select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    known = classes.join(moved, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    fresh = moved.join(classes.select("component").distinct(), "component", "left_anti").select("component", "merged")
+    return written(known.union(fresh), "set-classes")
+
+
 def _open_members(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """``(key, blocks, id, component)``: members of signatures that three or more sets in several classes have.
 
@@ -586,15 +599,13 @@ def similar_classes(
         ids = possible.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         return written(verified(possible, full_sets(base, ids, words_per_shingle), similarity), "set-links")
 
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
     classes = docs.sparkSession.createDataFrame([], "node long, component long")
 
     def linked(pairs: DataFrame) -> None:
-        nonlocal links, classes
+        nonlocal classes
         found = confirmed(pairs)
         if found is not None:
-            links = links.union(found)
-            classes = written(components(links, []), "set-classes")
+            classes = _merged(classes, found)
 
     linked(to_leader.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
     of_a = classes.select(F.col("node").alias("a"), F.col("component").alias("class_a"))
@@ -612,9 +623,7 @@ def similar_classes(
         last = written(_suspects(again, nodes, similarity, short=False), "suspects")
         if not last.isEmpty():
             sets = full_sets(base, last.select("id").distinct(), words_per_shingle)
-            rest = written(_exact(last, nodes, sets, similarity), "set-links")
-            links = links.union(rest)
-            classes = components(links, [])
+            classes = _merged(classes, _exact(last, nodes, sets, similarity))
 
     member = nodes.join(classes.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("digest").alias("set"), F.coalesce("component", "id").alias("component")
