@@ -78,9 +78,7 @@ def test_groups_near_the_limit(spark, monkeypatch, seed, block):
 
 
 def test_full_sets_decide_what_sketches_cannot(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "ODD_BITS", 64)
-    monkeypatch.setattr(jaccard, "ODD_BITS_EACH", 0)
-    monkeypatch.setattr(jaccard, "odd_bits", lambda elements: bytes(8))
+    monkeypatch.setattr(jaccard, "odd_bits", lambda elements, bits=64: bytes(bits // 8))  # rules nothing out
     docs = groups(6, 10)
     assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(1)) == plain(docs)
 
