@@ -67,10 +67,13 @@ def default_score() -> Column:
 
 
 def review_words(df: DataFrame, by: str, text: str = "text") -> DataFrame:
-    """``(by, words)``: words of two characters or more that are no stop words, of every review that is not blank."""
+    """``(by, row, words)``: words of two characters or more that are no stop words, of every review that is not blank.
+
+    ``row`` is a number of the row; it holds once this is written.
+    """
     found = F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}{{2,}}"), F.lit(0))
     kept = F.filter(found, lambda t: ~t.isin(*TERM_STOP_WORDS))
-    return df.filter(~is_blank(F.col(text))).select(by, kept.alias("words"))
+    return df.filter(~is_blank(F.col(text))).select(by, F.monotonically_increasing_id().alias("row"), kept.alias("words"))
 
 
 def _neighbours(items: Column, n: int, join: Callable[..., Column]) -> Column:
@@ -190,15 +193,16 @@ def _triples(words: DataFrame, by: str, pairs: DataFrame) -> DataFrame:
 
 
 def _names(words: DataFrame, asked: DataFrame, longest: int) -> DataFrame:
-    """``(n, key, phrase)`` for the asked hashes."""
+    """``(n, key, phrase)`` for the asked hashes: the place of one run of each is found, then its words are read."""
     out = None
     for n in range(1, longest + 1):
-        run = _neighbours(
-            F.col("words"), n, lambda *w: F.struct(F.xxhash64(*w).alias("key"), F.concat_ws(" ", *w).alias("phrase"))
-        )
-        rows = words.select(F.lit(n).alias("n"), F.inline(run))
+        keys = _neighbours(F.col("words"), n, F.xxhash64)
+        rows = words.select(F.lit(n).alias("n"), "row", F.posexplode(keys).alias("pos", "key"))
         out = rows if out is None else out.union(rows)
-    return out.join(asked, ["n", "key"], "left_semi").groupBy("n", "key").agg(F.min("phrase").alias("phrase"))
+    places = out.join(asked, ["n", "key"], "left_semi").groupBy("n", "key").agg(F.min(F.struct("row", "pos")).alias("at"))
+    places = written(places.select("n", "key", F.col("at.row").alias("row"), F.col("at.pos").alias("pos")), "gram-places")
+    phrase = F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ").alias("phrase")
+    return words.select("row", "words").join(places, "row").select("n", "key", phrase)
 
 
 def alike(a: str, b: str) -> int:
