@@ -321,3 +321,13 @@ def test_success_ends_a_run_in_the_stream(spark, tmp_path):
     pq.write_table(columns, f"{tmp_path}/events.parquet")
     got = sorted((r["user_id"], r["failures"], r["locked"]) for r in streams.lockout_runs_stream(spark, str(tmp_path)).collect())
     assert got == [(1, 1, False), (1, 9, False), (2, 10, True)]
+
+
+def test_bodies_are_read_once(spark):
+    """Lists and bodies without one are read in one pass; what removes repeats does not parse bodies again."""
+    bodies = [json.dumps({"reviews": [{"text": "a fine thing", "rating": 4}] * 2}), json.dumps({"x": {"text": "another", "stars": 3}}), "no JSON"]
+    frame = spark.createDataFrame(list(enumerate(bodies)), "body_id long, body string")
+    for service in ("ajio", "flipkart"):
+        found = api.api_reviews(frame, service)
+        assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r["body_id"], r["text"], r["rating"]) for r in found.collect()) == [(0, "a fine thing", 4.0), (1, "another", 3.0)]

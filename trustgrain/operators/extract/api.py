@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.text import clean_text, epoch_or_iso_date, parse_rating, strip
+from ...session import written
 from ..reviews import identity_key
 from . import variants as V
 from .embedded import deep_reviews, objects
@@ -151,7 +152,7 @@ def review_list(body: Column, rule: ApiRule) -> Column:
     if not more:
         return first
     every = F.concat(F.coalesce(first, F.array().cast(V.LIST)), *more)
-    return F.when(F.size(every) > 0, every)
+    return F.get(F.filter(F.array(every), lambda found: F.size(found) > 0), 0)
 
 
 def _first_text(item: Column, rule: ApiRule) -> Column:
@@ -186,30 +187,41 @@ def api_reviews(bodies: DataFrame, service: str, key: str = "body_id", body: str
     that have no such place. Answers that are no JSON have no reviews here; they are pages, to be read as such.
     """
     rule = RULES[service]
-    located = bodies.select(key, F.col(body).alias("body"), V.parse(F.col(body)).alias("v")).select(
-        key, "body", "v", review_list(F.col("v"), rule).alias("found")
-    )
-    item = F.col("item")
-    listed = (
-        located.filter(F.col("found").isNotNull())
-        .select(key, F.posexplode("found").alias("pos", "item"))
+    if not rule.lists:
+        deep = written(_deep(bodies.select(key, F.col(body).alias("body")), key), "reviews")
+        return first_of_each(_usable(deep), key)
+    # One row per listed item, or one with the body itself where it has no list. No filter stands on what is read out of a
+    # body: it would be tested ahead of the read, with the body parsed again for every place tried.
+    v, item = F.col("v"), F.col("item")
+    none = F.lit(None).cast("string")
+    listed = F.transform(review_list(v, rule), lambda x, i: F.struct(i.alias("pos"), x.alias("item"), none.alias("rest")))
+    whole = F.struct(F.lit(None).cast("int").alias("pos"), V.parse(none).alias("item"), F.when(v.isNotNull(), F.col("body")).alias("rest"))
+    read = written(
+        bodies.select(key, F.col(body).alias("body"), V.parse(F.col(body)).alias("v"))
+        .select(key, F.inline_outer(F.coalesce(listed, F.array(whole))))
         .select(
             key,
             "pos",
             _first_text(item, rule).alias("text"),
             _first_rating(item, rule).alias("rating"),
             _first_present(item, rule.ids).alias("review_id"),
-            epoch_or_iso_date(_first_present(item, rule.dates)).alias("date"),
-        )
-        if rule.lists
-        else None
-    )
-    unlisted = located.filter(F.col("found").isNull() & F.col("v").isNotNull()).select(key, "body")
-    deep = deep_reviews(unlisted, [key], "body", min_text=1).select(
-        key, "pos", "text", "rating", F.lit("").alias("review_id"), F.lit("").alias("date")
+            _first_present(item, rule.dates).alias("date"),
+            "rest",
+        ),
+        "reviews",
     )
-    every = deep if listed is None else listed.union(deep)
-    return first_of_each(every.filter((F.coalesce("text", F.lit("")) != "") & F.col("rating").isNotNull()), key)
+    found = read.filter(F.col("pos").isNotNull()).withColumn("date", epoch_or_iso_date(F.col("date"))).drop("rest")
+    deep = written(_deep(read.filter(F.col("rest").isNotNull()).select(key, F.col("rest").alias("body")), key), "reviews")
+    return first_of_each(_usable(found.union(deep)), key)
+
+
+def _deep(bodies: DataFrame, key: str) -> DataFrame:
+    found = deep_reviews(bodies, [key], "body", min_text=1)
+    return found.select(key, "pos", "text", "rating", F.lit("").alias("review_id"), F.lit("").alias("date"))
+
+
+def _usable(found: DataFrame) -> DataFrame:
+    return found.filter((F.coalesce("text", F.lit("")) != "") & F.col("rating").isNotNull())
 
 
 def first_of_each(found: DataFrame, key: str) -> DataFrame:
