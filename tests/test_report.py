@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,36 @@ def test_blocks_connect_what_all_pairs_connect(spark, monkeypatch):
     weights = similarity.term_weights(similarity.token_bags(df))
     pairs = [{(r["product_id"], r["a"], r["b"]) for r in similarity.similar_pairs(weights, block=b).collect()} for b in (10_000, 60)]
     assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+
+
+def test_prefixes_miss_no_pair():
+    """Pairs found by prefixes, tile by tile and with long lists, are those of the whole product."""
+    rng = np.random.default_rng(5)
+    n, terms = 1300, 400
+    weights = rng.random((n, terms)) * (rng.random((n, terms)) < 40 / (np.arange(terms) + 20))
+    weights[::3] = weights[0] + weights[::3] * rng.random((len(weights[::3]), 1))
+    weights /= np.sqrt((weights**2).sum(axis=1))[:, None]
+    order = np.lexsort((np.arange(terms), (weights > 0).sum(axis=0)))
+    ids = [order[weights[r, order] > 0] for r in range(n)]
+    ws = [weights[r, i] for r, i in enumerate(ids)]
+    for split in (0, 500):
+        whole = weights @ weights.T
+        i, j = np.nonzero(whole > similarity.THRESHOLD)
+        want = {(a, b) for a, b in zip(i, j) if (a < split <= b if split else a < b)}
+        found = [x for t in similarity._cosines(ids, ws, split, similarity.THRESHOLD) for x in zip(*t)]
+        assert {(a, b) for a, b, _ in found} == want and len(found) == len(want) > 1000
+        assert all(abs(whole[a, b] - s) < 1e-9 for a, b, s in found)
+
+
+def test_products_of_thousands_of_reviews_are_one_block(spark):
+    rows = spark.range(6000).selectExpr("'p' product_id", "id doc", "array(named_struct('term_id', id, 'df', 2L, 'w', 1D)) terms")
+    counted = similarity._lists(rows).groupBy("product_id").agg(similarity._blocks_of(similarity.BLOCK, F.size("ids")).alias("n"))
+    assert counted.first()["n"] == 1
+
+
+def test_weights_carry_their_terms(spark):
+    """Names of terms come with the weights; they are not joined to them again."""
+    rows = [("p", i, "alpha beta gamma delta epsilon zeta" + " omega" * (i % 3)) for i in range(4)]
+    found = similarity.tfidf(spark.createDataFrame(rows, "product_id string, review_idx long, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    assert {r["term"] for r in found.collect()} == set("alpha beta gamma delta epsilon zeta omega".split())
