@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.crypto import decrypt
+from ..session import ROW_GROUP
 from .scoring import authenticity_label
+from .skew import spread_over
 
 
 def _ago(as_of: Column, interval: str) -> Column:
@@ -132,41 +134,46 @@ def paginate(df: DataFrame, page: int, size: int, order: list[Column]) -> DataFr
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+#: Parts of a stored listing, where the session's shuffles have fewer.
+MOST_PARTS = 200
+
+
 class PageIndex:
     """A stored listing in order, of which any page is read alone.
 
-    The rows are sorted by range into files of about ``rows_per_part`` rows, and the index holds one count per file. A
-    page reads the one or two files that its rows are in, so page 1,000,000 costs what page 1 does and no task ever
-    holds the rows before it.
+    The rows are sorted by range into parts of about ``rows_per_part`` rows, at most ``MOST_PARTS`` or as many as a shuffle
+    of the session has: what comes to the driver, one count per part, does not grow with the listing. Rows of a part are stored in
+    order with their place in it, so a page reads the rows of its places from the one or two parts that it is in, and
+    skips what else is stored there by the places that a stored block of rows has. No task ever holds the rows before it.
     """
 
     def __init__(self, df: DataFrame, order: list[Column], path: str, rows_per_part: int = 1_000_000):
         self.spark, self.order, self.path, self.columns = df.sparkSession, order, path, df.columns
         total = df.count()
-        parts = max(1, -(-total // rows_per_part))
-        ranges = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-        ranges.write.partitionBy("_part").parquet(path)
+        parts = min(max(1, -(-total // rows_per_part)), max(MOST_PARTS, spread_over(df)))
+        ranges = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        # The lower 33 bits of the id count the rows of a task.
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        ranges = ranges.withColumns({"_part": F.spark_partition_id(), "_place": place})
+        ranges.write.option("parquet.block.size", ROW_GROUP).partitionBy("_part").parquet(path)
         self.schema = df.schema
-        #: (part, rows) in order, one per ``rows_per_part`` rows.
+        #: (part, rows) in order.
         counts = self._rows().groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
         self.parts = [(r["_part"], r["n"]) for r in counts]
 
     def _rows(self) -> DataFrame:
-        schema = StructType([*self.schema.fields, StructField("_part", IntegerType())])
+        schema = StructType([*self.schema.fields, StructField("_place", LongType()), StructField("_part", IntegerType())])
         return self.spark.read.schema(schema).parquet(self.path)
 
     def page(self, page: int, size: int) -> DataFrame:
         """The rows of one page, counted from 0, in order."""
         size = page_size(size)
-        first, before, chosen = page * size, 0, []
-        skipped = None
+        first, before, wanted = page * size, 0, F.lit(False)
         for part, n in self.parts:
             if before + n > first and before < first + size:
-                skipped = before if skipped is None else skipped
-                chosen.append(part)
+                wanted = wanted | ((F.col("_part") == part) & F.col("_place").between(first - before, first + size - before - 1))
             before += n
-        here = self._rows().filter(F.col("_part").isin(chosen)) if chosen else self._rows().limit(0)
-        return here.orderBy(*self.order).offset(first - (skipped or 0) if chosen else 0).limit(size).select(*self.columns)
+        return self._rows().filter(wanted).orderBy("_part", "_place").select(*self.columns)
 
 
 def page_info(df: DataFrame, page: int, size: int) -> DataFrame:
