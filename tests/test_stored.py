@@ -88,6 +88,23 @@ def test_pages_far_back_read_their_own_rows(spark, tmp_path):
     assert usage.PageIndex(rows.limit(0), order, f"{tmp_path}/none").page(0, 10).count() == 0
 
 
+def test_parts_of_a_listing_do_not_grow_with_it(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("k"))
+    order = [F.desc("k"), F.asc("id")]
+    index = usage.PageIndex(rows, order, f"{tmp_path}/pages", rows_per_part=2)
+    assert len(index.parts) <= usage.MOST_PARTS and sum(n for _, n in index.parts) == 1000
+    want = [r["id"] for r in rows.orderBy(*order).collect()]
+    assert [r["id"] for r in index.page(7, 99).collect()] == want[693:792]
+
+
+def test_maps_of_users_are_made_of_distinct_users(spark, tmp_path):
+    rows = spark.range(300).select((F.col("id") % 5).alias("user_id"), F.col("id").alias("n"))
+    table = governance.UserFiles.create(rows, f"{tmp_path}/t", files=2)
+    plan = table._added(rows, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
+    assert table.concerned(spark.createDataFrame([(3,)], "user_id long"))
+
+
 def test_erasing_rewrites_only_files_that_hold_the_user(spark, tmp_path):
     rows = spark.range(20_000).select((F.col("id") % 500).alias("user_id"), F.col("id").alias("n"))
     table = governance.UserFiles.create(rows, f"{tmp_path}/t")

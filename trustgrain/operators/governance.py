@@ -69,7 +69,8 @@ class UserFiles:
         """Write rows to a folder of their own; returns the index of its files."""
         df.write.mode("overwrite").parquet(f"{self.path}/data/{version}")
         rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{version}")
-        placed = rows.select(F.col("_metadata.file_path").alias("file"), _place(self.key).alias("place"))
+        # Distinct places first: a bitmap is built of sorted rows, and a file has fewer users than rows.
+        placed = rows.select(F.col("_metadata.file_path").alias("file"), _place(self.key).alias("place")).distinct()
         return placed.groupBy("file", F.bitmap_bucket_number("place").alias("slice")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
         )
