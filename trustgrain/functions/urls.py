@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +120,11 @@ def review_url(url: Column, site: Column) -> Column:
     )
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def set_param(url: Column, name: str, value: Column | str) -> Column:
     """Set one query parameter: replaced in its place, or put last. Other parameters keep their order."""
     value = F.lit(value) if isinstance(value, str) else value
@@ -130,11 +137,14 @@ def set_param(url: Column, name: str, value: Column | str) -> Column:
         F.filter(F.split(query, "&"), lambda p: p != ""),
         lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))),
     )
-    at = F.array_position(F.transform(parts, key), F.lit(name))
-    kept = F.filter(parts, lambda p, i: (key(p) != name) | (i + 1 == at))
-    swapped = F.transform(kept, lambda p: F.when(key(p) == name, pair).otherwise(p))
-    full = F.when(at > 0, swapped).otherwise(F.array_append(kept, pair))
-    return F.concat(base, F.lit("?"), F.array_join(full, "&"), fragment)
+
+    def full(parts: Column, at: Column) -> Column:
+        kept = F.filter(parts, lambda p, i: (key(p) != name) | (i + 1 == at))
+        swapped = F.transform(kept, lambda p: F.when(key(p) == name, pair).otherwise(p))
+        return F.when(at > 0, swapped).otherwise(F.array_append(kept, pair))
+
+    placed = _with(parts, lambda ps: _with(F.array_position(F.transform(ps, key), F.lit(name)), lambda at: full(ps, at)))
+    return F.concat(base, F.lit("?"), F.array_join(placed, "&"), fragment)
 
 
 def expand_url_batches(df: DataFrame, url: str = "url", site: str = "site") -> DataFrame:
@@ -154,7 +164,11 @@ def expand_url_batches(df: DataFrame, url: str = "url", site: str = "site") -> D
     flipkart = [("all", "", "")] + [("star", s, by) for by in ("MOST_RECENT", "MOST_HELPFUL") for s in FLIPKART_STARS]
     u, s = F.col(url), F.col(site)
     asin = _found(u, PRODUCT_ID_PATTERNS["amazon"][0])
-    rows = df.select(
+    # What all listings of a product share is made once per product, ahead of the rows for its listings.
+    listing = F.when(s == "flipkart", set_param(review_url(u, s), "page", "1")).otherwise(review_url(u, s))
+    shared = df.withColumns({"_asin": asin, "_origin": origin(u), "_listing": listing})
+    asin = F.col("_asin")
+    rows = shared.select(
         "*",
         F.inline(
             F.when((s == "amazon") & asin.isNotNull(), plan(amazon))
@@ -163,24 +177,21 @@ def expand_url_batches(df: DataFrame, url: str = "url", site: str = "site") -> D
         ),
     )
     kind, star, by = F.col("_kind"), F.col("_star"), F.col("_by")
-    own_sort = F.concat(origin(u), F.lit("/product-reviews/"), asin, F.lit(AMAZON_SORTED))
+    own_sort = F.concat(F.col("_origin"), F.lit("/product-reviews/"), asin, F.lit(AMAZON_SORTED))
     built = (
-        F.when(kind == "page", F.concat(origin(u), F.lit("/dp/"), asin))
+        F.when(kind == "page", F.concat(F.col("_origin"), F.lit("/dp/"), asin))
         .when((s == "amazon") & (kind == "sorted"), F.concat(own_sort, F.lit("&sortBy="), by))
         .when((s == "amazon") & (kind == "star"), F.concat(own_sort, F.lit("&filterByStar="), star, F.lit("&sortBy="), by))
-        .otherwise(review_url(u, s))
+        .otherwise(F.col("_listing"))
     )
     rows = rows.withColumn("batch_url", built)
     # One parameter per step: each step reads the finished column of the step before.
-    for name, value, wanted in (
-        ("page", F.lit("1"), s == "flipkart"),
-        ("rating", star, (s == "flipkart") & (kind == "star")),
-        ("sortOrder", by, (s == "flipkart") & (kind == "star")),
-    ):
+    wanted = (s == "flipkart") & (kind == "star")
+    for name, value in (("rating", star), ("sortOrder", by)):
         rows = rows.withColumn(
             "batch_url", F.when(wanted, set_param(F.col("batch_url"), name, value)).otherwise(F.col("batch_url"))
         )
-    return rows.drop("_kind", "_star", "_by")
+    return rows.drop("_kind", "_star", "_by", "_asin", "_origin", "_listing")
 
 
 def _first_match(value: Column, patterns: tuple) -> Column:

@@ -13,6 +13,14 @@ def spread_over(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt over all parts of a shuffle, ahead of work that takes long per row.
+
+    A stored table of many short rows comes in as few parts as it has row groups, however much is then made of a row.
+    """
+    return df.repartition(spread_over(df))
+
+
 def join_facts(
     rows: DataFrame, facts: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int | None = None
 ) -> DataFrame:

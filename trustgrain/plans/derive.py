@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import dealt
 from ..sources.tables import load
 
 #: The moment at which rolling counts are taken over the event table.
@@ -211,11 +212,11 @@ def view(spark: SparkSession, folder: str, sql: str) -> DataFrame:
 
 def short_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """One short review per part, written so that every rule on single reviews has cases."""
-    return view(spark, folder, SHORT_REVIEWS)
+    return spark.sql(SHORT_REVIEWS, part=dealt(load(spark, folder, "part")))
 
 
 def product_urls(spark: SparkSession, folder: str) -> DataFrame:
-    return view(spark, folder, PRODUCT_URLS)
+    return spark.sql(PRODUCT_URLS, part=dealt(load(spark, folder, "part")))
 
 
 def refresh_tokens(spark: SparkSession, folder: str) -> DataFrame:
