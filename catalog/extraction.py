@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trustgrain import sql
 from trustgrain.operators.extract import api, cards, embedded, jsonld
+from trustgrain.operators.skew import dealt
 from trustgrain.plans import derive
 from trustgrain.sources.tables import load
 
@@ -59,7 +60,7 @@ def shown_meta(spark, d):
         F.lit(' Store</a><span class="a-price"><b class="a-offscreen">INR '), "p_size", F.lit('</b></span><img id="landingImage" src="'), "p_type",
         F.lit('.png"><div id="acrPopover"><i class="x a-icon-alt">'), F.col("p_size") % 5, F.lit(".5 out of 5</i></div></body></html>"),
     )
-    return cards.shown_meta(load(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    return cards.shown_meta(dealt(load(spark, d, "part")).select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 @query(
