@@ -6,6 +6,7 @@ import itertools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -147,8 +148,12 @@ def keywords(
 
     entered = None
     for number, p in enumerate(passes):
-        floor = None if p.candidates is None else _floor(counts.filter(F.col("n").between(p.shortest, p.longest)), by, p.candidates)
+        # Small beside the counts, and known to be so once written: the planner need not move the counts to join them.
+        mine = counts.filter(F.col("n").between(p.shortest, p.longest))
+        floor = None if p.candidates is None else written(_floor(mine, by, p.candidates), "gram-floor")
         hopeful = _hopeful(counts, by, facts, p, scorer, floor)
+        if p.longest > 2 and p.candidates is not None:
+            hopeful = written(hopeful, "hopeful-pairs")
         if p.longest > 2:
             pairs = hopeful.filter("n = 2") if p.shortest <= 2 else _hopeful(counts, by, facts, Pass(2, 2, p.candidates), scorer, floor)
             triples = _counted(_triples(words, by, pairs.select(by, F.col("key").alias("pair"))), by)
@@ -205,10 +210,30 @@ def _names(words: DataFrame, asked: DataFrame, longest: int) -> DataFrame:
     return words.select("row", "words").join(places, "row").select("n", "key", phrase)
 
 
+def _alike(x: set[str], y: set[str]) -> int:
+    return math.floor(1_000_000 * (len(x & y) / math.sqrt(len(x) * len(y))))
+
+
 def alike(a: str, b: str) -> int:
     """Cosine of the words of two phrases, in millionths, rounded down."""
-    x, y = set(a.split(" ")), set(b.split(" "))
-    return math.floor(1_000_000 * (len(x & y) / math.sqrt(len(x) * len(y))))
+    return _alike(set(a.split(" ")), set(b.split(" ")))
+
+
+@lru_cache(maxsize=8)
+def _choices(n: int, out: int) -> np.ndarray:
+    """All ways to leave ``out`` of ``n`` phrases out: the same for every product with so many candidates."""
+    return np.array(list(itertools.combinations(range(n), out)), dtype=np.int64)
+
+
+@lru_cache(maxsize=4096)
+def _left_out(n: int, kept: int, table: bytes) -> frozenset[int]:
+    """The places that go, by the table of how alike two phrases are; many products have the same table."""
+    pairs = np.frombuffer(table, dtype=np.int64).reshape(n, n)
+    out = _choices(n, n - kept)
+    # What the pairs of those left out take from the sum of all: once per member, but once too often among themselves.
+    gone = pairs.sum(1)[out].sum(1) - sum(pairs[out[:, i], out[:, j]] for i in range(n - kept) for j in range(i + 1, n - kept))
+    # Choices are in order of what is left out; the last of the best keeps the better phrases.
+    return frozenset(out[len(gone) - 1 - int(gone[::-1].argmax())].tolist())
 
 
 def least_alike(phrases: list[str], kept: int) -> list[int]:
@@ -221,12 +246,11 @@ def least_alike(phrases: list[str], kept: int) -> list[int]:
         return list(range(n))
     if math.comb(n, kept) > MOST_CHOICES:
         raise ValueError(f"{math.comb(n, kept)} ways to keep {kept} of {n} phrases, more than {MOST_CHOICES}")
-    pairs = np.array([[alike(a, b) if i != j else 0 for j, b in enumerate(phrases)] for i, a in enumerate(phrases)], dtype=np.int64)
-    out = np.array(list(itertools.combinations(range(n), n - kept)), dtype=np.int64)
-    # What the pairs of those left out take from the sum of all: once per member, but once too often among themselves.
-    gone = pairs.sum(1)[out].sum(1) - sum(pairs[out[:, i], out[:, j]] for i in range(n - kept) for j in range(i + 1, n - kept))
-    # Choices are in order of what is left out; the last of the best keeps the better phrases.
-    left_out = set(out[len(gone) - 1 - int(gone[::-1].argmax())].tolist())
+    words = [set(p.split(" ")) for p in phrases]
+    pairs = np.zeros((n, n), dtype=np.int64)
+    for i, j in itertools.combinations(range(n), 2):
+        pairs[i, j] = pairs[j, i] = _alike(words[i], words[j])
+    left_out = _left_out(n, kept, pairs.tobytes())
     return [i for i in range(n) if i not in left_out]
 
 
