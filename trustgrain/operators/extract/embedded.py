@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions.text import clean_text, parse_rating, strip
+from ...session import small_batches
 from . import variants as V
 
 # Where pages keep their state, and the keys under which reviews are found in it.
@@ -43,9 +44,9 @@ def _states(scripts: pd.Series) -> pd.Series:
     decode = json.JSONDecoder().raw_decode
     names = [re.compile(re.escape(p) + r"\s*=\s*") for p in STATE_PREFIXES]
 
-    def values(script: str) -> list[str]:
+    def values(script: str | None) -> list[str]:
         out = []
-        for name in names:
+        for name in names if script else ():
             at = name.search(script)
             if not at or script[at.end() : at.end() + 1] not in ("{", "["):
                 continue
@@ -62,7 +63,8 @@ def _states(scripts: pd.Series) -> pd.Series:
 
 
 def state_documents(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """JSON documents embedded in a page's scripts: ``(key, doc_no, doc)``."""
+    """JSON documents embedded in a page's scripts: ``(key, doc_no, doc)``, by one reading of the page."""
+    small_batches(pages.sparkSession)
     tags = pages.select(
         key, F.posexplode(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(0))).alias("script_no", "tag")
     ).select(
@@ -75,11 +77,10 @@ def state_documents(pages: DataFrame, key: str = "page_id", html: str = "html")
     marked = F.lit(False)
     for prefix in STATE_PREFIXES:
         marked = marked | F.contains("script", F.lit(prefix))
-    whole = tags.filter(named).select(key, "script_no", F.lit(0).alias("part_no"), F.trim("script").alias("doc"))
-    parts = tags.filter(~named & marked).select(
-        key, "script_no", F.posexplode(_states(F.col("script"))).alias("part_no", "doc")
-    )
-    return whole.union(parts).select(key, F.struct("script_no", "part_no").alias("doc_no"), "doc")
+    script = F.col("script")
+    docs = F.when(named, F.array(F.trim(script))).otherwise(_states(F.when(~named, script)))
+    found = tags.filter(named | marked).select(key, "script_no", F.posexplode(docs).alias("part_no", "doc"))
+    return found.select(key, F.struct("script_no", "part_no").alias("doc_no"), "doc")
 
 
 def _own_review(node: dict, min_text: int) -> tuple[str, str] | None:
