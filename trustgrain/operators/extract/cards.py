@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ...functions.pages import is_boilerplate
 from ...functions.text import clean_text, find_date_text, parse_rating
 from ...functions.urls import site_of
+from ...session import ROW_GROUP, small_batches, written
 from ..reviews import dedupe_reviews, drop_contained
 from . import embedded, jsonld, markup
 
@@ -186,6 +187,7 @@ def card_reviews(pages: DataFrame, key: str = "page_id", html: str = "html", sit
     The first rule whose cards hold a rated review is used. Cards found by their look alone may be page furniture or
     repeat a review inside a longer one; both are dropped within the page. Cards found by their names are all kept.
     """
+    small_batches(pages.sparkSession)
     found = pages.select(key, site, _cards(F.col(html), F.col(site)).alias("found"))
     nested = drop_contained(F.filter("found", lambda r: ~is_boilerplate(r.getField("text"))))
     return (
@@ -232,6 +234,7 @@ def _shown_meta(pages: pd.Series) -> pd.DataFrame:
 
 def shown_meta(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Product facts that a shop page shows in its known places; pages without a product name have no row."""
+    small_batches(pages.sparkSession)
     brand = F.regexp_replace(F.regexp_replace("m.brand", BEFORE_BRAND, ""), AFTER_BRAND, "")
     return (
         pages.select(key, _shown_meta(F.col(html)).alias("m"))
@@ -253,6 +256,8 @@ def extract_reviews(pages: DataFrame, key: str = "page_id", html: str = "html",
     Result: ``(key, site, reading, pos, text, rating, review_id, date)``. Pages of other hosts have no rows.
     """
     sited = pages.select(key, html, site_of(F.col(url)).alias("site")).filter(F.col("site").isNotNull())
+    # Every reading goes through the pages: they are made once.
+    sited = written(sited, "pages", ROW_GROUP)
     plain = lambda df, name: df.select(
         key,
         F.lit(name).alias("reading"),
