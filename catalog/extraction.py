@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trustgrain import sql
 from trustgrain.operators.extract import api, cards, embedded, jsonld
-from trustgrain.operators.skew import dealt
+from trustgrain.operators.skew import dealt, spread_over
 from trustgrain.plans import derive
 from trustgrain.sources.tables import load
 
@@ -196,12 +196,16 @@ _FP = f"regexp_replace(lower({CLEAN}), '[^a-z0-9]', '', 'g')"
 
 
 def blocks(spark, d):
-    """Reviews in blocks of a product, a body of several reviews each."""
-    r = derive.reviews(spark, d)
+    """Reviews in blocks of a product, a body of several reviews each.
+
+    Whole texts are dealt out, so there are as many parts as documents are read in, where a shuffle has fewer.
+    """
+    r = derive.reviews(spark, d).withColumn("body_id", F.concat_ws("-", "product_id", F.floor(F.col("review_idx") / 80).cast("string")))
     item = F.struct("review_idx", "text", "rating", "review_date")
-    return r.groupBy(F.concat_ws("-", "product_id", F.floor(F.col("review_idx") / 80).cast("string")).alias("body_id")).agg(
-        F.array_sort(F.collect_list(item)).alias("items")
-    )
+    parts = r.rdd.getNumPartitions()
+    if parts > spread_over(r):
+        r = r.repartition(parts, "body_id")
+    return r.groupBy("body_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def named(items, **keys):

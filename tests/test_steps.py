@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from catalog import extraction
 from trustgrain.operators import keywords, skew
-from trustgrain.operators.extract import cards, embedded, markup
+from trustgrain.operators.extract import api, cards, embedded, markup
 
 
 def test_one_row_group_is_dealt_over_all_parts(spark):
@@ -52,3 +57,38 @@ def test_pages_are_made_once_for_all_readings(spark, tmp_path):
     found = cards.extract_reviews(spark.read.parquet(f"{tmp_path}/pages"))
     assert not [f for f in found.inputFiles() if str(tmp_path) in f]
     assert [(r["reading"], r["text"]) for r in found.select("reading", F.col("text")).collect()] == [("jsonld", "good thing")]
+
+
+def test_levels_of_a_document_are_opened_in_its_row(spark):
+    """Objects nested deeper than one pass goes are found in order, and no level is sent over a shuffle with what lies below it."""
+    inner = {"text": "innermost", "rating": 1}
+    for _ in range(2 * embedded.LEVELS):
+        inner = {"list": [None, "text", inner]}
+    doc = {"z": [{"text": "second", "rating": 4, "deep": {"text": "third", "rating": 5}}], "a": {"_": True, "text": "first", "stars": "3 stars"}, "zz": inner}
+    docs = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps([[doc["a"]]])), (3, "no JSON"), (4, None)], "i int, doc string")
+    found = embedded.deep_reviews(docs, ["i"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "UnionLoop" not in plan and plan.count("Exchange hashpartitioning") == 1
+    rows = [tuple(r) for r in found.select("i", "pos", "text", "rating").orderBy("i", "pos").collect()]
+    assert rows == [(1, 0, "first", 3.0), (1, 1, "second", 4.0), (1, 2, "third", 5.0), (1, 3, "innermost", 1.0), (2, 0, "first", 3.0)]
+
+
+def test_pages_said_in_deep_objects_are_found(spark):
+    inner = {"totalPages": 5}
+    for _ in range(embedded.LEVELS + 1):
+        inner = {"x": [inner]}
+    bodies = spark.createDataFrame([(1, json.dumps(inner), 3), (2, json.dumps(inner), 5), (3, None, 1)], "body_id int, body string, page int")
+    assert sorted(tuple(r) for r in api.more_pages(bodies).collect()) == [(1, True), (2, False), (3, False)]
+
+
+def test_blocks_have_as_many_parts_as_documents_are_read_in(spark, tmp_path):
+    rows = [{"doc_id": i, "text": f"text {i}", "lang": "en", "source": f"src{i % 2}", "n_chars": i} for i in range(400)]
+    pq.write_table(pa.Table.from_pylist(rows), f"{tmp_path}/documents.parquet")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+        found = extraction.blocks(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > skew.spread_over(found)
+        assert sorted((r["body_id"], len(r["items"])) for r in found.collect()) == sorted((f"src{s}-{b}", 40) for s in range(2) for b in range(5))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)

@@ -267,7 +267,7 @@ def more_pages(bodies: DataFrame, key: str = "body_id", body: str = "body", page
     size = F.coalesce(first(PAGING_SIZES), F.lit(PAGING_SIZE))
     beyond = F.coalesce(F.col(f"k.{page}") * size < first(PAGING_TOTALS), F.lit(False))
     follows = F.coalesce(first(PAGING_COUNTS) > F.col(f"k.{page}"), F.lit(False)) | beyond
-    found = objects(bodies, [key, page], body).filter(follows).select(F.col(f"k.{key}").alias(key), F.lit(True).alias("more")).distinct()
+    found = objects(bodies, [key, page], follows, body).filter("found").select(F.col(f"k.{key}").alias(key), F.lit(True).alias("more")).distinct()
     return bodies.select(key).join(found, key, "left").withColumn("more", F.coalesce("more", F.lit(False)))
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions.text import clean_text, parse_rating, strip
-from ...session import small_batches
+from ...session import small_batches, written
 from . import variants as V
 
 # Where pages keep their state, and the keys under which reviews are found in it.
@@ -115,28 +116,49 @@ def _objects(data) -> Iterator[dict]:
         waiting += [m for m in members if isinstance(m, (dict, list))][::-1]
 
 
-#: Every object and list of a document, by the places that lead to it. Members of objects are in order of their names.
-NODES = """
-WITH RECURSIVE nodes (k, path, v) AS (
-  SELECT k, CAST(array() AS ARRAY<INT>), v FROM {documents}
-  UNION ALL
-  SELECT n.k, concat(n.path, array(e.pos)), e.value FROM nodes n, LATERAL variant_explode(n.v) AS e
-  WHERE try_variant_get(e.value, '$', 'map<string,variant>') IS NOT NULL OR try_variant_get(e.value, '$', 'array<variant>') IS NOT NULL)
-SELECT k, path, v FROM nodes WHERE try_variant_get(v, '$', 'map<string,variant>') IS NOT NULL
-"""
+#: Levels of a document that are opened in one pass over it; what lies deeper is stored and opened in further passes.
+LEVELS = 8
 
 
-def objects(documents: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
-    """Every object of JSON documents, at any depth: ``(k, path, v)`` with ``k`` the struct of ``keys``.
+def _opened(nodes: DataFrame) -> DataFrame:
+    """Nodes with those that wait taken apart: objects stay as they are, members that are objects or lists wait in turn.
 
-    Found level by level by a recursive query, each level as rows, so a wide document is spread like any other rows. The
-    session's limits on the rows and levels of such queries are taken off.
+    Members of objects are in order of their names. A struct can be read out of objects only, whatever they hold, and a list
+    of structs out of lists only; neither copies what is inside.
     """
-    spark = documents.sparkSession
-    for limit in ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit"):
-        spark.conf.set(limit, "-1")
-    parsed = documents.select(F.struct(*keys).alias("k"), V.parse(F.col(doc)).alias("v")).filter(F.col("v").isNotNull())
-    return spark.sql(NODES, documents=parsed)
+    path, v, waits = F.col("path"), F.col("v"), F.col("waits")
+
+    def shaped(x: Column, kind: str) -> Column:
+        return V.get(x, type=kind).isNotNull()
+
+    one, many = "struct<_:boolean>", "array<struct<_:boolean>>"
+    members = F.coalesce(F.map_values(V.get(v, type="map<string,variant>")), V.get(v, type=V.LIST), F.array().cast(V.LIST))
+    below = F.transform(members, lambda m, i: F.struct(F.concat(path, F.array(i)).alias("path"), m.alias("v"), F.lit(True).alias("waits")))
+    below = F.filter(below, lambda n: shaped(n["v"], one) | shaped(n["v"], many))
+    itself = F.array(F.struct(path, v, F.lit(False).alias("waits")))
+    # Outer, so that no filter on the members is tested ahead, with the node taken apart twice.
+    found = F.when(~waits, itself).when(shaped(v, one), F.concat(itself, below)).otherwise(below)
+    return nodes.select("k", F.inline_outer(found)).filter(F.col("path").isNotNull())
+
+
+def objects(documents: DataFrame, keys: list[str], read: Column, doc: str = "doc") -> DataFrame:
+    """Every object of JSON documents, at any depth, as ``(k, path, found)``: ``k`` is the struct of ``keys``, ``path`` the
+    places that lead to the object and ``found`` what ``read`` makes of its value ``v``.
+
+    A document is opened level by level in the rows of the task that holds it, so that no level is sent over a shuffle with
+    all that lies below it. Only what is read is stored, and what lies deeper than ``LEVELS``, for a pass of its own.
+    """
+    start = F.array().cast("array<int>").alias("path")
+    nodes = documents.select(F.struct(*keys).alias("k"), start, V.parse(F.col(doc)).alias("v"), F.lit(True).alias("waits"))
+    passes = []
+    while not passes or not nodes.isEmpty():
+        for _ in range(LEVELS):
+            nodes = _opened(nodes)
+        waits = F.col("waits")
+        stored = written(nodes.select("k", "path", F.when(waits, F.col("v")).alias("v"), "waits", F.when(~waits, read).alias("found")), "objects")
+        passes.append(stored.filter(~waits).select("k", "path", "found"))
+        nodes = stored.filter(waits).select("k", "path", "v", "waits")
+    return reduce(DataFrame.union, passes)
 
 
 def deep_reviews(documents: DataFrame, keys: list[str], doc: str = "doc", min_text: int = 1) -> DataFrame:
@@ -149,12 +171,11 @@ def deep_reviews(documents: DataFrame, keys: list[str], doc: str = "doc", min_te
     texts = F.array(*[V.string(v, k) for k in TEXT_KEYS])
     marks = F.array(V.scalar_text(v, "reviewRating", "ratingValue"), *[V.scalar_text(v, k) for k in RATING_KEYS])
     numbers = F.transform(marks, lambda m: F.nullif(F.regexp_extract(m, r"(\d+(?:\.\d+)?)", 1), F.lit("")))
-    found = objects(documents, keys, doc).select(
-        "k",
-        "path",
+    read = F.struct(
         F.get(F.filter(texts, lambda t: F.length(strip(t)) >= min_text), 0).alias("text"),
         F.get(F.filter(numbers, lambda n: n.try_cast("double") <= 5.0), 0).alias("rating"),
     )
+    found = objects(documents, keys, read, doc).select("k", "path", "found.text", "found.rating")
     found = found.filter(F.col("text").isNotNull() & F.col("rating").isNotNull())
     pos = (F.row_number().over(Window.partitionBy("k").orderBy("path")) - 1).alias("pos")
     return found.select("k", pos, "text", "rating").select(
