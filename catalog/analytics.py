@@ -8,7 +8,7 @@ from trustgrain.operators import governance, keywords, models, reviews, scoring,
 from trustgrain.functions import crypto
 from trustgrain.functions.text import TERM_STOP_WORDS
 from trustgrain.plans import derive
-from trustgrain.session import work_path
+from trustgrain.session import work_path, written
 from trustgrain.sources import files
 from trustgrain.sources.tables import load
 
@@ -220,9 +220,9 @@ def fuse_predictions(spark, d):
 
 @query("score_reviews")
 def score_reviews(spark, d):
-    """Two classifiers trained on the labelled documents and applied to all documents."""
-    docs = load(spark, d, "documents").select("doc_id", "text")
-    labelled = docs.join(load(spark, d, "labels"), "doc_id")
+    """Two classifiers trained on the labelled documents and applied to all documents, whose terms are counted once."""
+    docs = models.term_counts(load(spark, d, "documents").select("doc_id", "text"))
+    labelled = written(docs.join(load(spark, d, "labels"), "doc_id"), "labelled")
     ai = models.fit_classifier(labelled, "toxic")
     good = models.fit_classifier(labelled, "quality")
     scored = models.classify(ai, docs, ["Human", "AI Generated"], "ai")

@@ -8,8 +8,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from catalog import extraction
-from trustgrain.operators import keywords, skew
+from catalog import analytics, extraction
+from trustgrain.operators import keywords, models, skew
 from trustgrain.operators.extract import api, cards, embedded, markup
 
 
@@ -92,3 +92,25 @@ def test_blocks_have_as_many_parts_as_documents_are_read_in(spark, tmp_path):
         assert sorted((r["body_id"], len(r["items"])) for r in found.collect()) == sorted((f"src{s}-{b}", 40) for s in range(2) for b in range(5))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_terms_are_counted_once_for_both_classifiers(spark, tmp_path):
+    """Scores are those of models that read the texts themselves, but texts are read by the counting alone."""
+    docs = [{"doc_id": i, "text": f"{'fine good' if i % 2 else 'poor bad'} thing {'rude ' * (i % 3)}number {i}", "lang": "en", "source": "s", "n_chars": i} for i in range(40)]
+    marks = [{"doc_id": i, "quality": i % 2, "toxic": int(i % 3 > 0)} for i in range(30)]
+    for name, rows in (("documents", docs), ("labels", marks)):
+        pq.write_table(pa.Table.from_pylist(rows), f"{tmp_path}/{name}.parquet")
+    found = analytics.score_reviews(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "term-counts" in plan
+    texts = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text")
+    labelled = texts.join(spark.read.parquet(f"{tmp_path}/labels.parquet"), "doc_id")
+    scored = models.classify(models.fit_classifier(labelled, "toxic"), texts, ["Human", "AI Generated"], "ai")
+    scored = models.classify(models.fit_classifier(labelled, "quality"), scored, ["negative", "positive"], "sentiment")
+    want = {r["doc_id"]: (r["sentiment_label"], r["ai_label"], r["ai_conf"], (r["ai_conf"] + r["sentiment_conf"] + 0.5) / 3) for r in scored.collect()}
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert sorted(got) == sorted(want) == list(range(40))
+    for i, (feeling, ai, ai_conf, sure) in want.items():
+        assert got[i]["sentiment"] == feeling and got[i]["predicted_rating"] == 3
+        assert abs(got[i]["ai_probability"] - (ai_conf if ai == "AI Generated" else 1 - ai_conf)) < 1e-3
+        assert abs(got[i]["confidence"] - sure) < 1e-3

@@ -14,16 +14,30 @@ from pyspark.sql import functions as F
 from ..session import work_path, written
 
 
+def _counting(text: str, features: int) -> list:
+    return [
+        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
+        HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
+    ]
+
+
+def term_counts(df: DataFrame, text: str = "text", features: int = 1 << 16) -> DataFrame:
+    """``df`` with a column ``_counts`` in place of ``text``: its terms, counted once for all models, and stored."""
+    counted = PipelineModel(_counting(text, features)).transform(df)
+    return written(counted.drop(text, "_tokens"), "term-counts")
+
+
 def fit_classifier(labelled: DataFrame, label: str, text: str = "text", features: int = 1 << 16) -> PipelineModel:
     """Logistic regression over weighted term counts, trained on a table with a numeric ``label`` column.
 
-    The model is stored in the shared folder and read back: a stored model carries no training summary, which would
-    tie it to the session that trained it.
+    A table of ``term_counts`` gives a model that reads such counts; any other is read by its ``text``. The model is stored
+    in the shared folder and read back: a stored model carries no training summary, which would tie it to the session that
+    trained it.
     """
+    counting = [] if "_counts" in labelled.columns else _counting(text, features)
     fitted = Pipeline(
         stages=[
-            RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
-            HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
+            *counting,
             IDF(inputCol="_counts", outputCol="_features"),
             LogisticRegression(featuresCol="_features", labelCol=label, maxIter=20, regParam=0.01),
         ]
