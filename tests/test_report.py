@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
+from trustgrain import session
 from trustgrain.operators import duplicates, similarity
 from trustgrain.plans import report
 
@@ -209,3 +210,65 @@ def test_weights_carry_their_terms(spark):
     found = similarity.tfidf(spark.createDataFrame(rows, "product_id string, review_idx long, text string"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
     assert {r["term"] for r in found.collect()} == set("alpha beta gamma delta epsilon zeta omega".split())
+
+
+def _copied_product(spark):
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(40)]
+    rows = [("p", i, " ".join(rng.sample(words, 6))) for i in range(400)]
+    rows += [("q", 1000 + i, f"alpha beta gamma delta epsilon zeta eta theta {rng.choice(words)}") for i in range(200)]
+    return spark.createDataFrame(rows, "product_id string, review_idx long, text string"), rows
+
+
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    """Reviews are not sent once per block: blocks are compared where they are read."""
+    df, rows = _copied_product(spark)
+    plans = []
+
+    def noted(table, name, *rest):
+        if name == "pairs":
+            plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return session.written(table, name, *rest)
+
+    monkeypatch.setattr(similarity, "written", noted)
+    monkeypatch.setattr(similarity, "BLOCK_TERMS", 600)
+    bags = similarity.numbered_bags(similarity.token_bags(df))
+    found = [(r["product_id"], r["a"], r["b"]) for r in similarity.similar_pairs(bags, block=50).collect()]
+    assert len(plans) > 4 and not any("Exchange" in p for p in plans)
+    want = set()
+    for product in "pq":
+        texts = {i: t for p, i, t in rows if p == product}
+        firsts = {" ".join(sorted(t.split())): i for i, t in reversed(texts.items())}
+        want |= {(product, *k) for k in brute.pairs(texts) if set(k) <= set(firsts.values())}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for name in manager.getAllBlocks().mkString(" ").split() if name.startswith("shuffle_")}
+    before = shuffled()
+    rows = session.written(spark.range(1000).repartition(7, "id"), "rows")
+    assert shuffled() <= before and rows.count() == 1000
+
+
+def test_clusters_leave_no_vectors_behind(spark, tmp_path, monkeypatch):
+    df, _ = _copied_product(spark)
+    monkeypatch.setattr(session, "_fallback_root", str(tmp_path))
+    found = duplicates.clustered_bags(df).groupBy("product_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    assert max(r["n"] for r in found.collect()) > 10
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "trustgrain").iterdir()}
+    assert not left & {"vectors", "vocabulary", "part-terms", "term-lists"}
+
+
+def test_reviews_of_one_number_are_one_vector(spark):
+    """Two texts of one number and product count together, in whatever block."""
+    long = "alpha beta gamma delta epsilon zeta"
+    rows = [("p", 1, long), ("p", 1, "eta theta iota kappa lambda omega"), ("p", 2, f"{long} eta theta iota kappa lambda omega"), ("p", 3, "nothing of that was ever written anywhere here")]
+    bags = similarity.numbered_bags(similarity.token_bags(spark.createDataFrame(rows, "product_id string, review_idx long, text string")))
+    for block in (10, 1):
+        assert [(r["a"], r["b"]) for r in similarity.similar_pairs(bags, block=block).collect()] == [(1, 2)]
+
+
+def test_report_leaves_out_reviews_without_a_product(spark):
+    rows = [(p, i, "one two three four five six", 5.0, None, "positive", 0.9) for p in ("p", None) for i in range(4)] + [("few", 9, "one two three four five", 5.0, None, "positive", 0.9)]
+    assert [r["product_id"] for r in report.trust_report(spark.createDataFrame(rows, SCHEMA)).collect()] == ["p"]
