@@ -254,7 +254,7 @@ def test_written_tables_leave_no_shuffle_files(spark):
 
 def test_clusters_leave_no_vectors_behind(spark, tmp_path, monkeypatch):
     df, _ = _copied_product(spark)
-    monkeypatch.setattr(session, "_fallback_root", str(tmp_path))
+    monkeypatch.setattr(session, "work_root", lambda spark: str(tmp_path))
     found = duplicates.clustered_bags(df).groupBy("product_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
     assert max(r["n"] for r in found.collect()) > 10
     left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "trustgrain").iterdir()}
